@@ -5,64 +5,257 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronoloom.operators import episodes as ep
+from chronoloom.operators import focus_sessions as fs
+from chronoloom.operators import fusion, intervals, records, reports
 from chronoloom.operators.activity_sessions import host_sessions
 from chronoloom.operators.interval_sets import bucket_periods
 from chronoloom.operators.timestamps import event_instants
+from chronoloom.oracle_parts import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "app_totals"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+P3 = """
+SELECT hostname, min(s) AS start_us, max(e) AS end_us FROM (
+  SELECT *, sum(CASE WHEN top IS NULL OR s > top + 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY hostname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM (
+    SELECT *, max(e) OVER (PARTITION BY hostname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (
+      SELECT b.hostname, epoch_us(a.start_ts) AS s, greatest(epoch_us(a.start_ts), coalesce(epoch_us(a.end_ts), epoch_us(a.start_ts))) AS e
+      FROM counted a JOIN watch_buckets b USING (bucket_id) WHERE a.kind <> 'afk'))) GROUP BY hostname, n"""
+P4 = """, p AS (
+  SELECT bucket_id, min(s) AS s, max(e) AS e FROM (
+    SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY bucket_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM (
+      SELECT *, max(e) OVER (PARTITION BY bucket_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+      FROM (SELECT bucket_id, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e FROM counted WHERE end_ts > start_ts))) GROUP BY bucket_id, n
+), q AS (SELECT *, lag(e) OVER (PARTITION BY bucket_id ORDER BY s) AS was FROM p)
+SELECT bucket_id, 'period' AS piece, s AS start_us, e AS end_us FROM p
+UNION ALL
+SELECT bucket_id, 'gap', was, s FROM q WHERE s - was <= 21600000000"""
+
+
+@query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    return event_instants(t("raw_events"), t("watch_buckets"), t("day_windows"))
+    return event_instants(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), table(spark, sf_dir, "day_windows"))
 
 
+@query(sql(P3, "counted"))
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = host_sessions(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"))
-    return found.select("hostname", "start_us", "end_us")
+    return host_sessions(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets")).select("hostname", "start_us", "end_us")
 
 
+@query(sql(P4, "counted"))
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_periods(table(spark, sf_dir, "activity_records"))
 
 
-FLAGSHIP = "p3_found"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
-
-COUNTED = """
-counted AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC, start_ts DESC, end_ts DESC) AS rn FROM activity_records
-  ) WHERE rn = 1
-)"""
-
-ORACLE: dict[str, str] = {
-    "p3_found": f"""
-WITH {COUNTED}, r AS (
-  SELECT b.hostname, epoch_us(a.start_ts) AS s, greatest(epoch_us(a.start_ts), coalesce(epoch_us(a.end_ts), epoch_us(a.start_ts))) AS e
-  FROM counted a JOIN watch_buckets b USING (bucket_id) WHERE a.kind <> 'afk'
-), m AS (
-  SELECT *, max(e) OVER (PARTITION BY hostname ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r
-), g AS (
-  SELECT *, sum(CASE WHEN top IS NULL OR s > top + 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY hostname ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM m
-)
-SELECT hostname, min(s) AS start_us, max(e) AS end_us FROM g GROUP BY hostname, n""",
-    "p4_found": f"""
-WITH {COUNTED}, r AS (
-  SELECT bucket_id, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e FROM counted WHERE end_ts > start_ts
-), m AS (
-  SELECT *, max(e) OVER (PARTITION BY bucket_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r
-), g AS (
-  SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY bucket_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM m
-), p AS (
-  SELECT bucket_id, min(s) AS s, max(e) AS e FROM g GROUP BY bucket_id, n
-), q AS (
-  SELECT *, lag(e) OVER (PARTITION BY bucket_id ORDER BY s) AS before FROM p
-)
-SELECT bucket_id, 'period' AS piece, s AS start_us, e AS end_us FROM p
-UNION ALL
-SELECT bucket_id, 'gap', before, s FROM q WHERE s - before <= 21600000000""",
-}
+# The pipeline of the data model: buckets and events to records, active records, observations, slices, sessions, episodes.
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.active_records(_records(spark, sf_dir))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_pieces(fusion.numbered(_active(spark, sf_dir)))
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.merged_slices(_pieces(spark, sf_dir))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.sessions(_slices(spark, sf_dir))
+
+
+KIND_SQL = "CASE bucket_type WHEN 'currentwindow' THEN 'current-window' WHEN 'afkstatus' THEN 'afk' WHEN 'app.editor.activity' THEN 'editor' WHEN 'web.tab.current' THEN 'browser' END"
+
+
+@query(f"SELECT bucket_id, coalesce(client, '') AS client, coalesce(hostname, '') AS hostname, {KIND_SQL} AS kind FROM watch_buckets WHERE {KIND_SQL} IS NOT NULL")
+def supported_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.supported_buckets(table(spark, sf_dir, "watch_buckets")).select("bucket_id", "client", "hostname", "kind")
+
+
+@query(f"SELECT coalesce(bucket_type, '') AS bucket_type, count(*) AS n FROM watch_buckets WHERE {KIND_SQL} IS NULL GROUP BY 1")
+def unsupported_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.unsupported_buckets(table(spark, sf_dir, "watch_buckets"))
+
+
+IANA = "^[A-Z][a-z]+/[A-Z][A-Za-z_]+$"
+
+
+@query(f"""
+SELECT day, timezone_name, s AS start_us, e AS end_us, (e - s) / 1e6 AS duration_seconds FROM (
+  SELECT local_day AS day, timezone_name, epoch_us(timezone(timezone_name, CAST(local_day AS TIMESTAMP))) AS s, epoch_us(timezone(timezone_name, CAST(local_day + 1 AS TIMESTAMP))) AS e
+  FROM (SELECT DISTINCT local_day, timezone_name FROM day_windows WHERE regexp_matches(timezone_name, '{IANA}')))""")
+def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "day_windows").where(F.col("timezone_name").rlike(IANA)).select(F.col("local_day").alias("day"), "timezone_name").distinct()
+    return records.day_windows(days)
+
+
+WINDOWS_SQL = "(SELECT hostname, local_day AS day, min(epoch_us(window_start)) AS start_us, max(epoch_us(window_end)) AS end_us FROM day_windows WHERE window_start IS NOT NULL GROUP BY 1, 2)"
+ISO_SQL = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
+RAW_SQL = f"""
+WITH raw AS (
+  SELECT r.*, b.hostname, {KIND_SQL} AS kind, regexp_matches(trim(ts_text), '{ISO_SQL}([Zz]|[+-]\\d{{2}}:\\d{{2}})$') AS zoned, regexp_matches(trim(ts_text), '{ISO_SQL}$') AS naive
+  FROM raw_events r JOIN watch_buckets b USING (bucket_id) WHERE {KIND_SQL} IS NOT NULL
+), timed AS (
+  SELECT *, epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) AS s,
+         epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) + CAST(round_even(duration_seconds * 1e6, 0) AS BIGINT) AS e
+  FROM raw WHERE zoned
+), met AS (
+  SELECT t.*, w.day, w.start_us AS ws, w.end_us AS we, greatest(t.s, w.start_us) AS cs, least(t.e, w.end_us) AS ce
+  FROM timed t JOIN {WINDOWS_SQL} w ON w.hostname = t.hostname AND t.s < w.end_us AND greatest(t.s, coalesce(t.e, t.s)) >= w.start_us
+)""".replace("\\\\", "\\")
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = table(spark, sf_dir, "day_windows").where("window_start is not null").groupBy("hostname", F.col("local_day").alias("day"))
+    w = w.agg(F.min(F.unix_micros("window_start")).alias("start_us"), F.max(F.unix_micros("window_end")).alias("end_us"))
+    return records.normalised(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), w)
+
+
+def _field_sql(key: str) -> str:
+    return f"CASE WHEN json_valid(data_json) AND json_type(data_json, '$.{key}') = 'VARCHAR' THEN nullif(data_json ->> '$.{key}', '') END"
+
+
+@query(RAW_SQL + f"""
+SELECT hostname, day, event_id, bucket_id, kind, cs AS start_us, ce AS end_us, {_field_sql("app")} AS app, {_field_sql("title")} AS title, {_field_sql("status")} AS status
+FROM met WHERE ce > cs""")
+def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised(spark, sf_dir)[0].select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status")
+
+
+@query(RAW_SQL + """
+SELECT 'naive-timestamp' AS code, count(*) AS n FROM raw WHERE naive HAVING count(*) > 0
+UNION ALL SELECT 'non-positive-event', count(*) FROM met WHERE NOT coalesce(ce > cs, false) AND s >= ws AND s < we HAVING count(*) > 0""")
+def normalize_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised(spark, sf_dir)[1]
+
+
+@query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us FROM records", "records"))
+def day_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
+
+
+@query(sql("SELECT * FROM away", "away"))
+def afk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.away_intervals(_records(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us, app, title, project FROM active", "active"))
+def remove_afk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _active(spark, sf_dir).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "project")
+
+
+@query(sql("SELECT * FROM merged", "merged"))
+def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merged_adjacent(_active(spark, sf_dir)).select("hostname", "day", "event_id", "bucket_id", "kind", "app", "title", "start_us", "end_us")
+
+
+@query(sql("SELECT hostname, day, start_us, end_us FROM pieces", "pieces"))
+def elementary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.elementary(_active(spark, sf_dir))
+
+
+@query(sql("SELECT * FROM allocated", "allocated"))
+def window_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.allocated_windows(_active(spark, sf_dir))
+
+
+@query(sql("SELECT *, row_number() OVER (PARTITION BY hostname, day ORDER BY seconds DESC, lower(app), app) AS place FROM apps", "apps"))
+def app_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.app_totals(_active(spark, sf_dir))
+
+
+@query(sql("""
+SELECT a.hostname, a.day, count(*) AS entries, concat_ws(',', CASE WHEN bool_or(kind = 'current-window') THEN 'current-window' END, CASE WHEN bool_or(kind = 'editor') THEN 'editor' END, CASE WHEN bool_or(kind = 'browser') THEN 'browser' END) AS sources,
+       any_value(t.seconds) AS active_seconds
+FROM active a LEFT JOIN (SELECT hostname, day, sum(seconds) AS seconds FROM apps GROUP BY ALL) t ON t.hostname = a.hostname AND t.day = a.day GROUP BY a.hostname, a.day""", "apps", "active"))
+def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_heads(_active(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, event_id, start_us FROM records WHERE contains(lower(concat_ws(chr(1), project, app, title, file, url_host, bucket_id)), 'harbor')", "records"))
+def filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.project_filter(_records(spark, sf_dir), "Harbor").select("hostname", "day", "event_id", "start_us")
+
+
+@query(sql("SELECT hostname, day, evidence_id, event_id, start_us FROM observed", "observed"))
+def evidence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.numbered(_active(spark, sf_dir)).select("hostname", "day", "evidence_id", "event_id", "start_us")
+
+
+@query(sql("SELECT hostname, day, start_us, end_us, windows, focused, app, title, contexts FROM fused", "fused"))
+def fused_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
+    return _pieces(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "windows", "focused", "app", "title", ids.alias("contexts"))
+
+
+@query(sql("SELECT hostname, day, count(*) AS n FROM covered WHERE windows > 1 GROUP BY ALL", "covered"))
+def window_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.window_conflicts(_pieces(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, start_us, end_us, focused, app, title, contexts FROM slices", "slices"))
+def fused_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
+    return _slices(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "focused", "app", "title", ids.alias("contexts"))
+
+
+@query(sql("SELECT hostname, day, pos, key, name, session_no FROM numbered", "numbered"))
+def session_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.session_numbers(_slices(spark, sf_dir)).select("hostname", "day", F.col("_pos").alias("pos"), F.col("_key").alias("key"), F.col("_name").alias("name"), "session_no")
+
+
+@query(sql("SELECT * FROM sessions", "sessions"))
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
+
+
+@query(sql("SELECT hostname, day, sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds FROM slices GROUP BY hostname, day", "slices"))
+def focused_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.focused_totals(_slices(spark, sf_dir))
+
+
+@query(sql("""
+SELECT hostname, day, session_no, 'installer-started' AS code, 'An installer was started' AS label FROM numbered GROUP BY ALL HAVING bool_or(contains(lower(coalesce(app, '')), 'installer'))
+UNION ALL SELECT hostname, day, session_no, 'checkout-success', 'A checkout success state appeared' FROM numbered GROUP BY ALL HAVING bool_or(lower(title) IN ('success page', 'checkout success'))""", "numbered"))
+def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sessions(spark, sf_dir).select("hostname", "day", "session_no", F.explode("outcome_signals").alias("s"))
+    return found.select("hostname", "day", "session_no", "s.code", "s.label")
+
+
+@query()
+def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _sessions(spark, sf_dir).withColumn("a", F.explode(ep.session_anchors()))
+    return found.select("hostname", "day", "session_id", "a.kind", "a.value")
+
+
+@query()
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ep.episodes(_sessions(spark, sf_dir))
