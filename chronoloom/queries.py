@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom import sinks
+from chronoloom.functions import formatting, text_safety
 from chronoloom.operators import episodes as ep
 from chronoloom.operators import focus_sessions as fs
 from chronoloom.operators import fusion, intervals, records, reports
@@ -14,6 +17,10 @@ from chronoloom.operators.activity_sessions import host_sessions
 from chronoloom.operators.interval_sets import bucket_periods
 from chronoloom.operators.timestamps import event_instants
 from chronoloom.oracle_parts import sql
+from chronoloom.plans import digest, requests
+from chronoloom.sources import watchers
+from chronoloom.spark_tools import shared_folder
+from chronoloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,3 +266,168 @@ def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ep.episodes(_sessions(spark, sf_dir))
+
+
+# Text functions, paths, plans and digests.
+
+URL_SQL = "(SELECT DISTINCT data_json ->> '$.url' AS url FROM raw_events WHERE json_valid(data_json) AND json_type(data_json, '$.url') = 'VARCHAR')"
+
+
+@query(f"SELECT url, nullif(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)(?::[0-9]*)?(?:[/?#]|$)', 1)), '') AS host, nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '') AS path FROM {URL_SQL} WHERE url <> ''")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "raw_events").select(records.strict_text(F.try_parse_json("data_json"), "url").alias("url")).where("url is not null").distinct()
+    host, path = records.url_parts(F.col("url"))
+    return urls.select("url", host.alias("host"), path.alias("path"))
+
+
+@query("""
+SELECT url_host, url_path, CASE
+    WHEN starts_with(h, 'login.') OR starts_with(h, 'auth.') OR starts_with(h, 'accounts.') OR regexp_matches(lower(url_path), 'oauth|authorize|callback|signin|challenge|recover|reset') OR len(p) < 2 THEN NULL
+    WHEN h = 'github.com' THEN '/' || p[1] || '/' || p[2]
+    WHEN contains(h, 'gitlab') THEN '/' || array_to_string(CASE WHEN len(p) >= 5 AND p[3] = '-' AND p[4] IN ('merge_requests', 'jobs') THEN p[1:5] ELSE p[1:2] END, '/') END AS kept
+FROM (SELECT DISTINCT url_host, url_path, lower(url_host) AS h, list_filter(string_split(url_path, '/'), lambda x: x <> '') AS p FROM activity_records WHERE url_host <> '' AND url_path <> '')""")
+def safe_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "activity_records").where("url_host <> '' and url_path <> ''").select("url_host", "url_path").distinct()
+    return paths.withColumn("kept", text_safety.safe_path(F.col("url_host"), F.col("url_path")))
+
+
+@query("""
+SELECT event_id, ingested_at, CASE WHEN s > 0 AND s < 60 THEN '<1m' WHEN h > 0 AND m % 60 > 0 THEN h || 'h ' || (m % 60) || 'm' WHEN h > 0 THEN h || 'h' ELSE (m % 60) || 'm' END AS took,
+       strftime(start_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_ts) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(start_ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS began,
+       strftime(timezone('America/St_Johns', start_ts), '%H:%M') AS clock
+FROM (SELECT *, m // 60 AS h FROM (SELECT *, greatest(0, CAST(floor((s + 30) / 60) AS BIGINT)) AS m FROM (SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 AS s FROM activity_records WHERE end_ts IS NOT NULL)))""")
+def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "activity_records").where("end_ts is not null")
+    us = F.unix_micros("start_ts")
+    return rows.select("event_id", "ingested_at", formatting.duration_text((F.unix_micros("end_ts") - us) / 1e6).alias("took"), formatting.iso_text(us).alias("began"), formatting.clock_text(us, F.lit("America/St_Johns")).alias("clock"))
+
+
+@query(r"""
+SELECT file, regexp_replace(replace(replace(replace(replace(file, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'), '([`*_{}\[\]#+|])', '\\\1', 'g') AS escaped, '`' || file || '`' AS code,
+       list_last(string_split(list_last(string_split(file, '/')), '\')) AS name
+FROM (SELECT DISTINCT file FROM activity_records WHERE file IS NOT NULL AND NOT contains(file, '`'))""")
+def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "activity_records").where("file is not null and not contains(file, '`')").select("file").distinct()
+    f = F.col("file")
+    return files.select("file", formatting.markdown_text(f).alias("escaped"), formatting.code_text(f).alias("code"), formatting.last_part(f).alias("name"))
+
+
+@query()
+def safe_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_safety.observations(_active(spark, sf_dir))
+
+
+@query()
+def sendable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = table(spark, sf_dir, "activity_records").select("app", "title").distinct()
+    return titles.withColumn("sent", text_safety.sendable_title(F.col("app"), F.col("title")))
+
+
+@query("""
+WITH RECURSIVE d AS (
+  SELECT thread_id, doc_id, n_chars, row_number() OVER (PARTITION BY thread_id ORDER BY doc_id) AS no FROM documents WHERE n_chars IS NOT NULL AND thread_id IS NOT NULL
+), f AS (
+  SELECT thread_id, doc_id, no, 1 AS chunk, 10 + n_chars AS held FROM d WHERE no = 1
+  UNION ALL
+  SELECT d.thread_id, d.doc_id, d.no, CASE WHEN f.held + 2 + d.n_chars > 2000 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.held + 2 + d.n_chars > 2000 THEN 10 + d.n_chars ELSE f.held + 2 + d.n_chars END
+  FROM f JOIN d ON d.thread_id = f.thread_id AND d.no = f.no + 1
+) SELECT thread_id, doc_id, chunk FROM f""")
+def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "documents").where("n_chars is not null and thread_id is not null").select("thread_id", "doc_id", "n_chars")
+    return requests.chunked(items, ["thread_id"], ["doc_id"], "n_chars", 2000, base=10, joint=2).select("thread_id", "doc_id", "chunk")
+
+
+@query()
+def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.request_plan(ep.episodes(_sessions(spark, sf_dir)), target=20_000)
+
+
+def _as_episodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions in the place of episodes, and workstreams that each take every third of them."""
+    items = _sessions(spark, sf_dir).select("hostname", "day", F.col("session_id").alias("episode_id"), "session_no", "start_us", "end_us", "active_seconds")
+    streams = items.groupBy("hostname", "day", (F.col("session_no") % 3).alias("workstream")).agg(F.collect_list("episode_id").alias("episode_ids"))
+    return items, streams
+
+
+@query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(active_seconds) AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
+def digest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams = _as_episodes(spark, sf_dir)
+    return digest.rolled_up(streams, items)
+
+
+@query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id FROM sessions WHERE session_no % 3 = 2", "sessions"))
+def digest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams = _as_episodes(spark, sf_dir)
+    return digest.unassigned(streams.where("workstream <> 2"), items)
+
+
+@query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id, CASE WHEN session_no % 3 = 2 THEN 0 ELSE 2 END AS times FROM sessions WHERE session_no % 3 = 2 OR session_no = 1", "sessions"))
+def final_allocation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams = _as_episodes(spark, sf_dir)
+    return digest.misallocated(streams.where("workstream <> 2"), items.where("session_no = 1"), items)
+
+
+@query()
+def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams = _as_episodes(spark, sf_dir)
+    name = F.format_string("provisional-001-%03d", F.col("workstream") + 1)
+    topic = F.array(F.concat(F.lit("topic "), (F.col("workstream") % 2).cast("string")))
+    provisional = streams.select("hostname", "day", F.col("workstream").alias("place"), name.alias("provisional_id"), name.alias("label"), F.lit("low").alias("confidence"), F.array_sort("episode_ids").alias("episode_ids"), topic.alias("topics"), topic.alias("outcomes"))
+    groups = items.select("hostname", "day").distinct().select("*", F.lit(0).alias("group_no"), F.lit("both").alias("label"), F.lit("high").alias("confidence"), F.array(F.lit("provisional-001-003"), F.lit("provisional-001-001")).alias("provisional_ids"))
+    return digest.merged(provisional, groups)
+
+
+@query()
+def session_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.bundle_json(_sessions(spark, sf_dir), "session", details=True)
+
+
+@query()
+def session_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.bundle_markdown(_sessions(spark, sf_dir), "session", details=True, raw=True)
+
+
+@query()
+def episode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.bundle_json(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
+
+
+@query()
+def episode_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.bundle_markdown(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
+
+
+@query()
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = _active(spark, sf_dir)
+    return sinks.report_markdown(intervals.merged_adjacent(active), reports.report_heads(active), reports.app_totals(active))
+
+
+EVENT_KIND = "CASE event_type WHEN 'view' THEN 'current-window' WHEN 'click' THEN 'browser' WHEN 'purchase' THEN 'editor' WHEN 'error' THEN 'afk' END"
+
+
+@query(f"""
+WITH e AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, event_type || '-' || (user_id % 3) AS bucket_id, {EVENT_KIND} AS kind, CAST(props ->> '$.k' AS INTEGER) AS k,
+         epoch_us(ts) AS s, epoch_us(ts) + CAST(round_even(((value - 5) * 10) * 1e6, 0) AS BIGINT) AS e FROM events
+), x AS (
+  SELECT e.*, d.d FROM e, LATERAL (SELECT unnest(range(s // 86400000000, e.e // 86400000000 + 1)) AS d) d WHERE kind IS NOT NULL AND k % 50 <> 0 AND e.e > s
+)
+SELECT DATE '1970-01-01' + CAST(d AS INTEGER) AS day, event_id, bucket_id, kind, greatest(s, d * 86400000000) AS start_us, least(e, (d + 1) * 86400000000) AS end_us, ['msedge.exe', 'Code.exe', 'slack.exe', 'setup-installer.exe', 'explorer.exe'][k % 5 + 1] AS app
+FROM x WHERE least(e, (d + 1) * 86400000000) > greatest(s, d * 86400000000)""")
+def events_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, buckets = watchers.events_as_raw(table(spark, sf_dir, "events"))
+    days = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    days = days.select(F.explode(F.sequence(F.date_sub("a", 1), F.date_add("b", 2))).alias("day")).withColumn("timezone_name", F.lit("UTC"))
+    windows = records.day_windows(days).withColumn("hostname", F.lit("events"))
+    return records.normalised(raw, buckets, windows)[0].select("day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app")
+
+
+@query()
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming operator over the table as a stream of files, until all of it is read."""
+    path, name = f"{sf_dir.rstrip('/')}/activity_records.parque[t]", uuid.uuid4().hex  # a pattern may be a file or a folder
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).where("kind <> 'afk'")
+    out = f"{shared_folder(spark)}/live-{name}"
+    live.live_sessions(rows, "bucket_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("bucket_id string, start_us bigint, end_us bigint, n_events bigint").parquet(out)
