@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.functions.timezones import abbreviation_meanings, offset_seconds, zone_key, zone_table
-from chronoloom.spark_tools import small_join
+from chronoloom.spark_tools import BROADCAST_ROWS, small_join, written
 
 #: Prior weight of each reading of a date of digits. A weight of 0 forbids a reading.
 MONTH_FIRST_SLASHES = {"slash_mdy": 1.0, "slash_dmy": 0.0, "dot_dmy": 1.0, "dot_mdy": 0.0}
@@ -29,11 +29,13 @@ EPOCH_FROM_S, EPOCH_TO_S = 315_532_800, 4_102_444_800
 EPOCH_UNITS = {"epoch_s": 0, "epoch_ms": 3, "epoch_us": 6, "epoch_ns": 9}
 
 
-def _parts(text: Column, pattern: str, groups: int) -> list[Column]:
-    """All groups of one match, by a single evaluation of the pattern; null without a match."""
-    at = F.split(F.regexp_replace(text, pattern, SEP.join(f"${i + 1}" for i in range(groups))), SEP)
-    at = F.when(F.size(at) == groups, at)
-    return [at.getItem(i) for i in range(groups)]
+def _groups(text: Column, pattern: str, groups: int) -> Column:
+    """All groups of one match as an array, by a single evaluation of the pattern; of another size without a match."""
+    return F.split(F.regexp_replace(text, pattern, SEP.join(f"${i + 1}" for i in range(groups))), SEP)
+
+
+def _part(array: str, i: int, of: int) -> Column:
+    return F.when(F.size(array) == of, F.get(array, F.lit(i)))
 
 
 def _day_us(y: Column, m: Column, d: Column) -> Column:
@@ -51,44 +53,56 @@ def _month(name: Column) -> Column:
 
 
 def parsed_texts(df: DataFrame, text: str, zones: DataFrame) -> DataFrame:
-    """Adds `_readings`, an array of (component, local_us, offset_s, zone_id): every valid reading of `text` by layout, and `_zone`, the zone as written.
+    """Adds `_readings`, an array of (component, local_us): every valid reading of `text` by layout, and its zone as `_zone`, `_name`,
+    `_offset` (seconds, of offsets in digits) and `_written` (zone id, of zone names); an abbreviation stays in `_name`.
 
-    offset_s and zone_id are null where the text has no zone; an abbreviation stays in `_zone`. `local_us` holds the instant itself for numbers.
-    Everything here is built-in expressions; a text is matched once by each pattern.
+    `local_us` holds the instant itself for numbers. Everything here is built-in expressions, in steps, so that each pattern runs once a text.
     """
     t = F.regexp_replace(F.translate(F.col(text), "\u2212\u2012\u2013\u00a0\u202f\u2009\u3000", "---    "), "[\u200b\u200e\u200f\ufeff]", "")
     t = F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), COMPACT, "$1-$2-$3T$4:$5:$6")
     t = F.regexp_replace(F.regexp_replace(t, r"(T\d{2}:\d{2}):(?=\D|$)", "$1"), YEAR_LAST, "$1 $3 $2 $6 $4$5")
     df = df.withColumn("_t", t)
-    date, hour, minute, second, frac, half, zone = _parts(F.col("_t"), WHOLE, 7)
-    df = df.withColumns({"_date": date, "_h": hour.try_cast("int"), "_mi": minute.try_cast("int"), "_sec": F.coalesce(F.nullif(second, F.lit("")).try_cast("int"), F.lit(0)), "_frac": frac, "_half": F.lower(F.substring(half, 1, 1)), "_zone": F.trim(F.regexp_replace(zone, r"^([^\[]*?)\s*\[(.*)\]$", "$1|$2"))})
-    h = F.when(F.col("_half") == "", F.when(F.col("_h") < 24, F.col("_h")))
-    h = F.when(F.col("_half") == "p", F.when(F.col("_h").between(1, 12), F.col("_h") % 12 + 12)).when(F.col("_half") == "a", F.when(F.col("_h").between(1, 12), F.col("_h") % 12)).otherwise(h)
-    clock = F.when((F.col("_mi") < 60) & (F.col("_sec") < 60), (h * 3600 + F.col("_mi") * 60 + F.col("_sec")).cast("long") * 1_000_000 + F.rpad(F.substring("_frac", 1, 6), 6, "0").try_cast("long"))
-    df = df.withColumn("_clock", clock)
-
-    ymd, xy, dmy, mdy = _parts(F.col("_date"), YMD, 4), _parts(F.col("_date"), XY, 4), _parts(F.col("_date"), D_MON_Y, 3), _parts(F.col("_date"), MON_D_Y, 3)
-    kind = F.when(xy[1] == "/", F.lit("slash")).otherwise(F.lit("dot"))
-    readings = [
-        ("ymd", F.lit("ymd"), _day_us(ymd[0], ymd[2], ymd[3])),
-        ("xy", F.concat(kind, F.lit("_mdy")), _day_us(xy[3], xy[0], xy[2])),
-        ("yx", F.concat(kind, F.lit("_dmy")), _day_us(xy[3], xy[2], xy[0])),
-        ("day_month", F.lit("day_month"), _day_us(dmy[2], _month(dmy[1]), dmy[0])),
-        ("month_day", F.lit("month_day"), _day_us(mdy[2], _month(mdy[0]), mdy[1])),
-    ]
-    # The zone: an offset before any bracket, else a name of either vocabulary, else an abbreviation (left for later).
-    first, last = F.element_at(F.split("_zone", r"\|"), 1), F.element_at(F.split("_zone", r"\|"), -1)
-    df = df.withColumns({"_offset": F.when(F.upper(first).isin("Z", "UTC", "GMT", "UT"), F.lit(0)).otherwise(offset_seconds(first)), "_name": last})
-    df = small_join(df.withColumn("zone_key", zone_key("_name")), zones.select("zone_key", F.col("zone_id").alias("_written")).where("zone_key like '%/%'"), ["zone_key"])
-    one = [F.when(F.col("_clock").isNotNull() & day.isNotNull(), F.struct(name.alias("component"), (day + F.col("_clock")).alias("local_us"))) for _, name, day in readings]
-
-    number, digits = _parts(F.col("_t"), NUMBER, 2)
+    df = df.withColumns({"_w": _groups(F.col("_t"), WHOLE, 7), "_n": _groups(F.col("_t"), NUMBER, 2)})
+    date, hour, minute, second, frac, half, zone = (_part("_w", i, 7) for i in range(7))
+    df = df.withColumns({
+        "_date": date,
+        "_h": hour.try_cast("int"),
+        "_mi": minute.try_cast("int"),
+        "_sec": F.coalesce(F.nullif(second, F.lit("")).try_cast("int"), F.lit(0)),
+        "_us": F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("int"),
+        "_half": F.lower(F.substring(half, 1, 1)),
+        "_zone": F.trim(F.regexp_replace(zone, r"^([^\[]*?)\s*\[(.*)\]$", "$1|$2")),
+        "_number": _part("_n", 0, 2),
+        "_digits": _part("_n", 1, 2),
+    }).drop("_w", "_n")
+    df = df.withColumns({"_ymd": _groups(F.col("_date"), YMD, 4), "_xy": _groups(F.col("_date"), XY, 4), "_dmy": _groups(F.col("_date"), D_MON_Y, 3), "_mdy": _groups(F.col("_date"), MON_D_Y, 3)})
+    h = F.col("_h")
+    h = F.when(F.col("_half") == "", F.when(h < 24, h)).when(h.between(1, 12), h % 12 + F.when(F.col("_half") == "p", 12).otherwise(0))
+    # An offset before any bracket counts; else a name of either vocabulary; else an abbreviation, which is left for later.
+    df = df.withColumns({
+        "_clock": F.when((F.col("_mi") < 60) & (F.col("_sec") < 60), (h * 3600 + F.col("_mi") * 60 + F.col("_sec")).cast("long") * 1_000_000 + F.col("_us")),
+        "_first": F.element_at(F.split("_zone", r"\|"), 1),
+        "_name": F.element_at(F.split("_zone", r"\|"), -1),
+        "_d_ymd": _day_us(_part("_ymd", 0, 4), _part("_ymd", 2, 4), _part("_ymd", 3, 4)),
+        "_d_mdy": _day_us(_part("_xy", 3, 4), _part("_xy", 0, 4), _part("_xy", 2, 4)),
+        "_d_dmy": _day_us(_part("_xy", 3, 4), _part("_xy", 2, 4), _part("_xy", 0, 4)),
+        "_d_d_mon": _day_us(_part("_dmy", 2, 3), _month(_part("_dmy", 1, 3)), _part("_dmy", 0, 3)),
+        "_d_mon_d": _day_us(_part("_mdy", 2, 3), _month(_part("_mdy", 0, 3)), _part("_mdy", 1, 3)),
+        "_kind": F.when(_part("_xy", 1, 4) == "/", F.lit("slash")).otherwise(F.lit("dot")),
+    })
+    df = df.withColumns({"_offset": F.when(F.upper("_first").isin("Z", "UTC", "GMT", "UT"), F.lit(0)).otherwise(offset_seconds(F.col("_first"))), "_zone_name": zone_key("_name")})
+    written = zones.where("zone_key like '%/%'").select(F.col("zone_key").alias("_zone_name"), F.col("zone_id").alias("_written"))
+    df = df.join(F.broadcast(written), "_zone_name", "left")  # some 600 names, whatever the data
+    named = [(F.lit("ymd"), "_d_ymd"), (F.concat("_kind", F.lit("_mdy")), "_d_mdy"), (F.concat("_kind", F.lit("_dmy")), "_d_dmy"), (F.lit("day_month"), "_d_d_mon"), (F.lit("month_day"), "_d_mon_d")]
+    one = [F.when(F.col(day).isNotNull() & F.col("_clock").isNotNull(), F.struct(name.alias("component"), (F.col(day) + F.col("_clock")).alias("local_us"))) for name, day in named]
     for name, places in EPOCH_UNITS.items():
         # Digits are moved, not multiplied, so nothing is rounded: 6 - places digits of the fraction come in, or places - 6 of the number go.
-        us = F.concat(number, F.rpad(F.substring(digits, 1, 6 - places), 6 - places, "0")) if places < 6 else number if places == 6 else F.substring(number, F.lit(1), F.length(number) - (places - 6))
+        n = F.col("_number")
+        us = F.concat(n, F.rpad(F.substring("_digits", 1, 6 - places), 6 - places, "0")) if places < 6 else n if places == 6 else F.substring(n, F.lit(1), F.length(n) - (places - 6))
         us = us.try_cast("long")
         one.append(F.when(us.between(EPOCH_FROM_S * 1_000_000, EPOCH_TO_S * 1_000_000), F.struct(F.lit(name).alias("component"), us.alias("local_us"))))
-    return df.withColumn("_readings", F.filter(F.array(*one), lambda x: x.isNotNull())).drop("_t", "_date", "_h", "_mi", "_sec", "_frac", "_half", "_clock", "zone_key")
+    df = df.withColumn("_readings", F.filter(F.array(*one), lambda x: x.isNotNull()))
+    return df.drop("_t", "_date", "_h", "_mi", "_sec", "_us", "_half", "_number", "_digits", "_ymd", "_xy", "_dmy", "_mdy", "_clock", "_first", "_d_ymd", "_d_mdy", "_d_dmy", "_d_d_mon", "_d_mon_d", "_kind", "_zone_name")
 
 
 def mixture_weights(counts: DataFrame, source: str, priors: dict[str, float], pseudo: float = 0.5, rounds: int = 25) -> DataFrame:
@@ -137,40 +151,47 @@ def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFra
     rows = df.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.col(text).alias("_text"))
     parsed = parsed_texts(rows, "_text", zones)
     w = windows.select(F.col(source).alias("_source"), "local_day", zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and local_day is not null")
-    w = small_join(w.distinct(), zones, ["zone_key"]).withColumn("_fixed", offset_seconds(F.col("zone_key")))
+    w = w.distinct().join(F.broadcast(zones), "zone_key", "left").withColumn("_fixed", offset_seconds(F.col("zone_key")))
     w = w.where("zone_id is not null or _fixed is not null").groupBy("_source", F.col("local_day").alias("_day"))
     w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"), F.first("uses", ignorenulls=True).alias("_uses"))
     w = w.select("_source", "_day", F.nullif(F.col("_w.z"), F.lit("")).alias("_zone_id"), F.col("_w._fixed").alias("_fixed"), "_uses")
 
-    # One row per reading is needed only where readings differ in their day; a day is looked up for each.
-    parsed = parsed.withColumn("_id", F.monotonically_increasing_id()).withColumn("_reading", F.explode_outer("_readings")).drop("_readings")
-    parsed = parsed.withColumns({"_day": F.timestamp_micros(F.col("_reading.local_us")).cast("date") if spark.conf.get("spark.sql.session.timeZone") == "UTC" else F.date_from_unix_date(F.floor(F.col("_reading.local_us") / 86_400_000_000).cast("int"))})
-    n = w.limit(100_001).count()
-    parsed = parsed.join(F.broadcast(w) if n <= 100_000 else w, ["_source", "_day"], "left")
-    local, number = F.col("_reading.local_us"), F.col("_reading.component").startswith("epoch")
-    abbreviation = F.when(F.col("_name").rlike("^[A-Za-z]{2,5}$"), F.upper("_name"))
-    meanings = F.create_map(*[x for k, v in sorted(abbreviation_meanings().items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    used = F.try_element_at(F.col("_uses"), abbreviation)
-    offsets = F.when(used.isNotNull(), F.array(used)).otherwise(F.try_element_at(meanings, abbreviation))
-    at = lambda zone: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
-    simple = (
-        F.when(number, local)
-        .when(F.col("_offset").isNotNull(), local - F.col("_offset").cast("long") * 1_000_000)
-        .when(F.col("_written").isNotNull(), at(F.col("_written")))
-        .when((F.col("_zone") == "") & F.col("_zone_id").isNotNull(), at(F.col("_zone_id")))
-        .when((F.col("_zone") == "") & F.col("_fixed").isNotNull(), local - F.col("_fixed").cast("long") * 1_000_000)
-    )
-    component = F.col("_reading.component")
-    named = F.transform(offsets, lambda o: F.struct(F.concat(component, F.lit(":"), abbreviation, F.lit("@"), o.cast("string")).alias("c"), (local - o.cast("long") * 1_000_000).alias("us")))
-    options = F.when(simple.isNotNull(), F.array(F.struct(component.alias("c"), simple.alias("us")))).when(abbreviation.isNotNull() & ~number, named)
-    parsed = parsed.withColumn("_options", options).withColumn("_valid", component.isNotNull() & (number | (F.col("_zone") == "") | F.col("_options").isNotNull()))
-    # Readings of one text come together again; they lie in one partition, so this is no more than a small shuffle of their keys.
-    flat = parsed.groupBy("_id").agg(F.first("_row").alias("_row"), F.first("_source").alias("_source"), F.flatten(F.collect_list("_options")).alias("_all"), F.max("_valid").alias("_valid"))
+    # A text has at most two readings by layout (month or day first), each with the zone of its own day.
+    narrow = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for i in (0, 1):
+        parsed = parsed.withColumn(f"_r{i}", F.get("_readings", F.lit(i)))
+        parsed = parsed.withColumn(f"_day{i}", F.date_from_unix_date(F.floor(F.col(f"_r{i}.local_us") / 86_400_000_000).cast("int")))
+        day = w.withColumnsRenamed({"_day": f"_day{i}", "_zone_id": f"_zone{i}", "_fixed": f"_fixed{i}", "_uses": f"_uses{i}"})
+        parsed = parsed.join(F.broadcast(day) if narrow else day, ["_source", f"_day{i}"], "left")
+    meanings = spark.createDataFrame(sorted(abbreviation_meanings().items()), "_abbreviation string, _meanings array<int>")
+    parsed = parsed.withColumn("_abbreviation", F.when(F.col("_name").rlike("^[A-Za-z]{2,5}$"), F.upper("_name")))
+    parsed = parsed.join(F.broadcast(meanings), "_abbreviation", "left")  # a few hundred abbreviations, whatever the data
+
+    def options(i: int) -> Column:
+        local, component = F.col(f"_r{i}.local_us"), F.col(f"_r{i}.component")
+        at = lambda zone: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col(zone)))
+        simple = (
+            F.when(component.startswith("epoch"), local)
+            .when(F.col("_offset").isNotNull(), local - F.col("_offset").cast("long") * 1_000_000)
+            .when(F.col("_written").isNotNull(), at("_written"))
+            .when((F.col("_zone") == "") & F.col(f"_zone{i}").isNotNull(), at(f"_zone{i}"))
+            .when((F.col("_zone") == "") & F.col(f"_fixed{i}").isNotNull(), local - F.col(f"_fixed{i}").cast("long") * 1_000_000)
+        )
+        used = F.try_element_at(F.col(f"_uses{i}"), F.col("_abbreviation"))
+        offsets = F.when(used.isNotNull(), F.array(used)).otherwise(F.col("_meanings"))
+        named = F.transform(offsets, lambda o: F.struct(F.concat(component, F.lit(":"), F.col("_abbreviation"), F.lit("@"), o.cast("string")).alias("c"), (local - o.cast("long") * 1_000_000).alias("us")))
+        return F.when(simple.isNotNull(), F.array(F.struct(component.alias("c"), simple.alias("us")))).when(F.col("_abbreviation").isNotNull(), named)
+
+    parsed = parsed.withColumns({"_o0": F.when(F.col("_r0").isNotNull(), options(0)), "_o1": F.when(F.col("_r1").isNotNull(), options(1))})
+    # Valid: a number, a time of the host's zone, or one with a zone that is known.
+    valid = F.col("_r0").isNotNull() & ((F.col("_zone") == "") | F.coalesce("_o0", "_o1").isNotNull())
+    none = F.array().cast("array<struct<c:string,us:bigint>>")
+    flat = parsed.select("_row", "_source", F.concat(F.coalesce("_o0", none), F.coalesce("_o1", none)).alias("_all"), F.coalesce(valid, F.lit(False)).alias("_valid"))
     flat = flat.withColumn("_signature", F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["c"]))))
+    flat = written(flat, "readings")  # read twice: for the counts, and for the choice
     counts = flat.where(F.size("_signature") > 0).groupBy("_source", F.col("_signature").alias("signature")).agg(F.count(F.lit(1)).alias("n"))
     fitted = mixture_weights(counts, "_source", _expanded(priors))
-    n = fitted.limit(100_001).count()
-    flat = flat.join(F.broadcast(fitted) if n <= 100_000 else fitted, "_source", "left")
+    flat = small_join(flat, fitted, ["_source"])
     scored = F.transform("_all", lambda x: F.struct(F.coalesce(F.try_element_at(F.col("weights"), x["c"]), F.lit(0.0)).alias("w"), (-x["us"]).alias("late"), x["c"].alias("c"), x["us"].alias("us")))
     flat = flat.withColumn("_scored", F.filter(scored, lambda x: x["w"] > 0)).withColumn("_best", F.array_max("_scored"))
     total = F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + x["w"])
