@@ -74,7 +74,8 @@ def packed(items: DataFrame, capacity: int) -> DataFrame:
         by_length[length].append((lo, hi, base, times))
     table = spark.createDataFrame(sorted(by_length.items()), "_len int, _slots array<struct<lo:bigint,hi:bigint,base:bigint,times:int>>")
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_len", "_part").orderBy("key", "piece_no")) - 1)
-    ranked = ranked.join(F.broadcast(offsets) if len(histogram) * RANK_PARTS <= 600_000 else offsets, ["_len", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
+    # The window left the rows dealt by length and part, so this join moves only the offsets.
+    ranked = ranked.join(offsets.hint("merge"), ["_len", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
     ranked = ranked.join(F.broadcast(table), "_len")
     slot = F.element_at(F.filter("_slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"])), 1)
     out = ranked.withColumn("_slot", slot)
