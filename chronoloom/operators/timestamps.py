@@ -148,9 +148,10 @@ def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFra
     priors = EITHER_ORDER if priors is None else priors
     zones = zone_table(spark)
     keep = df.columns
-    rows = df.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.col(text).alias("_text"))
+    # Rows without a source are a source of their own, with no windows.
+    rows = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit(SEP)).alias("_source"), F.col(text).alias("_text"))
     parsed = parsed_texts(rows, "_text", zones)
-    w = windows.select(F.col(source).alias("_source"), "local_day", zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and local_day is not null")
+    w = windows.select(F.col(source).cast("string").alias("_source"), "local_day", zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and local_day is not null")
     w = w.distinct().join(F.broadcast(zones), "zone_key", "left").withColumn("_fixed", offset_seconds(F.col("zone_key")))
     w = w.where("zone_id is not null or _fixed is not null").groupBy("_source", F.col("local_day").alias("_day"))
     w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"), F.first("uses", ignorenulls=True).alias("_uses"))
