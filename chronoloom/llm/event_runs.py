@@ -19,7 +19,7 @@ from chronoloom.spark_tools import end_or_start, latest_rows, micros, written
 #: Marks that change by themselves while the same thing stays on screen, in folded text. A counter in brackets before a phone number is an area code.
 LEADING_MARKS = regex.compile(
     r"""^\s*(?:
-      \((?!0)\d{1,3}\+?\)\s*(?!\d{3}[-. ]\d{4}(?!\d))   # (12)
+      \((?!0)\d{1,3}\+?\)\s*+(?!\d{3}[-. ]\d{4}(?!\d))   # (12)
     | \[\d{1,3}\+?\]\s*                                 # [3]
     | \(?\d{1,3}\s?%\)?\s*(?:[-–—|:]\s*|(?=\s))         # 65% -
     | \d{1,2}:\d{2}(?::\d{2})?\s+[-–—|]\s+              # 02:10:32 -
@@ -76,12 +76,14 @@ def content_key_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series([memo[None if not isinstance(a, str) else a, None if not isinstance(t, str) else t] for a, t in zip(apps, titles)], dtype="int64")
 
 
-def optimal_segments(n: int, step: Callable[[int, int, int], float | None], penalty: float = 1.0, state: Callable[[int, int | None], int] | None = None) -> list[int]:
+def optimal_segments(n: int, step: Callable[[int, int, int], float | None], penalty: float = 1.0, state: Callable[[int, int | None], int] | None = None, nested: bool = False) -> list[int]:
     """Starts of the segments of events 0..n-1 with the least sum of within-run dissimilarity plus `penalty` per boundary.
 
     step(j, start_state) tells the dissimilarity that event j adds to a run, or None if it can't belong to it; `state` folds an event into
     what a run must remember (its latest end). Pruned dynamic programming: a start is dropped once its cost without a further boundary
-    reaches the best cost with one, since costs only grow; of equal costs the earliest start wins, so that ties give the longest runs.
+    reaches the best cost with one, since costs only grow and a fresh start never costs more; of equal costs the earliest start wins, so
+    that ties give the longest runs. `nested` tells that whatever fits a run fits one that began earlier at no more cost; then a later
+    start that costs no less is dropped at once, and the work is linear.
     """
     best, back = [0.0] + [0.0] * n, [0] * (n + 1)
     live: list[list] = []  # start, cost of the run so far added to best[start], state
@@ -97,9 +99,8 @@ def optimal_segments(n: int, step: Callable[[int, int, int], float | None], pena
         top = min(kept, key=lambda c: c[1])
         best[j + 1], back[j + 1] = top[1], top[0]
         live = [c for c in kept if c is top or c[1] < top[1] + penalty]
-        # A start whose cost is no less than that of an earlier one that allows at least as much can never win.
-        if len(live) > 1 and live[0][1] <= live[-1][1] and live[0] is top:
-            live = [c for c in live if c is top or c[1] < top[1]]
+        if nested:
+            live = [c for c in live if c[0] <= top[0] or c[1] < top[1]]
     out, j = [], n
     while j > 0:
         out.append(back[j])
@@ -116,7 +117,7 @@ def _segmenter(gap_us: int, penalty: float):
     def pieces(bucket: str | None, chunk: int, s: list, e: list, key: list, ids: list) -> list[tuple]:
         n = len(s)
         step = lambda j, i, top: 0.0 if key[j] == key[i] and s[j] <= top + gap_us else None
-        starts = optimal_segments(n, step, penalty, lambda j, top: e[j] if top is None or e[j] > top else top)
+        starts = optimal_segments(n, step, penalty, lambda j, top: e[j] if top is None or e[j] > top else top, nested=True)
         change = next((a for a in starts if key[a] != key[0]), n)
         final = next((a for a in reversed(starts) if key[a] != key[-1]), -1)
         return [(bucket, chunk, key[a], s[a], max(e[a:b]), b - a, ids[a], ids[b - 1], a < change, a > final) for a, b in zip(starts, [*starts[1:], n])]

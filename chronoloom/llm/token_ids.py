@@ -51,7 +51,7 @@ def chunk_ends(raw: np.ndarray, every: int = CUT_EVERY) -> np.ndarray:
     for k in range(1, 9):
         h = h << np.uint64(8) | raw[at - k].astype(np.uint64)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return at[h < np.uint64(2**64 // every)]
+    return at[h <= np.uint64((2**64 - 1) // every)]
 
 
 class Encoder:
