@@ -15,10 +15,10 @@ def live_sessions(rows: DataFrame, key: str, gap_seconds: int = 300, late: str =
     """Sessions of a stream with `key`, start_ts, end_ts: key, start_us, end_us, n_events; emitted when the watermark passes their end.
 
     Each row's window lasts from its start to its end plus the gap, and windows that meet are one session, so that long rows bridge as in the
-    batch operator. State holds one row per open session. Equal limits join: a microsecond is added to the gap.
+    batch operator. State holds one row per open session. A row that starts just at the limit joins.
     """
     end = F.greatest("start_ts", F.coalesce("end_ts", "start_ts"))
-    seconds = (F.unix_micros(end) - F.unix_micros("start_ts") + 1) / 1e6 + gap_seconds
+    seconds = (F.unix_micros(end) - F.unix_micros("start_ts")) / 1e6 + gap_seconds
     window = F.session_window("start_ts", F.make_interval(secs=seconds.cast("decimal(18,6)")))
     grouped = rows.where("start_ts is not null").withWatermark("start_ts", late).groupBy(F.col(key), window)
     out = grouped.agg(F.max(end).alias("_end"), F.count(F.lit(1)).alias("n_events"))
