@@ -14,11 +14,10 @@ from chronoloom.llm.token_ids import VOCABULARY, Encoder, encoding, token_bytes
 
 # Places to cut and the penalty of a cut there: paragraphs and code blocks, lines, sentences, clauses, words, signs inside long strings.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, SIGN, ANYWHERE = 0.0, 0.6, 1.0, 2.0, 3.0, 6.0, 20.0
-#: A match ends at the place. Words, clauses and sentences are found by their spaces, without a pattern.
-PATTERNS = [
-    (LINE, re.compile(rb"\n|<br\s*/?>|</li>|</blockquote>")),
-    (PARAGRAPH, re.compile(rb"\n[ \t\r]*\n+|(?:<br\s*/?>\s*){2,}|</p>|</pre>|\n(?=```)|```[^\n`]*\n|\n(?=#{1,6} )")),
-]
+#: A match ends at the place. Lines, words, clauses and sentences are found by their bytes, without a pattern.
+LINE_TAG = re.compile(rb"<br\s*/?>|</li>|</blockquote>")
+PARAGRAPH_TAG = re.compile(rb"(?:<br\s*/?>\s*){2,}|</p>|</pre>")
+PARAGRAPH_END = re.compile(rb"\n(?:[ \t\r]*\n+|(?=```)|(?=#{1,6} ))|```[^\n`]*\n")
 WIDE_SENTENCE = re.compile(rb"\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xe0\xa5\xa4")
 WIDE_CLAUSE = re.compile(rb"\xe3\x80\x81|\xef\xbc\x8c")
 SIGNS = re.compile(rb"[^\w\s\x80-\xff](?=\w)")
@@ -64,8 +63,15 @@ class Splitter:
         if not raw.isascii():
             mark(ended(WIDE_CLAUSE), CLAUSE)
             mark(ended(WIDE_SENTENCE), SENTENCE)
-        for cost, pattern in PATTERNS:
-            mark(ended(pattern), cost)
+        tags = b"<" in raw
+        if tags:
+            mark(ended(LINE_TAG), LINE)
+        lines = np.flatnonzero(bytes_ == 10) + 1
+        if len(lines):
+            mark(lines, LINE)
+            mark(ended(PARAGRAPH_END), PARAGRAPH)
+        if tags:
+            mark(ended(PARAGRAPH_TAG), PARAGRAPH)
         first = np.arange(0, n + 1, STRETCH)
         best = np.minimum.reduceat(penalty, first)
         if np.isinf(best).any():
