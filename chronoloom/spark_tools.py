@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a dimension table is broadcast; beyond it the join shuffles.
@@ -27,13 +27,14 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 
 
 def latest_rows(df: DataFrame, id_col: str, version_col: str, ties: list[str]) -> DataFrame:
-    """The row with the greatest `version_col` for each `id_col`; equal versions are settled by `ties`.
+    """The row with the greatest `version_col` for each `id_col`; equal versions are settled by `ties`, so that only equal rows are alike.
 
-    Rows without an id are all kept: nothing says that two of them are the same record.
+    An aggregation, so that copies meet before the shuffle: an id may hold a third of all rows. Rows without an id are all kept, since
+    nothing says that two of them are the same record.
     """
-    salt = F.when(F.col(id_col).isNull(), F.xxhash64(*ties))
-    w = Window.partitionBy(id_col, salt).orderBy(F.col(version_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties])
-    return df.withColumn("_later", F.lead(F.lit(1)).over(w)).where(F.col("_later").isNull() | F.col(id_col).isNull()).drop("_later")
+    rows = df.withColumn("_own", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+    newest = F.max_by(F.struct(*df.columns), F.struct(version_col, *ties))
+    return rows.groupBy(id_col, "_own").agg(newest.alias("_row")).select("_row.*")
 
 
 def latest_records(activity: DataFrame, columns: list[str]) -> DataFrame:
