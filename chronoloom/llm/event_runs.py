@@ -111,42 +111,74 @@ def optimal_segments(n: int, step: Callable[[int, int, int], float | None], pena
 PIECES = "bucket_id string, _chunk long, _key long, _s long, _e long, _n long, _from string, _till string, _first boolean, _last boolean"
 
 
-def _segmenter(gap_us: int, penalty: float):
-    """Arrow batches sorted by bucket, chunk, start, id to one row per local run; a group may span batches."""
+#: Rows of a chunk held before those up to the last change of content are solved and let go.
+HOLD_ROWS = 20_000
+
+
+class _Chunk:
+    """The runs of one (bucket, chunk) as its rows come in, in order. Content that changes splits the optimum, so only rows since the last
+    change must be held; runs of the last stretch of equal content wait until it is known whether it is the chunk's last."""
+
+    def __init__(self, name: tuple, gap_us: int, penalty: float):
+        self.name, self.gap, self.penalty = name, gap_us, penalty
+        self.rows: tuple[list, ...] = ([], [], [], [])
+        self.first_key, self.changed, self.waiting = None, False, []
+
+    def solved(self, upto: int, out: list) -> None:
+        s, e, key, ids = (c[:upto] for c in self.rows)
+        self.rows = tuple(c[upto:] for c in self.rows)
+        step = lambda j, i, top: 0.0 if key[j] == key[i] and s[j] <= top + self.gap else None
+        starts = optimal_segments(upto, step, self.penalty, lambda j, top: e[j] if top is None or e[j] > top else top, nested=True)
+        for a, b in zip(starts, [*starts[1:], upto]):
+            if self.first_key is None:
+                self.first_key = key[a]
+            self.changed |= key[a] != self.first_key
+            if self.waiting and self.waiting[-1][2] != key[a]:
+                out += [(*p, False) for p in self.waiting]
+                self.waiting = []
+            self.waiting.append((*self.name, key[a], s[a], max(e[a:b]), b - a, ids[a], ids[b - 1], not self.changed))
+
+    def more(self, cols: list[list], out: list) -> None:
+        for have, col in zip(self.rows, cols):
+            have += col
+        key = self.rows[2]
+        if len(key) >= HOLD_ROWS and (cut := next((j for j in range(len(key) - 1, 0, -1) if key[j] != key[j - 1]), 0)):
+            self.solved(cut, out)
+
+    def end(self, out: list) -> None:
+        self.solved(len(self.rows[0]), out)
+        out += [(*p, True) for p in self.waiting]
 
-    def pieces(bucket: str | None, chunk: int, s: list, e: list, key: list, ids: list) -> list[tuple]:
-        n = len(s)
-        step = lambda j, i, top: 0.0 if key[j] == key[i] and s[j] <= top + gap_us else None
-        starts = optimal_segments(n, step, penalty, lambda j, top: e[j] if top is None or e[j] > top else top, nested=True)
-        change = next((a for a in starts if key[a] != key[0]), n)
-        final = next((a for a in reversed(starts) if key[a] != key[-1]), -1)
-        return [(bucket, chunk, key[a], s[a], max(e[a:b]), b - a, ids[a], ids[b - 1], a < change, a > final) for a, b in zip(starts, [*starts[1:], n])]
 
+def _segmenter(gap_us: int, penalty: float):
+    """Arrow batches sorted by bucket, chunk, start, id to one row per local run; a chunk may span batches."""
     schema = pa.schema([("bucket_id", pa.string()), ("_chunk", pa.int64()), ("_key", pa.int64()), ("_s", pa.int64()), ("_e", pa.int64()), ("_n", pa.int64()), ("_from", pa.string()), ("_till", pa.string()), ("_first", pa.bool_()), ("_last", pa.bool_())])
 
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, out = None, ([], [], [], []), []
+        chunk, out = None, []
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             n, lo = batch.num_rows, 0
             while lo < n:
-                mine, hi = (cols[0][lo], cols[1][lo]), lo + 1
-                while hi < n and cols[1][hi] == mine[1] and cols[0][hi] == mine[0]:
+                name, hi = (cols[0][lo], cols[1][lo]), lo + 1
+                while hi < n and cols[1][hi] == name[1] and cols[0][hi] == name[0]:
                     hi += 1
-                if mine != group:
-                    if group is not None:
-                        out += pieces(*group, *rows)
-                    group, rows = mine, ([], [], [], [])
-                for have, col in zip(rows, cols[2:]):
-                    have += col[lo:hi]
+                if chunk is None or chunk.name != name:
+                    if chunk:
+                        chunk.end(out)
+                    chunk = _Chunk(name, gap_us, penalty)
+                chunk.more([c[lo:hi] for c in cols[2:]], out)
                 lo = hi
             if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield table(out)
                 out = []
-        if group is not None:
-            out += pieces(*group, *rows)
+        if chunk:
+            chunk.end(out)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield table(out)
 
     return run
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.llm import event_runs as module
 from chronoloom.llm.event_runs import activity_runs, content_key, event_runs, optimal_segments, stable_text
 
 SAME = [
@@ -72,3 +73,25 @@ def test_activity(spark):
     got = activity_runs(df.union(df)).where("n_events > 1").select("bucket_id", "first_event_id", "last_event_id", "n_events").collect()
     assert sorted(map(tuple, got), key=str) == sorted([("b", "1", "2", 2), ("b", "4", "5", 2), ("b", None, None, 2)], key=str)
     assert activity_runs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hold", [2, 7, 50])
+def test_rows_are_let_go(hold, monkeypatch):
+    monkeypatch.setattr(module, "HOLD_ROWS", hold)
+    r = random.Random(hold)
+    for _ in range(200):
+        n = r.randrange(1, 40)
+        s = sorted(r.sample(range(300), n))
+        key = [r.choice([1, 1, 1, 2]) for _ in range(n)]
+        rows = [s, [x + r.choice([0, 2, 40]) for x in s], key, [str(i) for i in range(n)]]
+        whole, parts, at = [], [], 0
+        chunk = module._Chunk(("b", 0), 5, 1.0)
+        chunk.rows = tuple(map(list, rows))
+        chunk.end(whole)
+        chunk = module._Chunk(("b", 0), 5, 1.0)
+        while at < n:
+            step = r.randrange(1, 6)
+            chunk.more([c[at : at + step] for c in rows], parts)
+            at += step
+        chunk.end(parts)
+        assert parts == whole
