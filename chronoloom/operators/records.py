@@ -96,12 +96,12 @@ def diagnostic_messages(counts: DataFrame) -> DataFrame:
     return counts.where("n > 0").select("code", "n", diagnostic_rank().alias("rank"), F.concat(F.lit("ignored "), F.col("n").cast("string"), F.lit(" "), words, plural).alias("message"))
 
 
-def day_records(activity: DataFrame, buckets: DataFrame) -> DataFrame:
+def day_records(activity: DataFrame, buckets: DataFrame, texts: list[str] = TEXTS) -> DataFrame:
     """Counted records by host and UTC day; a record that crosses midnight is one record of each day, clipped to it.
 
-    Empty texts are null; records without a positive duration, start, or known bucket are left out.
+    Only the text columns asked for are read. Empty texts are null; records without a positive duration, start, or known bucket are left out.
     """
-    cols = ["event_id", "bucket_id", "kind", "start_ts", "end_ts", "app", "title", "project", "file", "url_host", "url_path", "code_language", "status"]
+    cols = ["event_id", "bucket_id", "kind", "start_ts", "end_ts", *["code_language" if c == "language" else c for c in texts]]
     hosts = buckets.where("bucket_id is not null").groupBy("bucket_id").agg(F.min("hostname").alias("hostname"))
     rows = small_join(latest_records(activity, cols), hosts, ["bucket_id"], "inner").where("end_ts > start_ts")
     rows = rows.withColumnRenamed("code_language", "language").withColumns({"_s": micros("start_ts"), "_e": micros("end_ts")})
@@ -114,5 +114,5 @@ def day_records(activity: DataFrame, buckets: DataFrame) -> DataFrame:
         "kind",
         F.greatest("_s", F.col("_d") * DAY_US).alias("start_us"),
         F.least("_e", (F.col("_d") + 1) * DAY_US).alias("end_us"),
-        *[F.nullif(F.col(c), F.lit("")).alias(c) for c in TEXTS],
+        *[F.nullif(F.col(c), F.lit("")).alias(c) for c in texts],
     )

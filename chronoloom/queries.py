@@ -166,12 +166,12 @@ def normalize_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us FROM records", "records"))
 def day_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
+    return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), []).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
 
 
 @query(sql("SELECT * FROM away", "away"))
 def afk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.away_intervals(_records(spark, sf_dir))
+    return intervals.away_intervals(records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), ["status"]))
 
 
 @query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us, app, title, project FROM active", "active"))
@@ -186,7 +186,8 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT hostname, day, start_us, end_us FROM pieces", "pieces"))
 def elementary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.elementary(_active(spark, sf_dir))
+    rows = records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), ["status"])
+    return intervals.elementary(intervals.active_records(rows))
 
 
 @query(sql("SELECT * FROM allocated", "allocated"))
