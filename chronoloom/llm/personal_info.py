@@ -49,12 +49,12 @@ CUE_REACH = 45
 
 EXTENSION = r"(?:[\s,\-_]{0,2}(?:x|ext\.?|extension)[\s.]?\d{1,5})?"
 PHONES = [
-    regex.compile(rf"(?<![\d+])(?:\+\s?|(?<![\d.\-])00\s?)(?:1|[2-9]\d{{0,2}})(?:[\s().\-_/]{{0,2}}\d){{7,12}}(?!\d){EXTENSION}"),
+    regex.compile(rf"(?<![\d+])(?:\+\s?|(?<![\d.\-])00\s?)(?:1|[2-9]\d{{0,2}})(?:[\s.\-_/]{{0,2}}\(\d{{1,4}}\))?(?:[\s.\-_/]{{0,2}}\d){{7,12}}(?!\d){EXTENSION}"),
     regex.compile(rf"(?<!\d)(?<!\d[\-.])(?:1[\-. _])?(?:\([2-9]\d{{2}}\)[\s_\-.]?|[2-9]\d{{2}}[\-. _])[2-9]\d{{2}}[\-. _]\d{{4}}(?!\d)(?![\-.]\d){EXTENSION}"),
 ]
 NATIONAL = regex.compile(rf"(?<!\d)(?<!\d[\-./ _])(?:\(0\d{{1,4}}\)|0\d{{1,4}})(?:[\s/_\-.]{{0,1}}\d){{5,9}}(?!\d){EXTENSION}")
 BARE = regex.compile(r"(?<![\da-z])(?<!\d[\-. ])1?[2-9]\d{2}[2-9]\d{6}(?!\d)")
-DATE = regex.compile(r"\(?\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}(?!\d)")
+DATE = regex.compile(r"\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d{2}(?!\d)")
 SEVEN_DIGITS = regex.compile(r"\d(?:[^a-z\d]{0,3}\d){6}")
 
 GAP = r"(?:[\s+_\-]|,\s?|\.\s)"
@@ -74,14 +74,18 @@ NAME_GAP = r"(?:, ?|[ ._+\-/\\,]|\. |%20)"
 
 
 def folded(text: str) -> tuple[str, list[int] | None]:
-    """The text in lower case, plain forms, without accents, percent signs and invisible characters, and where each of its characters begins
+    """The text in lower case, plain forms, single spaces, without accents, percent signs and invisible characters, and where each of its characters begins
     in the original (with its end last); None for the places of texts that are folded one to one."""
-    if text.isascii() and "%" not in text:
+    if text.isascii() and "%" not in text and "  " not in text and text.isprintable():
         return text.lower(), None
     out: list[str] = []
     at: list[int] = []
 
     def put(s: str, i: int) -> None:
+        if s == " " and out and out[-1] == " ":
+            return
+        if not s:
+            return
         out.append(s)
         at.extend([i] * len(s))
 
@@ -109,8 +113,10 @@ def folded(text: str) -> tuple[str, list[int] | None]:
 
 
 def _letters(ch: str, forms: dict[int, str]) -> str:
+    if ch.isspace():
+        return " "
     if ch.isascii():
-        return ch.lower()
+        return ch.lower() if ch.isprintable() else ""
     if ch in FILLERS or unicodedata.category(ch) in ("Cf", "Cc"):
         return ""
     ch = forms.get(ord(ch), ch)

@@ -12,6 +12,11 @@ FOUND = {
     "/users/a.b%40example.com/edit": "/users/[EMAIL]/edit",
     "export_a@example.org.csv": "[EMAIL].csv",
     "Call +44 20 7946 0504, (702) 555-0126 or 07700 900349": "Call [PHONE], [PHONE] or [PHONE]",
+    "+1 415 555 0141 (9 unread), +44 (0)20 7946 0504 (44 %)": "[PHONE] (9 unread), [PHONE] (44 %)",
+    "/tel:01-99-00-93-21": "/tel:[PHONE]",
+    "70  WILLOWMERE\u3000STREET,  KELMOUTH": "[ADDRESS],  KELMOUTH",
+    "Prellinger,  Dorvik (DM)": "[NAME] (DM)",
+    "ID  card #M07X73T542": "ID  card #[ID_NUMBER]",
     "tel 1-415-555-0111 x31 / pipeline": "tel [PHONE] / pipeline",
     "030/23125-655; 0049 30 23125894; 01 99 00 40 46": "[PHONE]; [PHONE]; [PHONE]",
     "/call/%2B61%202%205550%200343": "/call/[PHONE]",
