@@ -62,10 +62,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a table written to the shared folder: cuts the lineage, is computed once, survives lost executors."""
+    """`df` as a table written to the shared folder: cuts the lineage, is computed once, survives lost executors. Deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
