@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import re
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text_safety import safe_generated
+from chronoloom.functions.text_safety import check_payload, safe_generated
 from chronoloom.schema import STREAM
 
 
@@ -134,3 +136,107 @@ def merged(provisional: DataFrame, groups: DataFrame, keys: list[str] = STREAM)
     every = lambda c: F.flatten(F.transform("_m", lambda m: m[c]))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
     return out.select(*keys, place.alias("place"), "label", "confidence", every("episode_ids").alias("episode_ids"), F.array_distinct(every("topics")).alias("topics"), F.array_distinct(every("outcomes")).alias("outcomes"))
+
+
+# One day's exchange with a model that is given from outside: a handful of requests, on the driver.
+
+REPAIR = "Give every supplied episode id exactly once, in a workstream or among the unassigned ones."
+MERGE_CEILING = 100_000
+
+
+def form_schema(form: object, ids: list[str]) -> dict:
+    """The JSON schema of a form, closed, with the ids that may be named; without any, lists of ids must be empty."""
+    if isinstance(form, dict):
+        return {"type": "object", "additionalProperties": False, "required": list(form), "properties": {k: form_schema(f, ids) for k, f in form.items()}}
+    kind, *args = form
+    if kind == "is":
+        return {"type": "string", "const": args[0]}
+    if kind == "text":
+        return {"type": "string", "maxLength": args[0]}
+    if kind == "one":
+        return {"type": "string", "enum": sorted(args[0])}
+    if kind == "list":
+        return {"type": "array", "maxItems": args[0], "items": form_schema(args[1], ids)}
+    item = {"type": "string", "enum": ids} if ids else {"type": "string"}
+    return {"type": "array", "items": item, "maxItems": min(args[1], len(ids))} | ({"minItems": 1} if kind == "ids" and ids else {})
+
+
+def response_shape(payload: object, allowed: set[str]) -> dict:
+    """Sizes and known ids of a response, for messages that must hold none of its texts."""
+    found: dict[str, list[str]] = {"allocated": [], "unassigned": [], "evidence": [], "provisional": []}
+    sizes = dict.fromkeys(("workstreams", "topics", "outcomes", "groups"), 0)
+    unknown = 0
+    names = {"episode_ids": "allocated", "unassigned_episode_ids": "unassigned", "evidence": "evidence", "provisional_ids": "provisional"}
+    todo = [payload]
+    while todo:
+        item = todo.pop()
+        for k, v in item.items() if isinstance(item, Mapping) else ():
+            values = v if isinstance(v, list) else []
+            if k in names:
+                fine = [x for x in values if isinstance(x, str) and x in allowed]
+                found[names[k]] += fine
+                unknown += len(values) - len(fine)
+            elif k in sizes:
+                sizes[k] += len(values)
+                todo += values
+    pools = (found["allocated"] + found["unassigned"], found["evidence"], found["provisional"])
+    return {f"{k[:-1]}_count": n for k, n in sizes.items()} | {f"known_{k}_ids": sorted(set(v)) for k, v in found.items()} | {"unknown_id_count": unknown, "duplicate_id_count": sum(len(p) - len(set(p)) for p in pools)}
+
+
+def failure_record(error: DigestError, provider: object, model: object, shape: dict | None = None, request_id: object = None) -> dict:
+    """What may be written of a failed exchange: codes, places and identifiers of safe letters only."""
+    safe = lambda v, pattern, other: v if isinstance(v, str) and re.fullmatch(pattern, v) else other
+    ident = r"[A-Za-z0-9._:-]{1,200}"
+    out = {
+        "schema": "chronoloom.failure.v1",
+        "provider": safe(provider, ident, "[redacted-provider]"),
+        "model": safe(model, ident, "[redacted-model]"),
+        "validation": {"code": safe(error.code, r"[a-z0-9-]{1,80}", "redacted-code"), "field": safe(error.field, r"[A-Za-z0-9_.\[\]-]{1,240}", "redacted-field")},
+        "response_shape": {k: [x for x in v if re.fullmatch(ident, x)] if isinstance(v, list) else v for k, v in (shape or {}).items()},
+    }
+    return out if request_id is None else out | {"request_id": safe(request_id, ident, "[redacted-request]")}
+
+
+def summarised(requests: list[dict], ask: Callable[[dict], dict], merge: Callable[[dict], dict] | None = None) -> tuple[dict, int]:
+    """(digest, exchanges) of a day's requests, each {'episode_ids': [...], 'payload': ...}.
+
+    Every answer is checked; one whose allocation alone is wrong is asked for once more. With several requests their workstreams are offered
+    for merging, and a group's members become one. In the end every episode is given out once.
+    """
+    digests, asked = [], 0
+    for request in requests:
+        check_payload(request["payload"])
+        ids = set(request["episode_ids"])
+        asked += 1
+        try:
+            digests.append(checked_digest(ask(request), ids))
+        except DigestError as e:
+            if e.code != "invalid-episode-allocation":
+                raise
+            asked += 1
+            digests.append(checked_digest(ask(request | {"repair_instruction": REPAIR}), ids))
+    streams = {f"provisional-{i:03d}-{j:03d}": w for i, d in enumerate(digests, 1) for j, w in enumerate(d["workstreams"], 1)}
+    rest = list(dict.fromkeys(i for d in digests for i in d["unassigned_episode_ids"]))
+    if len(digests) > 1 and merge is not None:
+        offer = {"schema": "chronoloom.merge-request.v1", "provisional_workstreams": [{"id": k} | w for k, w in streams.items()]}
+        if len(json.dumps(offer, ensure_ascii=False, sort_keys=True)) > MERGE_CEILING:
+            raise DigestError("merge-request-too-large", "provisional_workstreams")
+        asked += 1
+        for group in checked_merge(merge(offer), set(streams)):
+            members = [streams[i] for i in group["provisional_ids"]]
+            first = next(k for k in streams if k in group["provisional_ids"])
+            distinct = lambda key, members=members: list({json.dumps(x, sort_keys=True): x for w in members for x in w[key]}.values())
+            joined = {"label": group["label"], "confidence": group["confidence"], "episode_ids": [i for w in members for i in w["episode_ids"]], "topics": distinct("topics"), "outcomes": distinct("outcomes")}
+            streams = {k: joined if k == first else w for k, w in streams.items() if k == first or k not in group["provisional_ids"]}
+    out = {"schema": DIGEST_FORM["schema"][1], "workstreams": list(streams.values()), "unassigned_episode_ids": rest}
+    given = [i for w in out["workstreams"] for i in w["episode_ids"]] + rest
+    if sorted(given) != sorted(i for r in requests for i in r["episode_ids"]):
+        raise DigestError("invalid-episode-allocation", "episode-allocation")
+    return out, asked
+
+
+def digest_rows(spark: SparkSession, digest: dict, hostname: str, day) -> tuple[DataFrame, DataFrame]:
+    """(workstreams, unassigned ids) of a checked digest as tables with keys."""
+    w = [(hostname, day, i, x["label"], x["confidence"], x["episode_ids"], [(t["text"], t["evidence"]) for t in x["topics"]], [(o["text"], o["strength"], o["evidence"]) for o in x["outcomes"]]) for i, x in enumerate(digest["workstreams"])]
+    schema = "hostname string, day date, workstream int, label string, confidence string, episode_ids array<string>, topics array<struct<text:string,evidence:array<string>>>, outcomes array<struct<text:string,strength:string,evidence:array<string>>>"
+    return spark.createDataFrame(w, schema), spark.createDataFrame([(hostname, day, i) for i in digest["unassigned_episode_ids"]], "hostname string, day date, episode_id string")

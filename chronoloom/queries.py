@@ -19,7 +19,7 @@ from chronoloom.operators.timestamps import event_instants
 from chronoloom.oracle_parts import sql
 from chronoloom.plans import digest, requests
 from chronoloom.sources import watchers
-from chronoloom.spark_tools import shared_folder
+from chronoloom.spark_tools import shared_folder, written
 from chronoloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,3 +432,26 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_folder(spark)}/live-{name}"
     live.live_sessions(rows, "bucket_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("bucket_id string, start_us bigint, end_us bigint, n_events bigint").parquet(out)
+
+
+def _digest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Episodes, workstreams that take two of three of them, and the rest."""
+    items = written(ep.episodes(_sessions(spark, sf_dir)), "episodes")
+    no = F.regexp_extract("episode_id", r"(\d+)$", 1).cast("int") % 3
+    none = F.array().cast("array<struct<text:string,evidence:array<string>>>")
+    some = F.array().cast("array<struct<text:string,strength:string,evidence:array<string>>>")
+    streams = items.where(no < 2).groupBy("hostname", "day", no.alias("workstream")).agg(F.array_sort(F.collect_list("episode_id")).alias("episode_ids"))
+    streams = streams.select("*", F.concat(F.lit("stream "), F.col("workstream").cast("string")).alias("label"), F.lit("low").alias("confidence"), none.alias("topics"), some.alias("outcomes"))
+    return items, streams, digest.unassigned(streams, items)
+
+
+@query()
+def digest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams, rest = _digest(spark, sf_dir)
+    return sinks.digest_json(streams, rest, items, {"provider": "none", "model": "every-third"})
+
+
+@query()
+def digest_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, streams, rest = _digest(spark, sf_dir)
+    return sinks.digest_markdown(streams, rest, items, "none", "every-third", details=True)

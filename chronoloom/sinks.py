@@ -153,6 +153,52 @@ def bundle_markdown(items: DataFrame, what: str, zone: str = "UTC", details: boo
     return out.select(*keys, F.concat(_lines(*_head(zone, f"{what}s"), body), F.lit("\n")).alias("markdown"))
 
 
+def _with_activity(workstreams: DataFrame, episodes: DataFrame, item: Column, keys: list[str]) -> DataFrame:
+    """Workstreams with their episodes' items in the order given and their seconds."""
+    rows = episodes.select(*keys, "episode_id", "start_us", F.rint(F.col("active_seconds") * 1e6).cast("long").alias("_us"), item.alias("_i"))
+    given = workstreams.select(*keys, "workstream", F.posexplode("episode_ids").alias("_at", "episode_id")).join(rows, [*keys, "episode_id"])
+    made = given.groupBy(*keys, "workstream").agg(F.array_sort(F.collect_list(F.struct("_at", "start_us", "episode_id", "_i"))).alias("_a"), (F.sum("_us") / 1e6).alias("active_seconds"))
+    return workstreams.join(made, [*keys, "workstream"], "left")
+
+
+def digest_json(workstreams: DataFrame, unassigned: DataFrame, episodes: DataFrame, summary: dict[str, str | int | None], zone: str = "UTC", details: bool = False, keys: list[str] = STREAM) -> DataFrame:
+    """keys, json: a day's workstreams with their seconds and activity, what is unassigned, and where the summary comes from."""
+    item = episode_item(details)
+    rows = _with_activity(workstreams, episodes, item, keys)
+    one = F.struct("workstream", F.struct("label", "confidence", F.coalesce("active_seconds", F.lit(0.0)).alias("active_seconds"), "episode_ids", "topics", "outcomes", F.transform("_a", lambda a: a["_i"]).alias("activity")).alias("w"))
+    days = episodes.groupBy(*keys).agg((F.sum(F.rint(F.col("focused_seconds") * 1e6).cast("long")) / 1e6).alias("focused_seconds"))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_w"))
+    rest = episodes.select(*keys, "episode_id", "start_us", item.alias("_i")).join(unassigned, [*keys, "episode_id"], "left_semi")
+    rest = rest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_us", "episode_id", "_i"))).alias("_r"))
+    out = days.join(listed, keys, "left").join(rest, keys, "left")
+    source = F.struct(*[F.lit(v).alias(k) for k, v in summary.items()])
+    body = F.struct(F.lit(f"{PREFIX}.digest-report.v1").alias("schema"), F.col("day").cast("string").alias("date"), F.lit(zone).alias("timezone"), F.lit("inferred_at_query").alias("timezone_status"), "focused_seconds", source.alias("summary"), F.transform("_w", lambda x: x["w"]).alias("workstreams"), F.transform("_r", lambda x: x["_i"]).alias("unassigned_activity"))
+    return out.select(*keys, _json(body).alias("json"))
+
+
+def digest_markdown(workstreams: DataFrame, unassigned: DataFrame, episodes: DataFrame, provider: str, model: str, zone: str = "UTC", details: bool = False, keys: list[str] = STREAM) -> DataFrame:
+    """keys, markdown: a table of a day's workstreams, outcomes and topics; with details also the activity behind them and what is unassigned."""
+    z = F.lit(zone)
+    line = F.concat(F.lit("- "), _times(z), F.lit(" — "), code_text(F.col("label")), F.lit(" ("), duration_text(F.col("active_seconds")), F.lit(")\n  - Episode ID: "), code_text(F.col("episode_id")))
+    item = F.concat(line, F.lit("\n  - Activity transitions: "), F.size("session_ids").cast("string"))
+    rows = _with_activity(workstreams, episodes, item, keys)
+    shown = F.filter("outcomes", lambda o: o["strength"] != "none")
+    outcome = F.array_join(F.transform(shown, lambda o: F.concat(F.when(o["strength"] == "likely", "Likely: ").otherwise(""), markdown_text(o["text"]))), "<br>")
+    topic = F.array_join(F.transform("topics", lambda t: markdown_text(t["text"])), "<br>")
+    cells = F.concat(F.lit("| **"), markdown_text(F.col("label")), F.lit("** | "), F.coalesce(F.nullif(outcome, F.lit("")), F.lit("No completion should be claimed from this trace alone.")), F.lit(" | "), F.coalesce(F.nullif(topic, F.lit("")), F.lit("No specific topics identified.")), F.lit(" |"))
+    support = F.concat(F.lit("### "), markdown_text(F.col("label")), F.lit("\n\nPrimary allocation · "), F.initcap("confidence"), F.lit(" confidence · "), duration_text(F.coalesce("active_seconds", F.lit(0.0))), F.lit("\n\n"), F.coalesce(F.array_join(F.transform(F.array_sort(F.transform("_a", lambda a: F.struct(a["start_us"], a["episode_id"], a["_i"]))), lambda a: a["_i"]), "\n"), F.lit("")))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("workstream", cells.alias("c"), support.alias("s")))).alias("_w"))
+    rest = episodes.select(*keys, "episode_id", "start_us", line.alias("_i")).join(unassigned, [*keys, "episode_id"], "left_semi")
+    rest = rest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_us", "episode_id", "_i"))).alias("_r"))
+    days = episodes.groupBy(*keys).agg((F.sum(F.rint(F.col("focused_seconds") * 1e6).cast("long")) / 1e6).alias("focused_seconds"))
+    out = days.join(listed, keys, "left").join(rest, keys, "left")
+    focused = F.when(F.col("focused_seconds").isNotNull(), duration_text(F.col("focused_seconds"))).otherwise("Unavailable")
+    parts = [F.concat(F.lit("# Activity — "), F.col("day").cast("string")), F.lit(""), F.concat(F.lit("Timezone: "), code_text(z), F.lit(" (inferred at query time)")), F.concat(F.lit("Focused activity: "), focused), F.concat(F.lit("Summary: workstreams by a model ("), code_text(F.lit(provider)), F.lit(" / "), code_text(F.lit(model)), F.lit(")")), F.lit(""), F.lit("## Workstreams"), F.lit(""), F.lit("| Workstream | Outcomes | Topics |\n| --- | --- | --- |"), F.coalesce(F.array_join(F.transform("_w", lambda w: w["c"]), "\n"), F.lit("| _No coherent workstreams identified._ | — | — |"))]
+    if details:
+        parts += [F.lit("\n## Supporting activity\n"), F.array_join(F.transform("_w", lambda w: w["s"]), "\n\n"), F.lit("\n## Unassigned activity\n"), F.coalesce(F.array_join(F.transform("_r", lambda r: r["_i"]), "\n"), F.lit("None."))]
+    return out.select(*keys, F.concat(_lines(*parts), F.lit("\n")).alias("markdown"))
+
+
 def report_markdown(records: DataFrame, heads: DataFrame, apps: DataFrame, zone: str = "UTC", keys: list[str] = STREAM) -> DataFrame:
     """keys, markdown: overview, timeline and applications of each day's records."""
     z, kind = F.lit(zone), F.col("kind")

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom import sinks
 from chronoloom.functions import formatting as fm
 from chronoloom.functions import text_safety as ts
 from chronoloom.plans import digest, requests
@@ -151,3 +152,43 @@ def test_digest_tables(spark):
     assert [r.episode_id for r in rest.collect()] == ["episode-003"]
     assert digest.misallocated(streams, rest, items).count() == 0
     assert {(r.episode_id, r.times) for r in digest.misallocated(streams, items.where("episode_id = 'episode-001'"), items).collect()} == {("episode-001", 2), ("episode-003", 0)}
+
+
+def test_a_day_is_summarised(spark):
+    """Two requests, one answered wrongly at first, merged into one workstream."""
+    asked = []
+
+    def ask(request):
+        asked.append(request)
+        ids = request["episode_ids"]
+        wrong = ids[0] == "episode-002" and "repair_instruction" not in request
+        stream = {"label": f"a|b {ids[0]}", "confidence": "low", "episode_ids": ids[:1], "topics": [{"text": "t", "evidence": ids[:1]}], "outcomes": [{"text": "o", "strength": "likely", "evidence": ids[:1]}]}
+        return {"schema": "chronoloom.digest.v1", "workstreams": [stream], "unassigned_episode_ids": ids if wrong else ids[1:]}
+
+    def merge(offer):
+        ids = [w["id"] for w in offer["provisional_workstreams"]]
+        return {"schema": "chronoloom.merge.v1", "groups": [{"label": "both", "confidence": "high", "provisional_ids": ids[::-1]}]}
+
+    plan = [{"episode_ids": ["episode-001"], "payload": "[]"}, {"episode_ids": ["episode-002", "episode-003"], "payload": "[]"}]
+    made, exchanges = digest.summarised(plan, ask, merge)
+    assert exchanges == 4 and len(asked) == 3
+    assert [w["episode_ids"] for w in made["workstreams"]] == [["episode-002", "episode-001"]] and made["unassigned_episode_ids"] == ["episode-003"]
+    streams, rest = digest.digest_rows(spark, made, "h", DAY)
+    doc = json.loads(sinks.digest_json(streams, rest, episodes(spark, 3), {"provider": "p", "model": "m", "input_tokens": None}).collect()[0].json)
+    assert doc["workstreams"][0]["active_seconds"] == 10.0 and [a["id"] for a in doc["workstreams"][0]["activity"]] == ["episode-002", "episode-001"]
+    assert [a["id"] for a in doc["unassigned_activity"]] == ["episode-003"] and doc["summary"] == {"provider": "p", "model": "m", "input_tokens": None}
+    text = sinks.digest_markdown(streams, rest, episodes(spark, 3), "p", "m", details=True).collect()[0].markdown
+    assert "| **both** | Likely: o<br>Likely: o | t<br>t |" in text, text
+    assert "Primary allocation · High confidence · <1m" in text and text.rstrip().endswith("`episode-003`")
+    with pytest.raises(digest.DigestError):
+        digest.summarised(plan, lambda r: answer(), merge)
+
+
+def test_forms_and_failures():
+    schema = digest.form_schema(digest.DIGEST_FORM, ["e1"])
+    assert schema["properties"]["workstreams"]["items"]["properties"]["episode_ids"] == {"type": "array", "items": {"type": "string", "enum": ["e1"]}, "maxItems": 1, "minItems": 1}
+    assert digest.form_schema(digest.DIGEST_FORM, [])["properties"]["unassigned_episode_ids"]["maxItems"] == 0
+    shape = digest.response_shape(answer(episode_ids=["e1", "e1", "secret text"]), {"e1", "e2"})
+    assert shape["workstream_count"] == 1 and shape["known_allocated_ids"] == ["e1"] and shape["unknown_id_count"] == 1 and shape["duplicate_id_count"] == 1 + 0
+    kept = digest.failure_record(digest.DigestError("invalid-text", "workstreams[0].label"), "prov ider", "m-1", shape, "r:1")
+    assert kept["provider"] == "[redacted-provider]" and kept["model"] == "m-1" and kept["request_id"] == "r:1" and "secret" not in json.dumps(kept)
