@@ -9,7 +9,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "counted": ((), """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC, start_ts DESC, end_ts DESC) AS rn FROM activity_records) WHERE rn = 1"""),
     "records": (("counted",), f"""
-  SELECT b.hostname, DATE '1970-01-01' + CAST(d.d AS INTEGER) AS day, r.event_id, r.bucket_id, r.kind,
+  SELECT b.hostname, CAST(DATE '1970-01-01' + CAST(d.d AS INTEGER) AS VARCHAR) AS day, r.event_id, r.bucket_id, r.kind,
          greatest(r.s, d.d * {DAY}) AS start_us, least(r.e, (d.d + 1) * {DAY}) AS end_us,
          nullif(r.app, '') AS app, nullif(r.title, '') AS title, nullif(r.project, '') AS project, nullif(r.file, '') AS file,
          nullif(r.url_host, '') AS url_host, nullif(r.url_path, '') AS url_path, nullif(r.code_language, '') AS language, nullif(r.status, '') AS status
@@ -39,13 +39,13 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
   SELECT * FROM (SELECT hostname, day, p AS start_us, lead(p) OVER (PARTITION BY hostname, day ORDER BY p) AS end_us
   FROM (SELECT DISTINCT hostname, day, unnest([start_us, end_us]) AS p FROM active WHERE kind = 'current-window')) WHERE end_us IS NOT NULL"""),
     "allocated": (("wpieces", "active"), """
-  SELECT hostname, day, bucket_id, event_id, ws AS start_us, we AS end_us, any_value(app) AS app, any_value(title) AS title, sum(e - s) / 1e6 AS seconds FROM (
+  SELECT hostname, day, bucket_id, event_id, ws AS start_us, we AS end_us, any_value(app) AS app, any_value(title) AS title, sum(e - s) AS us, sum(e - s) / 1e6 AS seconds FROM (
     SELECT p.hostname, p.day, p.start_us AS s, p.end_us AS e, a.bucket_id, a.event_id, a.start_us AS ws, a.end_us AS we, a.app, a.title,
            row_number() OVER (PARTITION BY p.hostname, p.day, p.start_us ORDER BY a.bucket_id, a.event_id) AS rn
     FROM wpieces p JOIN active a ON a.hostname = p.hostname AND a.day = p.day AND a.kind = 'current-window' AND a.start_us < p.end_us AND a.end_us > p.start_us)
   WHERE rn = 1 GROUP BY hostname, day, bucket_id, event_id, ws, we"""),
     "apps": (("allocated",), """
-  SELECT hostname, day, coalesce(app, 'Unknown application') AS app, sum(seconds) AS seconds FROM allocated GROUP BY ALL"""),
+  SELECT hostname, day, coalesce(app, 'Unknown application') AS app, sum(us) AS us, sum(us) / 1e6 AS seconds FROM allocated GROUP BY ALL"""),
     "observed": (("active",), """
   SELECT *, format('evidence-{:04d}', row_number() OVER (PARTITION BY hostname, day ORDER BY start_us, bucket_id, event_id, end_us)) AS evidence_id FROM active"""),
     "pieces": (("observed",), """
@@ -78,14 +78,14 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "bridged": (("keyed",), """
   SELECT *, coalesce(end_us - start_us < 20000000 AND lag(key) OVER w = lead(key) OVER w, false) AS bridge FROM keyed WINDOW w AS (PARTITION BY hostname, day ORDER BY pos)"""),
     "numbered": (("bridged",), """
-  SELECT *, sum(fresh) OVER (PARTITION BY hostname, day ORDER BY pos ROWS UNBOUNDED PRECEDING) AS session_no FROM (
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY hostname, day ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM (
     SELECT *, CASE WHEN pos = 1 THEN 1 WHEN bridge OR lag(bridge) OVER w THEN 0 WHEN start_us - lag(end_us) OVER w > 300000000 THEN 1
       WHEN key IS NOT NULL AND lag(key) OVER w IS NOT NULL THEN CASE WHEN key <> lag(key) OVER w THEN 1 ELSE 0 END
       WHEN lag(name) OVER w IN ('chatgpt', 'powershell', 'new tab', 'inbox', 'slack', 'outlook') OR name IN ('chatgpt', 'powershell', 'new tab', 'inbox', 'slack', 'outlook') THEN 1
       WHEN key IS NULL AND lag(key) OVER w IS NULL AND name <> lag(name) OVER w THEN 1 ELSE 0 END AS fresh
     FROM bridged WINDOW w AS (PARTITION BY hostname, day ORDER BY pos))"""),
     "sessions": (("numbered",), """
-  SELECT hostname, day, session_no, min(start_us) AS start_us, max(end_us) AS end_us, sum(end_us - start_us) / 1e6 AS active_seconds,
+  SELECT hostname, day, session_no, min(start_us) AS start_us, max(end_us) AS end_us, sum(end_us - start_us) AS us, sum(end_us - start_us) / 1e6 AS active_seconds,
          sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds, count(*) AS slices FROM numbered GROUP BY hostname, day, session_no"""),
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -32,7 +33,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name, with its SQL if there is any."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)  # dates as text, which every client compares alike
+            return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+        QUERIES[f.__name__] = run
         if oracle is not None:
             ORACLE[f.__name__] = oracle
         return f
@@ -116,7 +122,7 @@ IANA = "^[A-Z][a-z]+/[A-Z][A-Za-z_]+$"
 
 
 @query(f"""
-SELECT day, timezone_name, s AS start_us, e AS end_us, (e - s) / 1e6 AS duration_seconds FROM (
+SELECT CAST(day AS VARCHAR) AS day, timezone_name, s AS start_us, e AS end_us, (e - s) / 1e6 AS duration_seconds FROM (
   SELECT local_day AS day, timezone_name, epoch_us(timezone(timezone_name, CAST(local_day AS TIMESTAMP))) AS s, epoch_us(timezone(timezone_name, CAST(local_day + 1 AS TIMESTAMP))) AS e
   FROM (SELECT DISTINCT local_day, timezone_name FROM day_windows WHERE regexp_matches(timezone_name, '{IANA}')))""")
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +157,7 @@ def _field_sql(key: str) -> str:
 
 
 @query(RAW_SQL + f"""
-SELECT hostname, day, event_id, bucket_id, kind, cs AS start_us, ce AS end_us, {_field_sql("app")} AS app, {_field_sql("title")} AS title, {_field_sql("status")} AS status
+SELECT hostname, CAST(day AS VARCHAR) AS day, event_id, bucket_id, kind, cs AS start_us, ce AS end_us, {_field_sql("app")} AS app, {_field_sql("title")} AS title, {_field_sql("status")} AS status
 FROM met WHERE ce > cs""")
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalised(spark, sf_dir)[0].select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status")
@@ -190,20 +196,20 @@ def elementary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.elementary(intervals.active_records(rows))
 
 
-@query(sql("SELECT * FROM allocated", "allocated"))
+@query(sql("SELECT * EXCLUDE (us) FROM allocated", "allocated"))
 def window_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.allocated_windows(_active(spark, sf_dir))
 
 
-@query(sql("SELECT *, row_number() OVER (PARTITION BY hostname, day ORDER BY seconds DESC, lower(app), app) AS place FROM apps", "apps"))
+@query(sql("SELECT * EXCLUDE (us), row_number() OVER (PARTITION BY hostname, day ORDER BY us DESC, lower(app), app) AS place FROM apps", "apps"))
 def app_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.app_totals(_active(spark, sf_dir))
 
 
 @query(sql("""
 SELECT a.hostname, a.day, count(*) AS entries, concat_ws(',', CASE WHEN bool_or(kind = 'current-window') THEN 'current-window' END, CASE WHEN bool_or(kind = 'editor') THEN 'editor' END, CASE WHEN bool_or(kind = 'browser') THEN 'browser' END) AS sources,
-       any_value(t.seconds) AS active_seconds
-FROM active a LEFT JOIN (SELECT hostname, day, sum(seconds) AS seconds FROM apps GROUP BY ALL) t ON t.hostname = a.hostname AND t.day = a.day GROUP BY a.hostname, a.day""", "apps", "active"))
+       any_value(t.us) / 1e6 AS active_seconds
+FROM active a LEFT JOIN (SELECT hostname, day, sum(us) AS us FROM apps GROUP BY ALL) t ON t.hostname = a.hostname AND t.day = a.day GROUP BY a.hostname, a.day""", "apps", "active"))
 def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_heads(_active(spark, sf_dir))
 
@@ -240,7 +246,7 @@ def session_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.session_numbers(_slices(spark, sf_dir)).select("hostname", "day", F.col("_pos").alias("pos"), F.col("_key").alias("key"), F.col("_name").alias("name"), "session_no")
 
 
-@query(sql("SELECT * FROM sessions", "sessions"))
+@query(sql("SELECT * EXCLUDE (us) FROM sessions", "sessions"))
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
 
@@ -260,7 +266,7 @@ def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _sessions(spark, sf_dir).withColumn("a", F.explode(ep.session_anchors()))
+    found = ep.with_anchors(_sessions(spark, sf_dir)).withColumn("a", F.explode("anchors"))
     return found.select("hostname", "day", "session_id", "a.kind", "a.value")
 
 
@@ -293,14 +299,14 @@ def safe_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, ingested_at, CASE WHEN s > 0 AND s < 60 THEN '<1m' WHEN h > 0 AND m % 60 > 0 THEN h || 'h ' || (m % 60) || 'm' WHEN h > 0 THEN h || 'h' ELSE (m % 60) || 'm' END AS took,
-       strftime(start_ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_ts) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(start_ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS began,
+SELECT event_id, epoch_us(ingested_at) AS ingested_us, CASE WHEN s > 0 AND s < 60 THEN '<1m' WHEN h > 0 AND m % 60 > 0 THEN h || 'h ' || (m % 60) || 'm' WHEN h > 0 THEN h || 'h' ELSE (m % 60) || 'm' END AS took,
+       strftime(timezone('UTC', start_ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(start_ts) % 1000000 > 0 THEN '.' || lpad(CAST(epoch_us(start_ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS began,
        strftime(timezone('America/St_Johns', start_ts), '%H:%M') AS clock
 FROM (SELECT *, m // 60 AS h FROM (SELECT *, greatest(0, CAST(floor((s + 30) / 60) AS BIGINT)) AS m FROM (SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 AS s FROM activity_records WHERE end_ts IS NOT NULL)))""")
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "activity_records").where("end_ts is not null")
     us = F.unix_micros("start_ts")
-    return rows.select("event_id", "ingested_at", formatting.duration_text((F.unix_micros("end_ts") - us) / 1e6).alias("took"), formatting.iso_text(us).alias("began"), formatting.clock_text(us, F.lit("America/St_Johns")).alias("clock"))
+    return rows.select("event_id", F.unix_micros("ingested_at").alias("ingested_us"), formatting.duration_text((F.unix_micros("end_ts") - us) / 1e6).alias("took"), formatting.iso_text(us).alias("began"), formatting.clock_text(us, F.lit("America/St_Johns")).alias("clock"))
 
 
 @query(r"""
@@ -350,7 +356,7 @@ def _as_episodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return items, streams
 
 
-@query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(active_seconds) AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
+@query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(us) / 1e6 AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
 def digest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, streams = _as_episodes(spark, sf_dir)
     return digest.rolled_up(streams, items)
@@ -414,7 +420,7 @@ WITH e AS (
 ), x AS (
   SELECT e.*, d.d FROM e, LATERAL (SELECT unnest(range(s // 86400000000, e.e // 86400000000 + 1)) AS d) d WHERE kind IS NOT NULL AND k % 50 <> 0 AND e.e > s
 )
-SELECT DATE '1970-01-01' + CAST(d AS INTEGER) AS day, event_id, bucket_id, kind, greatest(s, d * 86400000000) AS start_us, least(e, (d + 1) * 86400000000) AS end_us, ['msedge.exe', 'Code.exe', 'slack.exe', 'setup-installer.exe', 'explorer.exe'][k % 5 + 1] AS app
+SELECT CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day, event_id, bucket_id, kind, greatest(s, d * 86400000000) AS start_us, least(e, (d + 1) * 86400000000) AS end_us, ['msedge.exe', 'Code.exe', 'slack.exe', 'setup-installer.exe', 'explorer.exe'][k % 5 + 1] AS app
 FROM x WHERE least(e, (d + 1) * 86400000000) > greatest(s, d * 86400000000)""")
 def events_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, buckets = watchers.events_as_raw(table(spark, sf_dir, "events"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -79,6 +80,7 @@ def _package_zip() -> str:
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    atexit.register(Path(name).unlink, missing_ok=True)
     return name
 
 
