@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from chronoloom import sinks
+from chronoloom.functions import text_safety
 from chronoloom.operators import episodes, focus_sessions, fusion, intervals, records, reports
 from chronoloom.sources.watchers import WatcherSourceError, read_table
 from chronoloom.spark_tools import ship
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.what == "report":
         out = sinks.report_markdown(intervals.merged_adjacent(active), reports.report_heads(active), reports.app_totals(active), args.zone)
     else:
-        made = focus_sessions.sessions(fusion.fused_slices(fusion.numbered(active)))
+        made = focus_sessions.sessions(fusion.fused_slices(text_safety.observations(active)))
         items, what = (made, "session") if args.what == "sessions" else (episodes.checked_episodes(made), "episode")
         if args.format == "json":
             out = sinks.bundle_json(items, what, args.zone, args.details, sessions=made if args.raw and what == "episode" else None)

@@ -105,6 +105,21 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.sessions(_slices(spark, sf_dir))
 
 
+# The SQL of pieces, slices and sessions is that of raw texts; what goes out of the pipeline is made of safe ones.
+
+
+def _safe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_pieces(text_safety.observations(_active(spark, sf_dir)))
+
+
+def _safe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.merged_slices(_safe_pieces(spark, sf_dir))
+
+
+def _safe_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.sessions(_safe_slices(spark, sf_dir))
+
+
 KIND_SQL = "CASE bucket_type WHEN 'currentwindow' THEN 'current-window' WHEN 'afkstatus' THEN 'afk' WHEN 'app.editor.activity' THEN 'editor' WHEN 'web.tab.current' THEN 'browser' END"
 
 
@@ -241,6 +256,13 @@ def fused_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slices(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "focused", "app", "title", ids.alias("contexts"))
 
 
+@query()
+def safe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fused_slices of safe texts."""
+    ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
+    return _safe_slices(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "focused", "app", "title", ids.alias("contexts"))
+
+
 @query(sql("SELECT hostname, day, pos, key, name, session_no FROM numbered", "numbered"))
 def session_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.session_numbers(_slices(spark, sf_dir)).select("hostname", "day", F.col("_pos").alias("pos"), F.col("_key").alias("key"), F.col("_name").alias("name"), "session_no")
@@ -251,6 +273,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
 
 
+@query()
+def safe_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sessions of safe texts."""
+    return _safe_sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
+
+
 @query(sql("SELECT hostname, day, sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds FROM slices GROUP BY hostname, day", "slices"))
 def focused_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.focused_totals(_slices(spark, sf_dir))
@@ -266,13 +294,13 @@ def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ep.with_anchors(_sessions(spark, sf_dir)).withColumn("a", F.explode("anchors"))
+    found = ep.with_anchors(_safe_sessions(spark, sf_dir)).withColumn("a", F.explode("anchors"))
     return found.select("hostname", "day", "session_id", "a.kind", "a.value")
 
 
 @query()
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ep.episodes(_sessions(spark, sf_dir))
+    return ep.episodes(_safe_sessions(spark, sf_dir))
 
 
 # Text functions, paths, plans and digests.
@@ -346,37 +374,37 @@ def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.request_plan(ep.episodes(_sessions(spark, sf_dir)), target=20_000)
+    return requests.request_plan(ep.episodes(_safe_sessions(spark, sf_dir)), target=20_000)
 
 
-def _as_episodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _as_episodes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sessions in the place of episodes, and workstreams that each take every third of them."""
-    items = _sessions(spark, sf_dir).select("hostname", "day", F.col("session_id").alias("episode_id"), "session_no", "start_us", "end_us", "active_seconds")
+    items = made.select("hostname", "day", F.col("session_id").alias("episode_id"), "session_no", "start_us", "end_us", "active_seconds")
     streams = items.groupBy("hostname", "day", (F.col("session_no") % 3).alias("workstream")).agg(F.collect_list("episode_id").alias("episode_ids"))
     return items, streams
 
 
 @query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(us) / 1e6 AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
 def digest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(spark, sf_dir)
+    items, streams = _as_episodes(_sessions(spark, sf_dir))
     return digest.rolled_up(streams, items)
 
 
 @query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id FROM sessions WHERE session_no % 3 = 2", "sessions"))
 def digest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(spark, sf_dir)
+    items, streams = _as_episodes(_sessions(spark, sf_dir))
     return digest.unassigned(streams.where("workstream <> 2"), items)
 
 
 @query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id, CASE WHEN session_no % 3 = 2 THEN 0 ELSE 2 END AS times FROM sessions WHERE session_no % 3 = 2 OR session_no = 1", "sessions"))
 def final_allocation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(spark, sf_dir)
+    items, streams = _as_episodes(_sessions(spark, sf_dir))
     return digest.misallocated(streams.where("workstream <> 2"), items.where("session_no = 1"), items)
 
 
 @query()
 def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(spark, sf_dir)
+    items, streams = _as_episodes(_safe_sessions(spark, sf_dir))
     name = F.format_string("provisional-001-%03d", F.col("workstream") + 1)
     topic = F.array(F.concat(F.lit("topic "), (F.col("workstream") % 2).cast("string")))
     provisional = streams.select("hostname", "day", F.col("workstream").alias("place"), name.alias("provisional_id"), name.alias("label"), F.lit("low").alias("confidence"), F.array_sort("episode_ids").alias("episode_ids"), topic.alias("topics"), topic.alias("outcomes"))
@@ -386,22 +414,22 @@ def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def session_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_json(_sessions(spark, sf_dir), "session", details=True)
+    return sinks.bundle_json(_safe_sessions(spark, sf_dir), "session", details=True)
 
 
 @query()
 def session_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_markdown(_sessions(spark, sf_dir), "session", details=True, raw=True)
+    return sinks.bundle_markdown(_safe_sessions(spark, sf_dir), "session", details=True, raw=True)
 
 
 @query()
 def episode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_json(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
+    return sinks.bundle_json(ep.episodes(_safe_sessions(spark, sf_dir)), "episode", details=True)
 
 
 @query()
 def episode_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_markdown(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
+    return sinks.bundle_markdown(ep.episodes(_safe_sessions(spark, sf_dir)), "episode", details=True)
 
 
 @query()
@@ -442,7 +470,7 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _digest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Episodes, workstreams that take two of three of them, and the rest."""
-    items = written(ep.episodes(_sessions(spark, sf_dir)), "episodes")
+    items = written(ep.episodes(_safe_sessions(spark, sf_dir)), "episodes")
     no = F.regexp_extract("episode_id", r"(\d+)$", 1).cast("int") % 3
     none = F.array().cast("array<struct<text:string,evidence:array<string>>>")
     some = F.array().cast("array<struct<text:string,strength:string,evidence:array<string>>>")

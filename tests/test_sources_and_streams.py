@@ -82,6 +82,28 @@ def test_command_line(spark, tmp_path):
         assert out.read_text(encoding="utf-8").startswith("# Activity")
 
 
+def private_tables(spark, folder):
+    """A browser on a page of a private address and an editor on a file with its folders, of one host; its zone is UTC."""
+    at = lambda m: dt.datetime(2025, 10, 13, 9, m)
+    rows = [("1", "w", "current-window", at(0), at(5), "msedge.exe", "mail a.b@x.org", *[None] * 6), ("2", "b", "browser", at(0), at(5), None, "token=abcdefghijklmnop", None, None, "Shop.example", "/private/orders", None, None), ("3", "w", "current-window", at(5), at(10), "Code.exe", "x", *[None] * 6), ("4", "e", "editor", at(5), at(10), None, None, "/home/ann/secret-project", "/home/ann/notes.txt", None, None, "Python", None)]
+    schema = "event_id string, bucket_id string, kind string, start_ts timestamp, end_ts timestamp, app string, title string, project string, file string, url_host string, url_path string, code_language string, status string"
+    spark.createDataFrame(rows, schema).withColumn("ingested_at", F.col("end_ts")).write.parquet(f"{folder}/activity_records.parquet")
+    spark.createDataFrame([("w", "h"), ("b", "h"), ("e", "h")], "bucket_id string, hostname string").write.parquet(f"{folder}/watch_buckets.parquet")
+    days = spark.createDataFrame([("h", dt.date(2025, 10, 13), "UTC")], "hostname string, local_day date, timezone_name string")
+    days.write.parquet(f"{folder}/day_windows.parquet")
+
+
+def test_what_goes_out_is_made_of_safe_texts(spark, tmp_path):
+    folder = str(tmp_path)
+    private_tables(spark, folder)
+    found = {n: json.dumps([r.asDict(True) for r in entry.queries()[n](spark, folder).collect()], default=str) for n in ("session_json", "summary_plan")}
+    assert main([folder, "--host", "h", "--day", "2025-10-13", "--format", "json", "--details", "--raw", "--output", str(tmp_path / "x")]) == 0
+    found["command line"] = (tmp_path / "x").read_text(encoding="utf-8")
+    for name, text in found.items():
+        assert text != "[]" and not [x for x in ("a.b@x.org", "abcdefghijklmnop", "/private", "/home") if x in text], name
+    assert "redacted-email" in found["session_json"] and "notes.txt" in found["session_json"]
+
+
 def test_registries():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 45
 
