@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.functions.timezones import offset_seconds, zone_key, zone_table
 from chronoloom.schema import DAY_US, DIAGNOSTICS, KIND_OF_TYPE, RECORD, TEXTS
 from chronoloom.spark_tools import latest_records, micros, small_join
 
@@ -50,9 +51,15 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def day_windows(days: DataFrame) -> DataFrame:
-    """Adds start_us, end_us and duration_seconds of each (day, timezone_name): local midnight to the next, by the zone's rules of that day."""
-    at = lambda d: micros(F.to_utc_timestamp(F.timestamp_micros(F.unix_date(d).cast("long") * DAY_US), F.col("timezone_name")))
-    out = days.withColumns({"start_us": at(F.col("day")), "end_us": at(F.date_add("day", 1))})
+    """Adds start_us, end_us and duration_seconds of each (day, timezone_name): local midnight to the next, by the zone's rules of that day.
+
+    Zone names may be of either vocabulary, in any case and padded, or offsets in digits; a name that is neither has nulls.
+    """
+    zones = zone_table(days.sparkSession).select(F.col("zone_key").alias("_key"), F.col("zone_id").alias("_zone"))
+    out = days.withColumn("_key", zone_key("timezone_name")).join(F.broadcast(zones), "_key", "left")  # some 700 names, whatever the data
+    midnight = lambda d: F.unix_date(d).cast("long") * DAY_US
+    at = lambda d: F.when(F.col("_zone").isNotNull(), micros(F.to_utc_timestamp(F.timestamp_micros(midnight(d)), F.col("_zone")))).otherwise(midnight(d) - offset_seconds(F.col("_key")).cast("long") * 1_000_000)
+    out = out.withColumns({"start_us": at(F.col("day")), "end_us": at(F.date_add("day", 1))}).drop("_key", "_zone")
     return out.withColumn("duration_seconds", (F.col("end_us") - F.col("start_us")) / 1e6)
 
 

@@ -145,6 +145,13 @@ def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.day_windows(days)
 
 
+@query()
+def zone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day_windows of all rows with a zone, whatever its vocabulary; its SQL knows only names of one form."""
+    days = table(spark, sf_dir, "day_windows").where("trim(timezone_name) <> '' and local_day is not null").select(F.col("local_day").alias("day"), "timezone_name").distinct()
+    return records.day_windows(days)
+
+
 WINDOWS_SQL = "(SELECT hostname, local_day AS day, min(epoch_us(window_start)) AS start_us, max(epoch_us(window_end)) AS end_us FROM day_windows WHERE window_start IS NOT NULL GROUP BY 1, 2)"
 ISO_SQL = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
 RAW_SQL = f"""

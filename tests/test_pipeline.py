@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom import sinks
+from chronoloom import queries, sinks
 from chronoloom.operators import episodes as ep
 from chronoloom.operators import focus_sessions as fs
 from chronoloom.operators import fusion, intervals, records, reports
@@ -208,3 +208,12 @@ def test_normalised_and_diagnostics(spark):
 def test_days_of_23_and_25_hours(spark):
     days = spark.createDataFrame([("2026-03-08", "America/Los_Angeles"), ("2026-11-01", "America/Los_Angeles"), ("2024-09-08", "America/Santiago")], "day string, timezone_name string").withColumn("day", F.col("day").cast("date"))
     assert [r.duration_seconds for r in records.day_windows(days).orderBy("day").collect()] == [82_800.0, 82_800.0, 90_000.0]
+
+
+def test_windows_of_zones_in_any_vocabulary(spark, tmp_path):
+    names = {"US/Eastern": 4, "CET": -2, " europe/berlin ": -2, "W. Europe Standard Time": -2, "Europe/Berlin": -2, "Japan": -9, "+05:45": -5.75, "UTC-3": 3, "nowhere": None, None: 0}
+    rows = [("h", DAY, n) for n in names] * 2
+    spark.createDataFrame(rows, "hostname string, local_day date, timezone_name string").write.parquet(str(tmp_path / "day_windows.parquet"))
+    midnight = int(dt.datetime(2025, 10, 13, tzinfo=dt.UTC).timestamp())
+    got = sorted((r.timezone_name, r.start_us, r.duration_seconds) for r in queries.QUERIES["zone_windows"](spark, str(tmp_path)).collect())
+    assert got == sorted((n, None if h is None else int((midnight + h * 3600) * 10**6), None if h is None else 86_400.0) for n, h in names.items() if n)
