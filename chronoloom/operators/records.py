@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.timezones import offset_seconds, zone_key, zone_table
+from chronoloom.operators.timestamps import MONTH_FIRST_SLASHES, normalise_timestamps, parsed_texts
 from chronoloom.schema import DAY_US, DIAGNOSTICS, KIND_OF_TYPE, RECORD, TEXTS
 from chronoloom.spark_tools import latest_records, micros, small_join
 
-#: An ISO text with a zone; other layouts are the business of operators.timestamps.
+#: An ISO text with a zone; normalised_texts reads other layouts by operators.timestamps.
 ZONED = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 NAIVE = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 URL_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]*)(?::\d*)?(?:[/?#]|$)"
@@ -64,7 +65,7 @@ def day_windows(days: DataFrame) -> DataFrame:
 
 
 def normalised(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, diagnostics) of raw events against the windows (hostname, day, start_us, end_us) of their hosts.
+    """(records, diagnostics) of raw events against the windows (hostname, day, start_us, end_us) of their hosts, of ISO texts only.
 
     Events of unsupported buckets are left out, naive instants are dropped and counted once an event; an event is clipped to each window
     that it meets, and one that is empty or turned after clipping is dropped and counted, once for each window of the day it starts in.
@@ -74,7 +75,29 @@ def normalised(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame) ->
     rows = small_join(raw_events, kinds, ["bucket_id"], "inner")
     rows = rows.withColumn("_zoned", text.rlike(ZONED)).withColumn("_naive", text.rlike(NAIVE))
     start = F.when(F.col("_zoned"), micros(F.upper(text).try_cast("timestamp")))
-    rows = rows.withColumn("_s", start).withColumn("_e", F.col("_s") + F.rint(F.col("duration_seconds") * 1e6).cast("long"))
+    return _clipped(rows.withColumn("_s", start), windows)
+
+
+def normalised_texts(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """normalised() of texts in any layout: what has an offset, zone or abbreviation or is a number has an instant. Texts that can't be read are counted too.
+
+    `zones` (hostname, local_day, timezone_name) tells what an abbreviation means on a host; it gives no zone to naive texts.
+    """
+    kinds = supported_buckets(buckets).select("bucket_id", "hostname", "kind")
+    rows = small_join(raw_events, kinds, ["bucket_id"], "inner")
+    parsed = parsed_texts(rows, "ts_text", zone_table(rows.sparkSession))
+    naive = (F.col("_zone") == "") & (F.size("_readings") > 0) & ~F.get("_readings", F.lit(0))["component"].startswith("epoch")
+    rows = parsed.select(*rows.columns, F.coalesce(naive, F.lit(False)).alias("_naive"))
+    timed = normalise_timestamps(rows, "ts_text", "hostname", zones, MONTH_FIRST_SLASHES)
+    timed = timed.select(*rows.columns, F.when(~F.col("_naive"), F.col("instant_us")).alias("_s"))
+    records, counts = _clipped(timed, windows)
+    unread = timed.where("not _naive and _s is null").groupBy(F.lit("unreadable-timestamp").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return records, counts.unionByName(unread)
+
+
+def _clipped(rows: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and counts of rows with their instant `_s` and whether it is `_naive`."""
+    rows = rows.withColumn("_e", F.col("_s") + F.rint(F.col("duration_seconds") * 1e6).cast("long"))
     w = windows.select(F.col("hostname").alias("_host"), "day", F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
     # The window of the day an event starts in, and those it reaches into, found by day so that the join is an equality.
     days = F.sequence(F.floor(F.col("_s") / DAY_US) - 1, F.floor(F.greatest("_s", F.coalesce("_e", "_s")) / DAY_US) + 1)

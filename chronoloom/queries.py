@@ -168,10 +168,18 @@ WITH raw AS (
 )""".replace("\\\\", "\\")
 
 
-def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _host_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "day_windows").where("window_start is not null").groupBy("hostname", F.col("local_day").alias("day"))
-    w = w.agg(F.min(F.unix_micros("window_start")).alias("start_us"), F.max(F.unix_micros("window_end")).alias("end_us"))
-    return records.normalised(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), w)
+    return w.agg(F.min(F.unix_micros("window_start")).alias("start_us"), F.max(F.unix_micros("window_end")).alias("end_us"))
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return records.normalised(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir))
+
+
+def _normalised_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw, buckets = table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets")
+    return records.normalised_texts(raw, buckets, _host_windows(spark, sf_dir), table(spark, sf_dir, "day_windows"))
 
 
 def _field_sql(key: str) -> str:
@@ -192,6 +200,17 @@ def normalize_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalised(spark, sf_dir)[1]
 
 
+@query()
+def normalize_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize_records of texts in any layout; its SQL knows only ISO texts."""
+    return _normalised_texts(spark, sf_dir)[0].select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status")
+
+
+@query()
+def normalize_all_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised_texts(spark, sf_dir)[1]
+
+
 @query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us FROM records", "records"))
 def day_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), []).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")

@@ -27,4 +27,5 @@ DIAGNOSTICS = {
     "unsupported-bucket": "unsupported bucket",
     "window-conflict": "conflicting foreground interval",
     "sanitized-field": "captured field containing private data",
+    "unreadable-timestamp": "event with an unreadable timestamp",
 }

@@ -217,3 +217,16 @@ def test_windows_of_zones_in_any_vocabulary(spark, tmp_path):
     midnight = int(dt.datetime(2025, 10, 13, tzinfo=dt.UTC).timestamp())
     got = sorted((r.timezone_name, r.start_us, r.duration_seconds) for r in queries.QUERIES["zone_windows"](spark, str(tmp_path)).collect())
     assert got == sorted((n, None if h is None else int((midnight + h * 3600) * 10**6), None if h is None else 86_400.0) for n, h in names.items() if n)
+
+
+def test_texts_of_any_layout_are_normalised(spark):
+    zoned = ["2025-10-13T10:00:00Z", "1760349600", "Mon, 13 Oct 2025 12:00:00 +0200", "20251013T100000Z", "2025-10-13T10:00:00.000000000Z", "2025-10-13T12:00:00+02", "2025-10-13T12:00:00+02:00[Europe/Berlin]", "10/13/2025 3:30:00 PM IST"]
+    other = ["2025-10-13T10:00:00", "10/13/2025 10:00:00 AM", "Oct 13, 2025 10:00", "n/a", None]
+    raw = spark.createDataFrame([(str(i), "w", t, 5.0, "{}") for i, t in enumerate(zoned + other)], "event_id string, bucket_id string, ts_text string, duration_seconds double, data_json string")
+    buckets = spark.createDataFrame([("w", "currentwindow", "c", "h")], "bucket_id string, bucket_type string, client string, hostname string")
+    zones = spark.createDataFrame([("h", DAY, "Asia/Kolkata")], "hostname string, local_day date, timezone_name string")
+    windows = spark.createDataFrame([("h", DAY, 1_760_293_800_000_000, 1_760_380_200_000_000)], "hostname string, day date, start_us bigint, end_us bigint")
+    got, counts = records.normalised_texts(raw, buckets, windows, zones)
+    assert {r.event_id: r.start_us for r in got.collect()} == {str(i): 1_760_349_600_000_000 for i in range(len(zoned))}
+    assert {r.code: r.n for r in counts.collect()} == {"naive-timestamp": 3, "unreadable-timestamp": 2}
+    assert [m.message for m in records.diagnostic_messages(counts).orderBy("rank").collect()] == ["ignored 3 event with a naive timestamps", "ignored 2 event with an unreadable timestamps"]
