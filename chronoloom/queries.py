@@ -488,8 +488,10 @@ def events_as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming operator over the table as a stream of files, until all of it is read."""
     path, name = f"{sf_dir.rstrip('/')}/activity_records.parque[t]", uuid.uuid4().hex  # a pattern may be a file or a folder
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).where("kind <> 'afk'")
+    held = spark.read.parquet(path)
     out = f"{shared_folder(spark)}/live-{name}"
+    live.closing_row(held.where("kind <> 'afk'")).write.parquet(f"{out}-closing")
+    rows = spark.readStream.schema(held.schema).parquet(path).where("kind <> 'afk'").unionByName(spark.readStream.schema(held.schema).parquet(f"{out}-closing"))
     live.live_sessions(rows, "bucket_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("bucket_id string, start_us bigint, end_us bigint, n_events bigint").parquet(out)
 

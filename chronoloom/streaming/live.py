@@ -25,6 +25,17 @@ def live_sessions(rows: DataFrame, key: str, gap_seconds: int = 300, late: str =
     return out.select(key, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("_end").alias("end_us"), "n_events")
 
 
+def closing_row(rows: DataFrame, gap_seconds: int = 300, late_seconds: int = 3600) -> DataFrame:
+    """One row of the columns of bounded `rows` that moves the watermark past the end of all their sessions; none without rows.
+
+    Read with the rows, it makes live_sessions emit every session; its own, of no key, stays open and doesn't come out.
+    """
+    end = F.greatest("start_ts", F.coalesce("end_ts", "start_ts"))
+    last = rows.agg(F.max(F.unix_micros(end)).alias("_last")).where("_last is not null")
+    at = F.timestamp_micros(F.col("_last") + (gap_seconds + late_seconds + 1) * 1_000_000)
+    return last.select(*[(at if f.name == "start_ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
 def live_days(records: DataFrame, store: str, out: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str, keys: list[str] = STREAM) -> StreamingQuery:
     """Keeps `out` (parquet, partitioned by keys) up to date with compute(all records of a key) for every key that a micro-batch touches.
 

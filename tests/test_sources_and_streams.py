@@ -57,6 +57,16 @@ def test_live_sessions(spark, tmp_path):
     assert got == sorted(map(tuple, batch.where("host <> 'c'").select("host", "start_us", "end_us", "n_events").collect()))
 
 
+def test_live_sessions_of_the_last_hour_come_out(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [("a", 0.0, 10.0), ("a", 310.0, 311.0), ("b", 0.0, None), ("c", 1e6, 1e6), ("d", 1e6 - 600, 1e6 + 9000), ("d", 1e6 - 1000, 1e6 - 950)]
+    df = times(spark, rows).withColumnRenamed("host", "bucket_id").withColumn("kind", F.lit("browser"))
+    df.write.parquet(f"{folder}/activity_records.parquet")
+    batch = activity_sessions(df.select("bucket_id", F.unix_micros("start_ts").alias("s"), F.unix_micros("end_ts").alias("e")), "bucket_id")
+    got = sorted(map(tuple, entry.queries()["live_sessions"](spark, folder).collect()))
+    assert len(got) == 5 and got == sorted(map(tuple, batch.select("bucket_id", "start_us", "end_us", "n_events").collect()))
+
+
 def test_days_are_made_anew(spark, tmp_path):
     schema = "hostname string, day date, bucket_id string, event_id string, kind string, start_us bigint, end_us bigint, app string, title string, project string, file string, url_host string, url_path string, language string"
     row = lambda i, s, e: ("h", dt.date(1970, 1, 1), "b", str(i), "current-window", s, e, "x", "one", *[None] * 5)
