@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.timezones import offset_seconds, zone_key, zone_table
+from chronoloom.operators.intervals import coalesced, subtracted
 from chronoloom.operators.timestamps import MONTH_FIRST_SLASHES, normalise_timestamps, parsed_texts
 from chronoloom.schema import DAY_US, DIAGNOSTICS, KIND_OF_TYPE, RECORD, TEXTS
 from chronoloom.spark_tools import latest_records, micros, small_join
@@ -127,14 +128,41 @@ def diagnostic_messages(counts: DataFrame) -> DataFrame:
 
 
 def day_records(activity: DataFrame, buckets: DataFrame, texts: list[str] = TEXTS) -> DataFrame:
-    """Counted records by host and UTC day; a record that crosses midnight is one record of each day, clipped to it.
+    """Counted records by host and UTC day; a record that crosses midnight is one record of each day, clipped to it. local_records has local days.
 
     Only the text columns asked for are read. Empty texts are null; records without a positive duration, start, or known bucket are left out.
     """
+    return _by_utc_day(_counted(activity, buckets, texts), texts)
+
+
+def local_records(activity: DataFrame, buckets: DataFrame, windows: DataFrame, texts: list[str] = TEXTS) -> DataFrame:
+    """day_records by the windows (hostname, day, start_us, end_us) of each host: a record is clipped to each window that it meets.
+
+    What lies in no window of its host counts to its UTC day, so that nothing is lost where windows are missing or leave gaps.
+    """
+    rows = _counted(activity, buckets, texts)
+    windows = windows.where("start_us < end_us")
+    w = windows.select(F.col("hostname").alias("_host"), "day", F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
+    days = F.sequence(F.floor(F.col("_s") / DAY_US) - 1, F.floor(F.col("_e") / DAY_US) + 1)
+    spread = rows.withColumn("_d", F.explode(F.transform(days, lambda d: F.date_from_unix_date(d.cast("int")))))
+    met = spread.join(w, (F.col("hostname") == F.col("_host")) & (F.col("_d") == F.col("day"))).where("_s < _we and _e > _ws")
+    inside = met.select("hostname", "day", "event_id", "bucket_id", "kind", F.greatest("_s", "_ws").alias("start_us"), F.least("_e", "_we").alias("end_us"), *_plain(texts))
+    bare = subtracted(rows.withColumnsRenamed({"_s": "start_us", "_e": "end_us"}), coalesced(windows, ["hostname"]), ["hostname"])
+    return inside.unionByName(_by_utc_day(bare.withColumnsRenamed({"start_us": "_s", "end_us": "_e"}), texts))
+
+
+def _plain(texts: list[str]) -> list[Column]:
+    return [F.nullif(F.col(c), F.lit("")).alias(c) for c in texts]
+
+
+def _counted(activity: DataFrame, buckets: DataFrame, texts: list[str]) -> DataFrame:
     cols = ["event_id", "bucket_id", "kind", "start_ts", "end_ts", *["code_language" if c == "language" else c for c in texts]]
     hosts = buckets.where("bucket_id is not null").groupBy("bucket_id").agg(F.min("hostname").alias("hostname"))
     rows = small_join(latest_records(activity, cols), hosts, ["bucket_id"], "inner").where("end_ts > start_ts")
-    rows = rows.withColumnRenamed("code_language", "language").withColumns({"_s": micros("start_ts"), "_e": micros("end_ts")})
+    return rows.withColumnRenamed("code_language", "language").withColumns({"_s": micros("start_ts"), "_e": micros("end_ts")})
+
+
+def _by_utc_day(rows: DataFrame, texts: list[str]) -> DataFrame:
     rows = rows.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_s") / DAY_US), F.floor((F.col("_e") - 1) / DAY_US))))
     return rows.select(
         "hostname",
@@ -144,5 +172,5 @@ def day_records(activity: DataFrame, buckets: DataFrame, texts: list[str] = TEXT
         "kind",
         F.greatest("_s", F.col("_d") * DAY_US).alias("start_us"),
         F.least("_e", (F.col("_d") + 1) * DAY_US).alias("end_us"),
-        *[F.nullif(F.col(c), F.lit("")).alias(c) for c in texts],
+        *_plain(texts),
     )

@@ -105,11 +105,16 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.sessions(_slices(spark, sf_dir))
 
 
-# The SQL of pieces, slices and sessions is that of raw texts; what goes out of the pipeline is made of safe ones.
+# The SQL of records, pieces, slices and sessions is that of UTC days and raw texts; what goes out of the pipeline is made of local days and safe texts.
+
+
+def _local_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.local_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir))
+    return intervals.active_records(rows)
 
 
 def _safe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fused_pieces(text_safety.observations(_active(spark, sf_dir)))
+    return fusion.fused_pieces(text_safety.observations(_local_active(spark, sf_dir)))
 
 
 def _safe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +221,13 @@ def day_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), []).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
 
 
+@query()
+def local_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day_records by local days; its SQL is that of UTC days."""
+    found = records.local_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir), [])
+    return found.select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
+
+
 @query(sql("SELECT * FROM away", "away"))
 def afk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.away_intervals(records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), ["status"]))
@@ -375,7 +387,7 @@ def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def safe_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_safety.observations(_active(spark, sf_dir))
+    return text_safety.observations(_local_active(spark, sf_dir))
 
 
 @query()
@@ -460,7 +472,7 @@ def episode_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = _active(spark, sf_dir)
+    active = _local_active(spark, sf_dir)
     return sinks.report_markdown(intervals.merged_adjacent(active), reports.report_heads(active), reports.app_totals(active))
 
 

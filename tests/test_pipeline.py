@@ -230,3 +230,15 @@ def test_texts_of_any_layout_are_normalised(spark):
     assert {r.event_id: r.start_us for r in got.collect()} == {str(i): 1_760_349_600_000_000 for i in range(len(zoned))}
     assert {r.code: r.n for r in counts.collect()} == {"naive-timestamp": 3, "unreadable-timestamp": 2}
     assert [m.message for m in records.diagnostic_messages(counts).orderBy("rank").collect()] == ["ignored 3 event with a naive timestamps", "ignored 2 event with an unreadable timestamps"]
+
+
+def test_records_of_local_days(spark):
+    """A day at +09:00 from 15:00 UTC of the day before; after its window, and for a host without any, days are UTC."""
+    at = lambda d, h: dt.datetime(2025, 10, d, h)
+    rows = [("1", "w", "afk", at(12, 14), at(12, 16)), ("2", "w", "afk", at(13, 14), at(14, 1)), ("3", "v", "afk", at(13, 23), at(14, 1))]
+    df = spark.createDataFrame(rows, "event_id string, bucket_id string, kind string, start_ts timestamp, end_ts timestamp").withColumn("ingested_at", F.col("end_ts"))
+    buckets = spark.createDataFrame([("w", "h"), ("v", "other")], "bucket_id string, hostname string")
+    windows = records.day_windows(spark.createDataFrame([("h", DAY, "Asia/Tokyo")], "hostname string, day date, timezone_name string"))
+    zero = int(dt.datetime(2025, 10, 13, tzinfo=dt.UTC).timestamp())
+    got = sorted((r.event_id, r.day.day, *((x / 1e6 - zero) / 3600 for x in (r.start_us, r.end_us))) for r in records.local_records(df, buckets, windows, []).collect())
+    assert got == [("1", 12, -10, -9), ("1", 13, -9, -8), ("2", 13, 14, 15), ("2", 13, 15, 24), ("2", 14, 24, 25), ("3", 13, 23, 24), ("3", 14, 24, 25)]

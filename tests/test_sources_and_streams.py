@@ -99,7 +99,7 @@ def private_tables(spark, folder):
     schema = "event_id string, bucket_id string, kind string, start_ts timestamp, end_ts timestamp, app string, title string, project string, file string, url_host string, url_path string, code_language string, status string"
     spark.createDataFrame(rows, schema).withColumn("ingested_at", F.col("end_ts")).write.parquet(f"{folder}/activity_records.parquet")
     spark.createDataFrame([("w", "h"), ("b", "h"), ("e", "h")], "bucket_id string, hostname string").write.parquet(f"{folder}/watch_buckets.parquet")
-    days = spark.createDataFrame([("h", dt.date(2025, 10, 13), "UTC")], "hostname string, local_day date, timezone_name string")
+    days = spark.createDataFrame([("h", dt.date(2025, 10, 13), "UTC", dt.datetime(2025, 10, 13), dt.datetime(2025, 10, 14))], "hostname string, local_day date, timezone_name string, window_start timestamp, window_end timestamp")
     days.write.parquet(f"{folder}/day_windows.parquet")
 
 
