@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.operators.activity_sessions import activity_sessions, host_sessions
-from chronoloom.operators.interval_sets import bucket_periods, periods_and_gaps
+from chronoloom.operators.interval_sets import bucket_periods, merge_runs, periods_and_gaps
 
 SCHEMA = "key string, s bigint, e bigint, start_us string, _chunk int"
 
@@ -41,14 +42,25 @@ def test_sessions_don_t_depend_on_chunks(spark, seed, chunk):
     assert sorted(map(tuple, got), key=repr) == sessions_by_loop(data, 10)
 
 
-@pytest.mark.parametrize("chunk", [50, 700, 10**9])
-def test_periods_and_gaps(spark, chunk):
+def test_lists_merge_linearly():
+    """Partial lists of random intervals, in any split, give the union of all."""
+    r = random.Random(5)
+    for _ in range(200):
+        groups = [[(s, s + r.randrange(1, 20)) for s in (r.randrange(200) for _ in range(r.randrange(1, 15)))] for _ in range(r.randrange(1, 4))]
+        flat = [(g, s, e) for g, x in enumerate(groups) for s, e in x]
+        got = merge_runs(*[np.array(c) for c in zip(*flat)], np.zeros(len(flat), dtype=bool))
+        want = [(g, s, e) for g, x in enumerate(groups) for _, s, e, _ in sessions_by_loop([(g, s, e) for s, e in x], 0)]
+        assert list(zip(*[c.tolist() for c in got[:3]])) == sorted(want)
+
+
+@pytest.mark.parametrize(("chunk", "fan"), [(50, 2), (50, 64), (700, 3), (10**9, 64)])
+def test_periods_and_gaps(spark, chunk, fan):
     data = rows(3)
     want = []
     for key in {d[0] for d in data}:
         mine = sessions_by_loop([d for d in data if d[0] == key and d[1] is not None and d[2] is not None and d[2] > d[1]], 0)
         want += [(key, "period", s, e) for _, s, e, _ in mine] + [(key, "gap", a[2], b[1]) for a, b in zip(sorted(mine, key=lambda m: m[1]), sorted(mine, key=lambda m: m[1])[1:]) if b[1] - a[2] <= 60]
-    got = periods_and_gaps(spark.createDataFrame(data, SCHEMA), "key", 60, chunk).select("key", "piece", "start_us", "end_us").collect()
+    got = periods_and_gaps(spark.createDataFrame(data, SCHEMA), "key", 60, chunk, fan).select("key", "piece", "start_us", "end_us").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
