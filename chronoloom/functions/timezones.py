@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zoneinfo
 from collections import defaultdict
 from datetime import datetime, timezone
@@ -121,12 +122,15 @@ def _abbreviations(zone: str) -> tuple[tuple[str, int], ...]:
     return tuple(sorted(seen.items()))
 
 
+def zone_names(spark: SparkSession) -> dict[str, str]:
+    """Zone of every name of both vocabularies, in lower case."""
+    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) & zoneinfo.available_timezones()
+    return {z.lower(): z for z in known} | {k.lower(): z for k, z in DESKTOP_ZONES.items() if z in known} | {"z": "UTC", "ut": "UTC"}
+
+
 def zone_table(spark: SparkSession) -> DataFrame:
     """zone_key (lower case name), zone_id, uses (abbreviation -> seconds): every name of both vocabularies, some 700 rows whatever the data."""
-    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) & zoneinfo.available_timezones()
-    names = {z.lower(): z for z in known}
-    names |= {k.lower(): z for k, z in DESKTOP_ZONES.items() if z in known}
-    rows = [(k, z, dict(_abbreviations(z))) for k, z in sorted(names.items())]
+    rows = [(k, z, dict(_abbreviations(z))) for k, z in sorted(zone_names(spark).items())]
     return spark.createDataFrame(rows, "zone_key string, zone_id string, uses map<string,int>")
 
 
@@ -149,6 +153,17 @@ def zone_key(name: str | Column) -> Column:
 OFFSET = r"^(?:UTC|GMT|utc|gmt)?\s*([+-])(\d{1,2}):?(\d{2})?(?::?\d{2})?$"
 
 
+_OFFSET = re.compile(OFFSET)
+
+
+def offset_of(text: str) -> int | None:
+    """offset_seconds of one text."""
+    m = _OFFSET.match(text)
+    if not m or int(m[2]) > 18 or int(m[3] or 0) > 59:
+        return None
+    return (-1 if m[1] == "-" else 1) * (int(m[2]) * 3600 + int(m[3] or 0) * 60)
+
+
 def offset_seconds(text: Column) -> Column:
     """Seconds east of UTC of an offset in digits; null for other texts and for offsets beyond 18 hours."""
     h = F.regexp_extract(text, OFFSET, 2).try_cast("int")

@@ -2,220 +2,340 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime
+import functools
+import math
+import re
+import zoneinfo
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.functions.timezones import abbreviation_meanings, offset_seconds, zone_key, zone_table
-from chronoloom.spark_tools import BROADCAST_ROWS, small_join, written
-
-#: Prior weight of each reading of a date of digits. A weight of 0 forbids a reading.
-MONTH_FIRST_SLASHES = {"slash_mdy": 1.0, "slash_dmy": 0.0, "dot_dmy": 1.0, "dot_mdy": 0.0}
-EITHER_ORDER = {"slash_mdy": 1.0, "slash_dmy": 1.0, "dot_dmy": 1.0, "dot_mdy": 1.0}
-
-SEP = "\u0001"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})?(?=\D|$)"
-YEAR_LAST = r"^([A-Za-z]{3,9},?) ([A-Za-z]{3,9}) +(\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)( [A-Za-z]{1,5})? (\d{4})$"
-WHOLE = r"^(.*?[0-9A-Za-z]),?(?:[Tt]|\s+|\s+at\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*((?:[AaPp]\.?[Mm]\.?(?![A-Za-z]))?)\s*(\S.*)?$"
-YMD = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$"
-XY = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
-D_MON_Y = r"^(?:[A-Za-z]{3,9}\.?,?\s+)?(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4})$"
-MON_D_Y = r"^(?:[A-Za-z]{3,9}\.?,?\s+)?([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$"
-NUMBER = r"^(\d{9,20})(?:\.(\d*))?$"
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-#: A bare number is read in the unit that puts it between 1980 and 2100.
-EPOCH_FROM_S, EPOCH_TO_S = 315_532_800, 4_102_444_800
-EPOCH_UNITS = {"epoch_s": 0, "epoch_ms": 3, "epoch_us": 6, "epoch_ns": 9}
-
-
-def _groups(text: Column, pattern: str, groups: int) -> Column:
-    """All groups of one match as an array, by a single evaluation of the pattern; of another size without a match."""
-    return F.split(F.regexp_replace(text, pattern, SEP.join(f"${i + 1}" for i in range(groups))), SEP)
-
-
-def _part(array: str, i: int, of: int) -> Column:
-    return F.when(F.size(array) == of, F.get(array, F.lit(i)))
-
-
-def _day_us(y: Column, m: Column, d: Column) -> Column:
-    """Microseconds of a civil date's midnight, null for dates that don't exist."""
-    return F.unix_date(F.concat_ws("-", y, m, d).try_cast("date")).cast("long") * 86_400_000_000
-
-
-def _month(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("string")
-    for i, full in reversed(list(enumerate(MONTHS, 1))):
-        names = {full, full[:3]} | ({"sept"} if i == 9 else set())
-        out = F.when(low.isin(*names), F.lit(str(i))).otherwise(out)
-    return out
-
+from chronoloom.functions.timezones import abbreviation_meanings, offset_of, offset_seconds, zone_key, zone_names, zone_table
+from chronoloom.spark_tools import BROADCAST_ROWS, micros, small_join, written
 
-def parsed_texts(df: DataFrame, text: str, zones: DataFrame) -> DataFrame:
-    """Adds `_readings`, an array of (component, local_us): every valid reading of `text` by layout, and its zone as `_zone`, `_name`,
-    `_offset` (seconds, of offsets in digits) and `_written` (zone id, of zone names); an abbreviation stays in `_name`.
+#: Prior of each component as a number of texts, EVEN where none is named.
+MONTH_FIRST_SLASHES = {"slash_mdy": 50.0, "slash_dmy": 0.05, "dot_dmy": 50.0, "dot_mdy": 0.05}
+EITHER_ORDER: dict[str, float] = {}
+EVEN = 0.5
+#: Weight of noise, texts that only look like a reading, beside components with a prior of their own.
+NOISE = 0.02
+#: Layouts that month-first slashes and day-first dots don't have.
+AGAINST_CONVENTION = ("slash_dmy", "dot_mdy")
 
-    `local_us` holds the instant itself for numbers. Everything here is built-in expressions, in steps, so that each pattern runs once a text.
+DAY_US = 86_400_000_000
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTH = {name: i for i, full in enumerate(MONTHS, 1) for name in (full, full[:3])} | {"sept": 9}
+EPOCH_UNITS = {"epoch_s": 0, "epoch_ms": 3, "epoch_us": 6, "epoch_ns": 9}
+#: Instants that a number may stand for, years 1 to 9999.
+LEAST_US, MOST_US = -62_135_596_800_000_000, 253_402_300_799_999_999
+
+_SIGNS = str.maketrans("\u2212\u2012\u2013\xa0\u202f\u2009\u3000", "---    ", "\u200b\u200e\u200f\ufeff")
+_NUMBER = re.compile(r"(\d{9,20})(?:\.(\d*))?$")
+_COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})[Tt ]?(\d{2})(\d{2})(\d{2})?(?=\D|$)")
+_YEAR_LAST = re.compile(r"([A-Za-z]{3,9},?) ([A-Za-z]{3,9}) +(\d{1,2}) (\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)( [A-Za-z]{1,5})? (\d{4})$")
+_CLOCK = re.compile(r"(.*?[0-9A-Za-z]),?(?:[Tt]|\s+|\s+at\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*((?:[AaPp]\.?[Mm]\.?(?![A-Za-z]))?)\s*(\S.*)?$")
+_YMD = re.compile(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$")
+_XY = re.compile(r"(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$")
+_D_MON_Y = re.compile(r"(?:[A-Za-z]{3,9}\.?,?\s+)?(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4})$")
+_MON_D_Y = re.compile(r"(?:[A-Za-z]{3,9}\.?,?\s+)?([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})$")
+_ABBREVIATION = re.compile(r"[A-Za-z]{2,5}$")
+_EPOCH = datetime.date(1970, 1, 1).toordinal()
+
+
+def _midnight(year: str, month: str | int, day: str) -> int | None:
+    try:
+        return (datetime.date(int(year), int(month), int(day)).toordinal() - _EPOCH) * DAY_US
+    except ValueError:
+        return None
+
+
+def _dates(text: str) -> list[tuple[str, int]]:
+    """(layout, microseconds of its midnight) of every way to read a date."""
+    if m := _YMD.match(text):
+        found = [("ymd", _midnight(m[1], m[3], m[4]))]
+    elif m := _XY.match(text):
+        kind = "slash" if m[2] == "/" else "dot"
+        found = [(f"{kind}_mdy", _midnight(m[4], m[1], m[3])), (f"{kind}_dmy", _midnight(m[4], m[3], m[1]))]
+    elif m := _D_MON_Y.match(text):
+        found = [("day_month", _midnight(m[3], MONTH.get(m[2].lower(), 0), m[1]))]
+    elif m := _MON_D_Y.match(text):
+        found = [("month_day", _midnight(m[3], MONTH.get(m[1].lower(), 0), m[2]))]
+    else:
+        found = []
+    return [(name, us) for name, us in found if us is not None]
+
+
+def readings(text: str | None) -> tuple[list[tuple[str, int]], str, str]:
+    """((layout, local microseconds) of every valid reading, zone part before any bracket, last zone name) of a text.
+
+    A number has one reading a unit, each of the instant itself.
+    """
+    if not text:
+        return [], "", ""
+    t = " ".join(text.translate(_SIGNS).split())
+    if m := _NUMBER.match(t):
+        digits, fraction = m[1], m[2] or ""
+        out = []
+        for name, places in EPOCH_UNITS.items():
+            # Digits are moved, not multiplied, so nothing is rounded.
+            us = int(digits + fraction[: 6 - places].ljust(6 - places, "0")) if places < 6 else int(digits[: len(digits) - (places - 6)] or 0)
+            if LEAST_US <= us <= MOST_US:
+                out.append((name, us))
+        return out, "", ""
+    t = _COMPACT.sub(lambda m: f"{m[1]}-{m[2]}-{m[3]}T{m[4]}:{m[5]}" + (f":{m[6]}" if m[6] else ""), t, count=1) if _COMPACT.match(t) else t
+    if m := _YEAR_LAST.match(t):
+        t = f"{m[1]} {m[3]} {m[2]} {m[6]} {m[4]}{m[5] or ''}"
+    m = _CLOCK.match(t)
+    if not m:
+        return [], "", ""
+    hour, minute, second, half = int(m[2]), int(m[3]), int(m[4] or 0), m[6][:1].lower()
+    if half:
+        hour = hour % 12 + (12 if half == "p" else 0) if 1 <= hour <= 12 else 99
+    if hour > 23 or minute > 59 or second > 59:
+        return [], "", ""
+    clock = (hour * 3600 + minute * 60 + second) * 1_000_000 + int((m[5] or "")[:6].ljust(6, "0"))
+    zone = (m[7] or "").strip()
+    before, bracket, after = zone.partition("[")
+    first, last = before.strip(), after.removesuffix("]").strip() if bracket else zone
+    return [(name, us + clock) for name, us in _dates(m[1])], first, last
+
+
+_PARSED = T.StructType([
+    T.StructField("readings", T.ArrayType(T.StructType([T.StructField("component", T.StringType()), T.StructField("local_us", T.LongType())]))),
+    T.StructField("zoned", T.BooleanType()),
+    T.StructField("offset", T.IntegerType()),
+    T.StructField("written", T.StringType()),
+    T.StructField("abbreviation", T.StringType()),
+])
+_PARSED_ARROW = pa.struct([
+    ("readings", pa.list_(pa.struct([("component", pa.string()), ("local_us", pa.int64())]))),
+    ("zoned", pa.bool_()),
+    ("offset", pa.int32()),
+    ("written", pa.string()),
+    ("abbreviation", pa.string()),
+])
+
+
+def _parser(names: dict[str, str]):
+    """An Arrow function from texts to their readings; `names` has the zone of every zone name in lower case."""
+
+    def zone_of(first: str, last: str) -> tuple[int | None, str | None, str | None]:
+        offset = 0 if first.upper() in ("Z", "UTC", "GMT", "UT") else offset_of(first)
+        return offset, names.get(last.strip().lower()) if "/" in last else None, last.upper() if _ABBREVIATION.match(last) else None
+
+    def run(texts: pa.Array) -> pa.Array:
+        known: dict[tuple[str, str], tuple] = {("", ""): (None, None, None)}
+        out = []
+        for text in texts.to_pylist():
+            found, *zone = readings(text)
+            zone = tuple(zone)
+            if zone not in known:
+                known[zone] = zone_of(*zone)
+            offset, written_zone, abbreviation = known[zone]
+            out.append({"readings": [{"component": c, "local_us": us} for c, us in found], "zoned": zone != ("", ""), "offset": offset, "written": written_zone, "abbreviation": abbreviation})
+        return pa.array(out, _PARSED_ARROW)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _PARSED)
+
+
+def parsed_texts(df: DataFrame, text: str) -> DataFrame:
+    """Adds `_p`: every valid reading of `text` by layout (component, local_us), whether a zone is written, and which.
+
+    One Arrow pass: the same as built-in expressions took four times the CPU time, as their generated code is too long to be compiled.
     """
-    t = F.regexp_replace(F.translate(F.col(text), "\u2212\u2012\u2013\u00a0\u202f\u2009\u3000", "---    "), "[\u200b\u200e\u200f\ufeff]", "")
-    t = F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), COMPACT, "$1-$2-$3T$4:$5:$6")
-    t = F.regexp_replace(F.regexp_replace(t, r"(T\d{2}:\d{2}):(?=\D|$)", "$1"), YEAR_LAST, "$1 $3 $2 $6 $4$5")
-    df = df.withColumn("_t", t)
-    df = df.withColumns({"_w": _groups(F.col("_t"), WHOLE, 7), "_n": _groups(F.col("_t"), NUMBER, 2)})
-    date, hour, minute, second, frac, half, zone = (_part("_w", i, 7) for i in range(7))
-    df = df.withColumns({
-        "_date": date,
-        "_h": hour.try_cast("int"),
-        "_mi": minute.try_cast("int"),
-        "_sec": F.coalesce(F.nullif(second, F.lit("")).try_cast("int"), F.lit(0)),
-        "_us": F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("int"),
-        "_half": F.lower(F.substring(half, 1, 1)),
-        "_zone": F.trim(F.regexp_replace(zone, r"^([^\[]*?)\s*\[(.*)\]$", "$1|$2")),
-        "_number": _part("_n", 0, 2),
-        "_digits": _part("_n", 1, 2),
-    }).drop("_w", "_n")
-    df = df.withColumns({"_ymd": _groups(F.col("_date"), YMD, 4), "_xy": _groups(F.col("_date"), XY, 4), "_dmy": _groups(F.col("_date"), D_MON_Y, 3), "_mdy": _groups(F.col("_date"), MON_D_Y, 3)})
-    h = F.col("_h")
-    h = F.when(F.col("_half") == "", F.when(h < 24, h)).when(h.between(1, 12), h % 12 + F.when(F.col("_half") == "p", 12).otherwise(0))
-    # An offset before any bracket counts; else a name of either vocabulary; else an abbreviation, which is left for later.
-    df = df.withColumns({
-        "_clock": F.when((F.col("_mi") < 60) & (F.col("_sec") < 60), (h * 3600 + F.col("_mi") * 60 + F.col("_sec")).cast("long") * 1_000_000 + F.col("_us")),
-        "_first": F.element_at(F.split("_zone", r"\|"), 1),
-        "_name": F.element_at(F.split("_zone", r"\|"), -1),
-        "_d_ymd": _day_us(_part("_ymd", 0, 4), _part("_ymd", 2, 4), _part("_ymd", 3, 4)),
-        "_d_mdy": _day_us(_part("_xy", 3, 4), _part("_xy", 0, 4), _part("_xy", 2, 4)),
-        "_d_dmy": _day_us(_part("_xy", 3, 4), _part("_xy", 2, 4), _part("_xy", 0, 4)),
-        "_d_d_mon": _day_us(_part("_dmy", 2, 3), _month(_part("_dmy", 1, 3)), _part("_dmy", 0, 3)),
-        "_d_mon_d": _day_us(_part("_mdy", 2, 3), _month(_part("_mdy", 0, 3)), _part("_mdy", 1, 3)),
-        "_kind": F.when(_part("_xy", 1, 4) == "/", F.lit("slash")).otherwise(F.lit("dot")),
-    })
-    df = df.withColumns({"_offset": F.when(F.upper("_first").isin("Z", "UTC", "GMT", "UT"), F.lit(0)).otherwise(offset_seconds(F.col("_first"))), "_zone_name": zone_key("_name")})
-    written = zones.where("zone_key like '%/%'").select(F.col("zone_key").alias("_zone_name"), F.col("zone_id").alias("_written"))
-    df = df.join(F.broadcast(written), "_zone_name", "left")  # some 600 names, whatever the data
-    named = [(F.lit("ymd"), "_d_ymd"), (F.concat("_kind", F.lit("_mdy")), "_d_mdy"), (F.concat("_kind", F.lit("_dmy")), "_d_dmy"), (F.lit("day_month"), "_d_d_mon"), (F.lit("month_day"), "_d_mon_d")]
-    one = [F.when(F.col(day).isNotNull() & F.col("_clock").isNotNull(), F.struct(name.alias("component"), (F.col(day) + F.col("_clock")).alias("local_us"))) for name, day in named]
-    for name, places in EPOCH_UNITS.items():
-        # Digits are moved, not multiplied, so nothing is rounded: 6 - places digits of the fraction come in, or places - 6 of the number go.
-        n = F.col("_number")
-        us = F.concat(n, F.rpad(F.substring("_digits", 1, 6 - places), 6 - places, "0")) if places < 6 else n if places == 6 else F.substring(n, F.lit(1), F.length(n) - (places - 6))
-        us = us.try_cast("long")
-        one.append(F.when(us.between(EPOCH_FROM_S * 1_000_000, EPOCH_TO_S * 1_000_000), F.struct(F.lit(name).alias("component"), us.alias("local_us"))))
-    df = df.withColumn("_readings", F.filter(F.array(*one), lambda x: x.isNotNull()))
-    return df.drop("_t", "_date", "_h", "_mi", "_sec", "_us", "_half", "_number", "_digits", "_ymd", "_xy", "_dmy", "_mdy", "_clock", "_first", "_d_ymd", "_d_mdy", "_d_dmy", "_d_d_mon", "_d_mon_d", "_kind", "_zone_name")
-
-
-def mixture_weights(counts: DataFrame, source: str, priors: dict[str, float], pseudo: float = 0.5, rounds: int = 25) -> DataFrame:
-    """Expectation-maximisation of each source's mixture over components.
-
-    `counts` has source, signature (the sorted components of a text's valid readings) and n: one row per kind of text, however many texts.
-    A text contributes to each component in proportion to that component's weight among the text's valid readings (E); weights are the
-    shares of what they got, with `pseudo` times the prior added (M). Returns source, weights map<string,double>.
+    return df.withColumn("_p", _parser(zone_names(df.sparkSession))(F.col(text)))
+
+
+_CANDIDATES = T.ArrayType(T.StructType([T.StructField("c", T.StringType()), T.StructField("a", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("us", T.LongType()), T.StructField("dst", T.StringType())]))
+_CANDIDATES_ARROW = pa.list_(pa.struct([("c", pa.string()), ("a", pa.string()), ("k", pa.int32()), ("us", pa.int64()), ("dst", pa.string())]))
+#: Likelihood, as a power of two, of an offset that an abbreviation has elsewhere but not in the host's zone.
+ELSEWHERE = -10
+
+
+@functools.lru_cache(maxsize=200_000)
+def _offsets(zone: str, local_seconds: int) -> tuple[int, int]:
+    """Seconds east of UTC before and after any change at a local time; they differ where it is skipped or occurs twice."""
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=local_seconds)
+    rules = zoneinfo.ZoneInfo(zone)
+    return tuple(int(at.replace(tzinfo=rules, fold=f).utcoffset().total_seconds()) for f in (0, 1))
+
+
+def in_zone(local_us: int, zone: str) -> list[tuple[int, str | None]]:
+    """(instant, 'repeated' or 'skipped' or None) of a local time: two instants where it occurs twice, moved on by the jump where it is skipped."""
+    hour_us = 900_000_000  # offsets change at whole quarters of an hour
+    try:
+        first, second = _offsets(zone, local_us // hour_us * 900)
+    except (OverflowError, ValueError):
+        return []
+    if first == second:
+        return [(local_us - first * 1_000_000, None)]
+    if first > second:
+        return [(local_us - first * 1_000_000, "repeated"), (local_us - second * 1_000_000, "repeated")]
+    return [(local_us - first * 1_000_000, "skipped")]
+
+
+def plausibility(us: int, near: int | None) -> int:
+    """Likelihood of an instant as a power of two, 0 the most: by its distance before `near`, the time at which the text was received, if that is known."""
+    if near is None:
+        return 0 if 315_532_800_000_000 <= us <= 4_102_444_800_000_000 else -20
+    days = (near - us) / DAY_US
+    return max(-20, -6 + math.floor(-math.log2(1 + (days / 30) ** 2))) if days < -1 else max(-20, math.floor(-math.log2(1 + (days / 30) ** 2)))
+
+
+@F.arrow_udf(_CANDIDATES)
+def candidates(parsed: pa.Array, near: pa.Array, zone0: pa.Array, fixed0: pa.Array, uses0: pa.Array, zone1: pa.Array, fixed1: pa.Array, uses1: pa.Array) -> pa.Array:
+    """Every instant that a text may mean, with its component, likelihood class and what the clocks did; null without any zone to read it by."""
+    everywhere, out = abbreviation_meanings(), []
+    sides = [[c.to_pylist() for c in (zone0, fixed0, uses0)], [c.to_pylist() for c in (zone1, fixed1, uses1)]]
+    for i, (p, at) in enumerate(zip(parsed.to_pylist(), near.to_pylist())):
+        found: list[tuple[str, str | None, int, int, str | None]] = []
+        for j, r in enumerate(p["readings"]):
+            name, local = r["component"], r["local_us"]
+            zone, fixed, uses = (c[i] for c in sides[min(j, 1)])
+            if name.startswith("epoch"):
+                found.append((name, None, plausibility(local, at), local, None))
+            elif p["offset"] is not None:
+                us = local - p["offset"] * 1_000_000
+                found.append((name, None, plausibility(us, at), us, None))
+            elif p["written"] is not None:
+                found += [(name, None, plausibility(us, at), us, dst) for us, dst in in_zone(local, p["written"])]
+            elif not p["zoned"]:
+                if zone is not None:
+                    found += [(name, None, plausibility(us, at), us, dst) for us, dst in in_zone(local, zone)]
+                elif fixed is not None:
+                    us = local - fixed * 1_000_000
+                    found.append((name, None, plausibility(us, at), us, None))
+            elif p["abbreviation"] is not None:
+                here = dict(uses or []).get(p["abbreviation"])
+                for o in {here, *everywhere.get(p["abbreviation"], [])} - {None}:
+                    us = local - o * 1_000_000
+                    k = plausibility(us, at) + (ELSEWHERE if here is not None and o != here else 0)
+                    found.append((name, f"{p['abbreviation']}@{o}", k, us, None))
+        known = bool(p["readings"]) and (bool(found) or not p["zoned"])
+        out.append([{"c": c, "a": a, "k": k, "us": us, "dst": dst} for c, a, k, us, dst in found] if known else None)
+    return pa.array(out, _CANDIDATES_ARROW)
+
+
+_WEIGHTS = T.MapType(T.StringType(), T.DoubleType())
+
+
+def family(component: str) -> str:
+    """What a component stands against: the layouts of one shape, the units of a number, the offsets of an abbreviation."""
+    return component.partition("@")[0] if "@" in component else component.partition("_")[0]
+
+
+def fitted_weights(signatures: list[tuple[list[tuple[str, str | None, int]], int]], priors: dict[str, float], rounds: int = 25) -> dict[str, float]:
+    """Weights of a source's mixtures, one a family, by expectation-maximisation over (signature, number of texts).
+
+    A signature is the (layout, offset of an abbreviation or None, likelihood class) triples of a kind of text. A text contributes to each of its
+    valid readings in proportion to weights times likelihood, and to noise (E); weights are the shares of their family in what they got and
+    their prior (M). Noise keeps its weight, so that it doesn't grow with what it could explain as well.
     """
+    seen = {x for s, _ in signatures for c, a, _ in s for x in (c, a) if x}
+    names = sorted(seen | {c for c in priors if family(c) in set(map(family, seen))})
+    prior = {c: priors.get(c, EVEN) for c in names}
+
+    def shares(got: dict[str, float]) -> dict[str, float]:
+        whole: dict[str, float] = {}
+        for c in names:
+            whole[family(c)] = whole.get(family(c), 0.0) + got[c] + prior[c]
+        return {c: (got[c] + prior[c]) / whole[family(c)] for c in names}
+
+    weight = shares(dict.fromkeys(names, 0.0))
+    for _ in range(rounds):
+        got = dict.fromkeys(names, 0.0)
+        for parts, n in signatures:
+            like = [weight[c] * (weight[a] if a else 1.0) * 2.0**k for c, a, k in parts]
+            total = sum(like) + (NOISE * 2.0 ** max(k for _, _, k in parts) if parts[0][0] in priors else 0.0)
+            for (c, a, _), x in zip(parts, like):
+                got[c] += n * x / total
+                if a:
+                    got[a] += n * x / total
+        weight = shares(got)
+    return weight
+
+
+def mixture_weights(counts: DataFrame, source: str, priors: dict[str, float]) -> DataFrame:
+    """Fits each source's mixture: source, weights. `counts` has source, signature and n, one row a kind of text; kinds are bounded by layouts and likelihood classes, not by texts."""
+
+    def fit(kinds: pa.Array) -> pa.Array:
+        out = [list(fitted_weights([([(x["c"], x["a"], x["k"]) for x in k["signature"]], k["n"]) for k in row], priors).items()) for row in kinds.to_pylist()]
+        return pa.array(out, pa.map_(pa.string(), pa.float64()))
+
+    fit.__annotations__ = {"kinds": pa.Array, "return": pa.Array}
+    kinds = counts.groupBy(source).agg(F.collect_list(F.struct("signature", "n")).alias("_kinds"))
+    return kinds.select(source, F.arrow_udf(fit, _WEIGHTS)("_kinds").alias("weights"))
+
+
+def host_zones(windows: DataFrame, source: str) -> DataFrame:
+    """_source, _day, _zone, _fixed, _uses: zone, or offset in seconds, of each source's day, and the offsets its abbreviations stand for."""
+    zones = zone_table(windows.sparkSession)
+    w = windows.select(F.col(source).cast("string").alias("_source"), F.col("local_day").alias("_day"), zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and _day is not null")
+    w = w.distinct().join(F.broadcast(zones), "zone_key", "left").withColumn("_fixed", offset_seconds(F.col("zone_key")))  # some 700 names, whatever the data
+    w = w.where("zone_id is not null or _fixed is not null").groupBy("_source", "_day")
+    w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"), F.first("uses", ignorenulls=True).alias("_uses"))
+    return w.select("_source", "_day", F.nullif(F.col("_w.z"), F.lit("")).alias("_zone"), F.col("_w._fixed").alias("_fixed"), "_uses")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({c for s in pdf.signature for c in s})
-        prior = {c: priors.get(c, 1.0) for c in names}
-        weight = {c: prior[c] for c in names}
-        for _ in range(rounds):
-            got = {c: pseudo * prior[c] for c in names}
-            for signature, n in zip(pdf.signature, pdf.n):
-                total = sum(weight[c] for c in signature)
-                if total > 0:
-                    for c in signature:
-                        got[c] += n * weight[c] / total if prior[c] > 0 else 0
-            total = sum(got.values()) or 1.0
-            weight = {c: got[c] / total for c in names}
-        return pd.DataFrame({source: [pdf[source].iloc[0]], "weights": [weight]})
-
-    kind = counts.schema[source].dataType
-    schema = T.StructType([T.StructField(source, kind), T.StructField("weights", T.MapType(T.StringType(), T.DoubleType()))])
-    return counts.groupBy(source).applyInPandas(fit, schema)
-
-
-def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFrame, priors: dict[str, float] | None = None, certain: float = 0.9) -> DataFrame:
-    """Adds instant_us, component, posterior and status to every row of `df`.
 
-    `source` names the column whose value has a mixture of its own (a host); `windows` has source, local_day and timezone_name, by which
-    texts without a zone are read. status is 'resolved', 'ambiguous' (the best reading has a posterior under `certain`; instant_us is the best
-    one), 'no_zone' (a valid local time, but no window with a zone name for that day) or 'invalid' (no valid reading; also null and empty texts).
+def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFrame, priors: dict[str, float] | None = None, certain: float = 0.9, near: Column | None = None) -> DataFrame:
+    """Adds instant_us, component, posterior, status and dst to every row of `df`.
 
-    Method: expectation-maximisation over format mixtures per source. Readings of a text are its layouts, and for an abbreviation its offsets:
-    the one used in the host's zone of that day, or where that is unknown every offset it has anywhere. Counts of kinds of text (not texts)
-    go through EM per source, so a busy source is one small group.
+    `source` names the column whose value has a mixture of its own (a host); `windows` has source, local_day and timezone_name, by which
+    texts without a zone are read; `near` is a timestamp by which the text was written, if there is one. status is 'resolved', 'ambiguous' (the
+    best reading has a posterior under `certain`; instant_us is the best one, the earlier of equals), 'noise' (more likely no reading at all),
+    'no_zone' (a valid local time, but no window with a zone name for that day) or 'invalid' (no valid reading; also null and empty texts).
+    dst is 'repeated' for a local time that occurs twice, which is therefore ambiguous, and 'skipped' for one that was moved on by the jump.
+
+    Method: expectation-maximisation over format mixtures per source. A text's readings are its layouts, the order of day and month, the unit of
+    a number, and the offsets that an abbreviation has in the host's zone or anywhere; each contributes by its component's weight in the source
+    and the likelihood of its instant. Kinds of text (readings and likelihood classes) are counted, so that a busy source is one small group,
+    weights are fitted per source, and posteriors choose. Conventions are priors, which a source's own texts may outweigh.
     """
-    spark = df.sparkSession
     priors = EITHER_ORDER if priors is None else priors
-    zones = zone_table(spark)
     keep = df.columns
     # Rows without a source are a source of their own, with no windows.
-    rows = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit(SEP)).alias("_source"), F.col(text).alias("_text"))
-    parsed = parsed_texts(rows, "_text", zones)
-    w = windows.select(F.col(source).cast("string").alias("_source"), "local_day", zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and local_day is not null")
-    w = w.distinct().join(F.broadcast(zones), "zone_key", "left").withColumn("_fixed", offset_seconds(F.col("zone_key")))
-    w = w.where("zone_id is not null or _fixed is not null").groupBy("_source", F.col("local_day").alias("_day"))
-    w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"), F.first("uses", ignorenulls=True).alias("_uses"))
-    w = w.select("_source", "_day", F.nullif(F.col("_w.z"), F.lit("")).alias("_zone_id"), F.col("_w._fixed").alias("_fixed"), "_uses")
-
-    # A text has at most two readings by layout (month or day first), each with the zone of its own day.
+    rows = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit("\u0001")).alias("_source"), F.col(text).alias("_text"), (micros(near) if near is not None else F.lit(None).cast("long")).alias("_near"))
+    parsed = parsed_texts(rows, "_text").drop("_text")
+    w = host_zones(windows, source)
+    # A text has at most two readings with a local time (month or day first), each with the zone of its own day.
     narrow = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for i in (0, 1):
-        parsed = parsed.withColumn(f"_r{i}", F.get("_readings", F.lit(i)))
-        parsed = parsed.withColumn(f"_day{i}", F.date_from_unix_date(F.floor(F.col(f"_r{i}.local_us") / 86_400_000_000).cast("int")))
-        day = w.withColumnsRenamed({"_day": f"_day{i}", "_zone_id": f"_zone{i}", "_fixed": f"_fixed{i}", "_uses": f"_uses{i}"})
+        local = F.get(F.col("_p.readings"), F.lit(i))
+        parsed = parsed.withColumn(f"_day{i}", F.when(~local["component"].startswith("epoch"), F.date_from_unix_date(F.floor(local["local_us"] / DAY_US).cast("int"))))
+        day = w.withColumnsRenamed({"_day": f"_day{i}", "_zone": f"_zone{i}", "_fixed": f"_fixed{i}", "_uses": f"_uses{i}"})
         parsed = parsed.join(F.broadcast(day) if narrow else day, ["_source", f"_day{i}"], "left")
-    meanings = spark.createDataFrame(sorted(abbreviation_meanings().items()), "_abbreviation string, _meanings array<int>")
-    parsed = parsed.withColumn("_abbreviation", F.when(F.col("_name").rlike("^[A-Za-z]{2,5}$"), F.upper("_name")))
-    parsed = parsed.join(F.broadcast(meanings), "_abbreviation", "left")  # a few hundred abbreviations, whatever the data
-
-    def options(i: int) -> Column:
-        local, component = F.col(f"_r{i}.local_us"), F.col(f"_r{i}.component")
-        at = lambda zone: F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col(zone)))
-        simple = (
-            F.when(component.startswith("epoch"), local)
-            .when(F.col("_offset").isNotNull(), local - F.col("_offset").cast("long") * 1_000_000)
-            .when(F.col("_written").isNotNull(), at("_written"))
-            .when((F.col("_zone") == "") & F.col(f"_zone{i}").isNotNull(), at(f"_zone{i}"))
-            .when((F.col("_zone") == "") & F.col(f"_fixed{i}").isNotNull(), local - F.col(f"_fixed{i}").cast("long") * 1_000_000)
-        )
-        used = F.try_element_at(F.col(f"_uses{i}"), F.col("_abbreviation"))
-        offsets = F.when(used.isNotNull(), F.array(used)).otherwise(F.col("_meanings"))
-        named = F.transform(offsets, lambda o: F.struct(F.concat(component, F.lit(":"), F.col("_abbreviation"), F.lit("@"), o.cast("string")).alias("c"), (local - o.cast("long") * 1_000_000).alias("us")))
-        return F.when(simple.isNotNull(), F.array(F.struct(component.alias("c"), simple.alias("us")))).when(F.col("_abbreviation").isNotNull(), named)
-
-    parsed = parsed.withColumns({"_o0": F.when(F.col("_r0").isNotNull(), options(0)), "_o1": F.when(F.col("_r1").isNotNull(), options(1))})
-    # Valid: a number, a time of the host's zone, or one with a zone that is known.
-    valid = F.col("_r0").isNotNull() & ((F.col("_zone") == "") | F.coalesce("_o0", "_o1").isNotNull())
-    none = F.array().cast("array<struct<c:string,us:bigint>>")
-    flat = parsed.select("_row", "_source", F.concat(F.coalesce("_o0", none), F.coalesce("_o1", none)).alias("_all"), F.coalesce(valid, F.lit(False)).alias("_valid"))
-    flat = flat.withColumn("_signature", F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["c"]))))
+    flat = parsed.select("_row", "_source", candidates("_p", "_near", *[f"{c}{i}" for i in (0, 1) for c in ("_zone", "_fixed", "_uses")]).alias("_all"))
+    pairs = F.array_distinct(F.transform("_all", lambda x: F.struct(x["c"].alias("c"), x["a"].alias("a"), x["k"].alias("k"))))
+    flat = flat.withColumn("_signature", F.array_sort(pairs))
     flat = written(flat, "readings")  # read twice: for the counts, and for the choice
     counts = flat.where(F.size("_signature") > 0).groupBy("_source", F.col("_signature").alias("signature")).agg(F.count(F.lit(1)).alias("n"))
-    fitted = mixture_weights(counts, "_source", _expanded(priors))
-    flat = small_join(flat, fitted, ["_source"])
-    scored = F.transform("_all", lambda x: F.struct(F.coalesce(F.try_element_at(F.col("weights"), x["c"]), F.lit(0.0)).alias("w"), (-x["us"]).alias("late"), x["c"].alias("c"), x["us"].alias("us")))
-    flat = flat.withColumn("_scored", F.filter(scored, lambda x: x["w"] > 0)).withColumn("_best", F.array_max("_scored"))
-    total = F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + x["w"])
+    fitted = written(mixture_weights(counts, "_source", priors), "weights")  # counted, then joined
+    flat = small_join(flat.drop("_signature"), fitted, ["_source"])
+    of = lambda name: F.coalesce(F.try_element_at(F.col("weights"), name), F.lit(1.0))
+    scored = F.transform("_all", lambda x: F.struct((of(x["c"]) * of(x["a"]) * F.pow(F.lit(2.0), x["k"])).alias("w"), (-x["us"]).alias("late"), x["c"].alias("c"), x["a"].alias("a"), x["us"].alias("us"), x["dst"].alias("dst")))
+    flat = flat.withColumn("_scored", scored).withColumn("_best", F.array_max("_scored"))
+    noise = F.when(F.col("_best.c").isin(list(priors)), NOISE * F.pow(F.lit(2.0), F.array_max(F.transform("_all", lambda x: x["k"])))).otherwise(0.0)
+    total = F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + x["w"]) + noise
     same = F.aggregate(F.filter("_scored", lambda x: x["us"] == F.col("_best.us")), F.lit(0.0), lambda acc, x: acc + x["w"])
     posterior = F.when(F.col("_best").isNotNull(), same / total)
-    status = F.when(F.col("_best").isNotNull(), F.when(posterior >= certain, "resolved").otherwise("ambiguous")).when(F.col("_valid"), "no_zone").otherwise("invalid")
-    return flat.select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_best.us").alias("instant_us"), F.col("_best.c").alias("component"), posterior.alias("posterior"), status.alias("status"))
-
-
-class _expanded(dict):
-    """Priors by layout, for components that also name an abbreviation's offset."""
-
-    def get(self, key, default=None):
-        return super().get(key.split(":")[0], default)
+    sure = F.when(posterior >= certain, "resolved").when(noise / total > 0.5, "noise").otherwise("ambiguous")
+    status = F.when(F.col("_best").isNotNull(), sure).when(F.col("_all").isNotNull(), "no_zone").otherwise("invalid")
+    return flat.select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_best.us").alias("instant_us"), F.concat_ws(":", "_best.c", "_best.a").alias("component"), posterior.alias("posterior"), status.alias("status"), F.col("_best.dst").alias("dst"))
 
 
 def event_instants(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame) -> DataFrame:
-    """event_id, instant_us of every raw event whose text names a point in time, once per event_id: of several texts the surest, then the latest received.
+    """event_id, instant_us, component, posterior, status, dst of every raw event whose text names a point in time, once per event_id: of several texts the surest, then the latest received.
 
-    Dates with slashes are month first, with dots day first. Events without an id are left out; an event of an unknown bucket has no host,
-    so that only texts with a zone or number are cases.
+    Dates with slashes are month first, with dots day first, by prior and by a check of what the posteriors chose. Events without an id are left
+    out; an event of an unknown bucket has no host, so that only texts with a zone or number are cases.
     """
     hosts = buckets.where("bucket_id is not null").groupBy("bucket_id").agg(F.min("hostname").alias("hostname"))
     rows = small_join(raw_events.select("event_id", "bucket_id", "ts_text", "received_at").where("event_id is not null"), hosts, ["bucket_id"])
-    found = normalise_timestamps(rows, "ts_text", "hostname", windows, MONTH_FIRST_SLASHES).where("instant_us is not null")
-    return found.groupBy("event_id").agg(F.max(F.struct("posterior", "received_at", "instant_us")).alias("x")).select("event_id", F.col("x.instant_us").alias("instant_us"))
+    found = normalise_timestamps(rows, "ts_text", "hostname", windows, MONTH_FIRST_SLASHES, near=F.col("received_at"))
+    found = found.where(F.col("instant_us").isNotNull() & (F.col("status") != "noise") & ~F.substring_index("component", ":", 1).isin(*AGAINST_CONVENTION))
+    best = F.max(F.struct("posterior", "received_at", "instant_us", "component", "status", "dst")).alias("x")
+    return found.groupBy("event_id").agg(best).select("event_id", "x.instant_us", "x.component", "x.posterior", "x.status", "x.dst")

@@ -39,19 +39,20 @@ CASES = {
     None: None,
     "2025-10-14 10:00:00": None,  # no window of that day
     "2025-10-15 10:00:00": None,  # a window without a zone
+    "2025-10-21 10:00:00": us(2025, 10, 21, 10),
 }
 
 
 @pytest.fixture(scope="module")
 def windows(spark):
-    days = [("h", d, z) for d, z in (("2025-10-13", "W. Europe Standard Time"), ("2025-10-13", "europe/berlin "), ("2025-10-26", "CET"), ("2025-03-30", "Europe/Berlin"), ("2025-10-15", None), ("2025-10-20", "+05:30"))]
+    days = [("h", d, z) for d, z in (("2025-10-13", "W. Europe Standard Time"), ("2025-10-13", "europe/berlin "), ("2025-10-26", "CET"), ("2025-03-30", "Europe/Berlin"), ("2025-10-15", None), ("2025-10-20", "+05:30"), ("2025-10-21", " Z"))]
     return spark.createDataFrame(days, "hostname string, local_day string, timezone_name string").withColumn("local_day", F.col("local_day").cast("date"))
 
 
 def test_layouts(spark, windows):
     rows = [(i, t, "h") for i, t in enumerate(CASES)]
     df = spark.createDataFrame(rows, "i int, ts_text string, hostname string").withColumn("status", F.lit("clash"))
-    got = {r.ts_text: r.instant_us for r in normalise_timestamps(df.drop("status"), "ts_text", "hostname", windows, MONTH_FIRST_SLASHES).collect()}
+    got = {r.ts_text: r.instant_us if r.status != "noise" else None for r in normalise_timestamps(df.drop("status"), "ts_text", "hostname", windows, MONTH_FIRST_SLASHES).collect()}
     assert got == CASES
 
 
@@ -61,6 +62,32 @@ def test_status(spark, windows):
     assert got == {"2025-10-14 10:00": "no_zone", "no": "invalid", "1760372666": "resolved", "2025-10-20 10:00:00": "resolved"}
 
 
+def test_changes_of_the_clocks(spark, windows):
+    """A repeated local time is ambiguous, the earlier instant comes out; a skipped one moves on and is sure."""
+    df = spark.createDataFrame([("2025-10-26 02:30:00", "h"), ("2025-03-30 02:30:00", "h"), ("2025-10-26 04:30:00", "h"), ("2025-10-26 02:30:00 +01:00", "h")], "ts_text string, hostname string")
+    got = {r.ts_text[:16] + r.ts_text[19:]: (r.instant_us, r.status, r.dst) for r in normalise_timestamps(df, "ts_text", "hostname", windows).collect()}
+    assert got["2025-10-26 02:30"] == (us(2025, 10, 26, 0, 30), "ambiguous", "repeated")
+    assert got["2025-03-30 02:30"] == (us(2025, 3, 30, 1, 30), "resolved", "skipped")
+    assert got["2025-10-26 04:30"] == (us(2025, 10, 26, 3, 30), "resolved", None)
+    assert got["2025-10-26 02:30 +01:00"] == (us(2025, 10, 26, 1, 30), "resolved", None)
+
+
+def test_posteriors_choose_the_unit(spark, windows):
+    """Every unit of a number is a reading; what was received when, and the source's other numbers, tell which."""
+    rows = [("1760372666", "a", "2025-10-13 16:25:00"), ("1760372666123", "a", "2025-10-13 16:25:00"), ("1760372666123", "a", None), ("999999999", "b", "2001-09-09 02:00:00"), ("99999999900", "b", "1973-03-04 00:00:00")]
+    df = spark.createDataFrame(rows, "ts_text string, hostname string, received string").withColumn("at", F.col("received").cast("timestamp"))
+    got = [(r.component, r.status) for r in normalise_timestamps(df, "ts_text", "hostname", windows, near=F.col("at")).collect()]
+    assert got == [("epoch_s", "resolved"), ("epoch_ms", "resolved"), ("epoch_ms", "resolved"), ("epoch_s", "resolved"), ("epoch_ms", "resolved")]
+
+
+def test_a_source_may_outweigh_a_convention(spark, windows):
+    texts = [(f"{d}/02/2025 10:00:00 +00:00", "h") for d in range(13, 29)] * 20 + [("03/04/2025 10:00:00 +00:00", "h"), ("13/10/2025 10:00:00 +00:00", "other")]
+    out = normalise_timestamps(spark.createDataFrame(texts, "ts_text string, hostname string"), "ts_text", "hostname", windows, {"slash_mdy": 50.0, "slash_dmy": 0.05})
+    assert out.where("ts_text like '03%'").first().component == "slash_dmy"
+    strict = normalise_timestamps(spark.createDataFrame(texts[-1:], "ts_text string, hostname string"), "ts_text", "hostname", windows, MONTH_FIRST_SLASHES)
+    assert strict.first().status == "noise"
+
+
 def test_the_mixture_of_a_source_chooses_the_order(spark, windows):
     """Days above 12 show which order a source writes; readings of its other dates follow, and a source that shows nothing stays ambiguous."""
     texts = [(f"{d}/02/2025 10:00:00 +00:00", "day") for d in range(13, 29)] + [("03/04/2025 10:00:00 +00:00", "day")]
@@ -88,6 +115,6 @@ def test_events_once_and_empty(spark, windows):
     schema = "event_id string, bucket_id string, ts_text string, received_at timestamp, instant_us string"
     now = dt.datetime(2025, 10, 13)
     rows = [("1", "b", "1760372666", now, "x"), ("1", "b", "2025-10-13T16:24:26Z", now, "x"), ("2", "b", "?", now, "x"), ("3", "other", "2025-10-13 10:00", now, "x"), ("4", "other", "2025-10-13 10:00Z", now, "x"), (None, "b", "1760372666", now, "x")]
-    got = event_instants(spark.createDataFrame(rows, schema), buckets, windows).collect()
+    got = event_instants(spark.createDataFrame(rows, schema), buckets, windows).select("event_id", "instant_us").collect()
     assert sorted(map(tuple, got)) == [("1", us(2025, 10, 13, 16, 24, 26)), ("4", us(2025, 10, 13, 10))]
     assert event_instants(spark.createDataFrame([], schema), buckets, windows).count() == 0
