@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         days = [(args.host, args.day + datetime.timedelta(n), args.zone) for n in (-1, 0, 1)]  # all that the UTC day meets
         windows = records.day_windows(spark.createDataFrame(days, "hostname string, day date, timezone_name string"))
-        found = records.local_records(read_table(spark, args.folder, "activity_records"), read_table(spark, args.folder, "watch_buckets"), windows)
+        found = records.day_records(read_table(spark, args.folder, "activity_records"), read_table(spark, args.folder, "watch_buckets"), windows)
     except WatcherSourceError as e:
         print(f"chronoloom: {e}", file=sys.stderr)
         return 1

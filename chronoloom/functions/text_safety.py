@@ -5,11 +5,11 @@ What needs NFKC or a replacement computed from the match runs in one Arrow UDF;
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from pathlib import PurePosixPath, PureWindowsPath
-from urllib.parse import urlsplit
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,21 +33,31 @@ SIGN_IN_PATHS = ["oauth", "authorize", "callback", "signin", "challenge", "recov
 TEXT_CAP, HOST_CAP = 500, 253
 
 
-def _host_only(match: re.Match) -> str:
-    address = match.group()
+def _only_host(address: re.Match) -> str:
+    """The lower-case host of an address: what is left between scheme, user and port, path."""
+    server = address[0].rpartition("://")[2].partition("/")[0].rpartition("@")[2]
+    if not server.startswith("["):
+        return server.partition(":")[0].casefold()
+    inside = server[1:].partition("]")[0].casefold()
     try:
-        return (urlsplit(address if "://" in address else "//" + address).hostname or "[redacted-url]").casefold()
+        return str(inside) if ipaddress.ip_address(inside) else ""
     except ValueError:
         return "[redacted-url]"
 
 
+#: What is replaced in a line, in this order; the browser's tail goes from captured texts only.
+RULES = ((WEB_ADDRESS, _only_host), (EMAIL, "[redacted-email]"), (OTHER_PAGES, ""), (SECRET, "[redacted-secret]"))
+
+
 def one_line(value: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", value).split())
 
 
 def replaced(line: str, tail: bool) -> str:
-    out = EMAIL.sub("[redacted-email]", WEB_ADDRESS.sub(_host_only, line))
-    return SECRET.sub("[redacted-secret]", OTHER_PAGES.sub("", out) if tail else out)
+    for pattern, by in RULES:
+        if tail or pattern is not OTHER_PAGES:
+            line = pattern.sub(by, line)
+    return line
 
 
 def safe_generated(value: str) -> str:
@@ -55,34 +65,40 @@ def safe_generated(value: str) -> str:
     return replaced(one_line(value), tail=False)
 
 
-def safe_text(value: str | None) -> tuple[str | None, int]:
-    """(safe text or None, 1 if anything but form changed)."""
-    if not value:
-        return None, 0
-    line = one_line(value)
-    out = replaced(line, tail=True)
-    return out[:TEXT_CAP] or None, int(out != line)
+def last_name(path: str) -> str:
+    """Last part of a path; backslashes part it too, and a drive is no part of it, if it has a backslash or colon."""
+    windows = "\\" in path or ":" in path
+    names = [n for n in (path.replace("\\", "/") if windows else path).split("/") if n not in ("", ".")]
+    last = names[-1] if names else ""
+    return last[2:] if windows and len(names) == 1 and last[1:2] == ":" and last[:1].isalpha() else last
+
 
+class SafeText(NamedTuple):
+    """A captured text made safe, null if nothing is left, and in how many steps more than its form changed."""
 
-def file_name(path: str) -> str | None:
-    return (PureWindowsPath(path) if "\\" in path or ":" in path else PurePosixPath(path)).name or None
+    text: str | None
+    changes: int
 
 
-def safe_file(value: str | None) -> tuple[str | None, int]:
-    """(name of the safe path, how many steps changed it)."""
-    text, changes = safe_text(value)
-    if text is None:
-        return None, changes
-    name = file_name(text)
-    return name, changes + (name != text)
+def safe_text(value: str | None, name_only: bool = False) -> SafeText:
+    """A captured text, or with name_only the name in a captured path."""
+    line = one_line(value or "")
+    steps = [line, replaced(line, tail=True)]
+    cut = steps[-1][:TEXT_CAP]
+    if name_only and cut:
+        steps += [cut, last_name(cut)]
+        cut = steps[-1]
+    return SafeText(cut or None, sum(a != b for a, b in zip(steps[::2], steps[1::2])))
 
 
-def sendable_text(value: str | None) -> str | None:
-    return safe_generated(value)[:TEXT_CAP] or None if value else None
+def safe_file(value: str | None) -> SafeText:
+    return safe_text(value, name_only=True)
 
 
-def sendable_path(value: str | None) -> str | None:
-    return sendable_text(file_name(value)) if value else None
+def sendable_text(value: str | None, name_only: bool = False) -> str | None:
+    """A text, or the name in a path, that may leave the machine."""
+    out = safe_generated(last_name(value or "") if name_only else value or "")
+    return out[:TEXT_CAP] or None
 
 
 class UnsafePayloadError(RuntimeError):
@@ -168,21 +184,27 @@ def safe_path(host: Column, path: Column) -> Column:
     return F.when(~signing & keep.isNotNull() & (F.size(parts) >= 2), F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), keep), "/")))
 
 
+#: What a title is reduced to: where to look (application, title, or both in lower case), for what, and the text; ? stands for the kind of mail.
+# The patterns and the texts.
+TITLE_RULES = (
+    ("title", r"(?i)^[^\n]*?\(DM\)(?:(?!teams)[^\n])*slack[^\n]*$", "Direct message - Slack"),
+    ("title", r"(?i)^[^\n]*?\(DM\)[^\n]*teams[^\n]*$", "Direct message - Teams"),
+    ("app", "teams", "Meeting - Microsoft Teams"),
+    ("title", "(?i)microsoft teams", "Meeting - Microsoft Teams"),
+    ("both", "outlook", "? - Outlook"),
+    ("both", "gmail", "? - Gmail"),
+    ("app", "mail|thunderbird", "? - Mail"),
+)
+MAIL_KINDS = (("inbox", "Inbox"), ("calendar", "Calendar"), ("", "Email"))
+
+
 def sendable_title(app: Column, title: Column) -> Column:
-    """A title reduced for sending: direct messages, meetings and mail to their category, others made safe."""
-    a, t = F.lower(F.coalesce(app, F.lit(""))), F.lower(title)
-    both = F.concat(a, F.lit(" "), t)
-    direct = F.regexp_extract(title, r"(?i)^[^\n]*?\s*\(DM\)[^\n]*?(Slack|Teams)[^\n]*$", 1)
-    mail = both.rlike("outlook|gmail") | a.rlike("mail|thunderbird")
-    category = F.when(t.contains("inbox"), "Inbox").when(t.contains("calendar"), "Calendar").otherwise("Email")
-    display = F.when(both.contains("outlook"), "Outlook").when(both.contains("gmail"), "Gmail").otherwise("Mail")
-    return (
-        F.when(F.nullif(title, F.lit("")).isNull(), None)
-        .when(direct != "", F.concat(F.lit("Direct message - "), F.initcap(direct)))
-        .when(a.contains("teams") | t.contains("microsoft teams"), "Meeting - Microsoft Teams")
-        .when(mail, F.concat(category, F.lit(" - "), display))
-        .otherwise(sendable_text_of(title))
-    )
+    """A title reduced for sending: the first rule that fits gives its text, others are made safe; null for null and empty titles."""
+    low = F.lower(F.coalesce(app, F.lit("")))
+    places = {"app": low, "title": title, "both": F.concat(low, F.lit(" "), F.lower(title))}
+    kind = F.coalesce(*[F.when(F.lower(title).contains(word), F.lit(name)) for word, name in MAIL_KINDS])
+    ruled = [F.when(places[where].rlike(pattern), F.replace(F.lit(to), F.lit("?"), kind)) for where, pattern, to in TITLE_RULES]
+    return F.when(title != "", F.coalesce(*ruled, sendable_text_of(title)))
 
 
 def observations(records: DataFrame, keys: list[str] = STREAM) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.timezones import offset_seconds, zone_key, zone_table
 from chronoloom.operators.intervals import coalesced, subtracted
-from chronoloom.operators.timestamps import MONTH_FIRST_SLASHES, normalise_timestamps, parsed_texts
+from chronoloom.operators.timestamps import AGAINST_CONVENTION, MONTH_FIRST_SLASHES, normalise_timestamps, parsed_texts
 from chronoloom.schema import DAY_US, DIAGNOSTICS, KIND_OF_TYPE, RECORD, TEXTS
-from chronoloom.spark_tools import latest_records, micros, small_join
+from chronoloom.spark_tools import latest_records, latest_rows, micros, small_join, written
 
-#: An ISO text with a zone; normalised_texts reads other layouts by operators.timestamps.
+#: An ISO text with a zone; with zone tables timed_events reads any layout by operators.timestamps.
 ZONED = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 NAIVE = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 URL_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]*)(?::\d*)?(?:[/?#]|$)"
@@ -65,55 +65,72 @@ def day_windows(days: DataFrame) -> DataFrame:
     return out.withColumn("duration_seconds", (F.col("end_us") - F.col("start_us")) / 1e6)
 
 
-def normalised(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records, diagnostics) of raw events against the windows (hostname, day, start_us, end_us) of their hosts, of ISO texts only.
+def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pairs of rows (hostname, _s, _e) and the windows of their host that they meet, as day, _ws, _we.
 
-    Events of unsupported buckets are left out, naive instants are dropped and counted once an event; an event is clipped to each window
-    that it meets, and one that is empty or turned after clipping is dropped and counted, once for each window of the day it starts in.
+    Windows are found by the days that a row meets, so that the join is an equality; a row that never ends meets no more days than there are.
     """
-    kinds = supported_buckets(buckets).select("bucket_id", "hostname", "kind")
-    text = F.trim("ts_text")
-    rows = small_join(raw_events, kinds, ["bucket_id"], "inner")
-    rows = rows.withColumn("_zoned", text.rlike(ZONED)).withColumn("_naive", text.rlike(NAIVE))
-    start = F.when(F.col("_zoned"), micros(F.upper(text).try_cast("timestamp")))
-    return _clipped(rows.withColumn("_s", start), windows)
+    first, last = windows.agg(F.min(F.unix_date("day")), F.max(F.unix_date("day"))).first()
+    w = windows.where("start_us < end_us").select(F.col("hostname").alias("_host"), "day", F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
+    first, last = (1, 0) if first is None else (first, last)
+    lo, hi = F.greatest(F.floor(F.col("_s") / DAY_US) - 1, F.lit(first)), F.least(F.floor(F.col("_e") / DAY_US) + 1, F.lit(last))
+    days = F.when(lo <= hi, F.sequence(lo, hi))
+    spread = rows.withColumn("_d", F.explode(F.transform(days, lambda d: F.date_from_unix_date(d.cast("int")))))
+    return spread.join(w, (F.col("hostname") == F.col("_host")) & (F.col("_d") == F.col("day"))).where("_s < _we and _e > _ws").drop("_d", "_host")
+
 
+#: What becomes of a raw row, besides the codes of diagnostics: kept in at least one window, or an earlier copy of an event.
+KEPT, REPEATED = "kept", "repeated-event"
 
-def normalised_texts(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """normalised() of texts in any layout: what has an offset, zone or abbreviation or is a number has an instant. Texts that can't be read are counted too.
 
-    `zones` (hostname, local_day, timezone_name) tells what an abbreviation means on a host; it gives no zone to naive texts.
+def timed_events(raw_events: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Adds `_s`, the instant of each text that has one, and `_naive`, of texts that name a time but no zone.
+
+    With `zones` (hostname, local_day, timezone_name; it tells what an abbreviation means on a host, and gives no zone to naive texts) texts may
+    have any layout; without, only ISO texts are read, and those of other layouts are left without an instant.
+    """
+    if zones is None:
+        text = F.trim("ts_text")
+        start = F.when(text.rlike(ZONED), micros(F.upper(text).try_cast("timestamp")))
+        return raw_events.withColumns({"_s": start, "_naive": F.coalesce(text.rlike(NAIVE), F.lit(False))})
+    parsed = parsed_texts(raw_events, "ts_text")
+    naive = ~F.col("_p.zoned") & (F.size("_p.readings") > 0) & ~F.get(F.col("_p.readings"), F.lit(0))["component"].startswith("epoch")
+    rows = parsed.withColumn("_naive", naive).drop("_p")
+    near = F.col("received_at") if "received_at" in rows.columns else None
+    timed = normalise_timestamps(rows, "ts_text", "hostname", zones, MONTH_FIRST_SLASHES, near=near)
+    right = ~F.substring_index("component", ":", 1).isin(*AGAINST_CONVENTION) & (F.col("status") != "noise")
+    return timed.select(*rows.columns, F.when(~F.col("_naive") & right, F.col("instant_us")).alias("_s"))
+
+
+def normalised(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, fates) of raw events against the windows (hostname, day, start_us, end_us) of their hosts.
+
+    fates (fate, n) says what became of every row, so that they add up to the input: 'kept' in at least one window; 'repeated-event', an
+    earlier copy by received_at of an event of the same bucket and id; 'unsupported-bucket', of a bucket that is not supported or not known; 'naive-timestamp';
+    'unreadable-timestamp'; and 'non-positive-event', nothing of which is left after clipping, in a window or outside of all.
     """
+    cols = raw_events.columns
+    if "received_at" in cols:
+        copies = latest_rows(raw_events.withColumn("_id", F.when(F.col("event_id").isNotNull(), F.struct("bucket_id", "event_id"))), "_id", "received_at", ["ts_text", "duration_seconds", "data_json"]).select(*cols)
+    else:
+        copies = raw_events
     kinds = supported_buckets(buckets).select("bucket_id", "hostname", "kind")
-    rows = small_join(raw_events, kinds, ["bucket_id"], "inner")
-    parsed = parsed_texts(rows, "ts_text", zone_table(rows.sparkSession))
-    naive = (F.col("_zone") == "") & (F.size("_readings") > 0) & ~F.get("_readings", F.lit(0))["component"].startswith("epoch")
-    rows = parsed.select(*rows.columns, F.coalesce(naive, F.lit(False)).alias("_naive"))
-    timed = normalise_timestamps(rows, "ts_text", "hostname", zones, MONTH_FIRST_SLASHES)
-    timed = timed.select(*rows.columns, F.when(~F.col("_naive"), F.col("instant_us")).alias("_s"))
-    records, counts = _clipped(timed, windows)
-    unread = timed.where("not _naive and _s is null").groupBy(F.lit("unreadable-timestamp").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return records, counts.unionByName(unread)
-
-
-def _clipped(rows: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and counts of rows with their instant `_s` and whether it is `_naive`."""
-    rows = rows.withColumn("_e", F.col("_s") + F.rint(F.col("duration_seconds") * 1e6).cast("long"))
-    w = windows.select(F.col("hostname").alias("_host"), "day", F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
-    # The window of the day an event starts in, and those it reaches into, found by day so that the join is an equality.
-    days = F.sequence(F.floor(F.col("_s") / DAY_US) - 1, F.floor(F.greatest("_s", F.coalesce("_e", "_s")) / DAY_US) + 1)
-    spread = rows.where("_s is not null").withColumn("_d", F.explode(F.transform(days, lambda d: F.date_from_unix_date(d.cast("int")))))
-    met = spread.join(w, (F.col("hostname") == F.col("_host")) & (F.col("_d") == F.col("day"))).where((F.col("_s") < F.col("_we")) & (F.greatest("_s", F.coalesce("_e", "_s")) >= F.col("_ws")))
-    met = met.withColumns({"start_us": F.greatest("_s", "_ws"), "end_us": F.least("_e", "_we")})
-    good = F.coalesce(F.col("end_us") > F.col("start_us"), F.lit(False))
-    data = F.try_parse_json("data_json")
+    joined = written(small_join(copies, kinds, ["bucket_id"]), "events")  # read twice: for the records, and to count
+    rows = joined.where("kind is not null").withColumn("_row", F.monotonically_increasing_id())
+    rows = timed_events(rows, zones).withColumn("_e", F.try_add("_s", F.rint(F.col("duration_seconds") * 1e6).try_cast("long")))
+    rows = written(rows, "timed")
+    met = in_windows(rows.where("_e > _s"), windows)
     host, path = url_parts(F.col("_url"))
-    kept = met.where(good).withColumn("_v", data).withColumn("_url", strict_text("_v", "url"))
+    kept = met.withColumns({"start_us": F.greatest("_s", "_ws"), "end_us": F.least("_e", "_we"), "_v": F.try_parse_json("data_json")}).withColumn("_url", strict_text("_v", "url"))
     kept = kept.select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", *[(host if c == "url_host" else path if c == "url_path" else strict_text("_v", c)).alias(c) for c in TEXTS])
-    starts = (F.col("_s") >= F.col("_ws")) & (F.col("_s") < F.col("_we"))
-    counts = rows.where("_naive").select(F.lit("naive-timestamp").alias("code")).unionByName(met.where(~good & starts).select(F.lit("non-positive-event").alias("code")))
-    counts = counts.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    return kept.select("hostname", "day", *RECORD), counts
+    found = rows.join(met.select("_row").distinct().withColumn("_in", F.lit(True)), "_row", "left")
+    fate = F.when(F.col("_naive"), "naive-timestamp").when(F.col("_s").isNull(), "unreadable-timestamp").when(F.col("_in"), KEPT).otherwise("non-positive-event")
+    n = F.count(F.lit(1))
+    named = lambda df, name, count: df.agg(count.alias("n")).select(F.lit(name).alias("fate"), "n")
+    rest = named(raw_events, REPEATED, n).unionByName(named(joined, REPEATED, -n)).unionByName(named(joined, "unsupported-bucket", F.count_if(F.col("kind").isNull())))
+    rest = rest.groupBy("fate").agg(F.sum("n").alias("n")).where("n > 0")
+    fates = found.groupBy(fate.alias("fate")).agg(n.alias("n")).unionByName(rest)
+    return kept.select("hostname", "day", *RECORD), fates
 
 
 def diagnostic_rank(code: str = "code") -> Column:
@@ -127,25 +144,19 @@ def diagnostic_messages(counts: DataFrame) -> DataFrame:
     return counts.where("n > 0").select("code", "n", diagnostic_rank().alias("rank"), F.concat(F.lit("ignored "), F.col("n").cast("string"), F.lit(" "), words, plural).alias("message"))
 
 
-def day_records(activity: DataFrame, buckets: DataFrame, texts: list[str] = TEXTS) -> DataFrame:
-    """Counted records by host and UTC day; a record that crosses midnight is one record of each day, clipped to it. local_records has local days.
+def day_records(activity: DataFrame, buckets: DataFrame, windows: DataFrame | None = None, texts: list[str] = TEXTS) -> DataFrame:
+    """Counted records by host and local day: a record is clipped to each window (hostname, day, start_us, end_us) of its host that it meets.
 
-    Only the text columns asked for are read. Empty texts are null; records without a positive duration, start, or known bucket are left out.
-    """
-    return _by_utc_day(_counted(activity, buckets, texts), texts)
-
-
-def local_records(activity: DataFrame, buckets: DataFrame, windows: DataFrame, texts: list[str] = TEXTS) -> DataFrame:
-    """day_records by the windows (hostname, day, start_us, end_us) of each host: a record is clipped to each window that it meets.
-
-    What lies in no window of its host counts to its UTC day, so that nothing is lost where windows are missing or leave gaps.
+    What lies in no window of its host counts to its UTC day, so that nothing is lost where windows are missing or leave gaps; without windows
+    all days are UTC days. Only the text columns asked for are read. Empty texts are null; records without a positive duration, start, or
+    known bucket are left out.
     """
     rows = _counted(activity, buckets, texts)
+    if windows is None:
+        return _by_utc_day(rows, texts)
     windows = windows.where("start_us < end_us")
-    w = windows.select(F.col("hostname").alias("_host"), "day", F.col("start_us").alias("_ws"), F.col("end_us").alias("_we"))
-    days = F.sequence(F.floor(F.col("_s") / DAY_US) - 1, F.floor(F.col("_e") / DAY_US) + 1)
-    spread = rows.withColumn("_d", F.explode(F.transform(days, lambda d: F.date_from_unix_date(d.cast("int")))))
-    met = spread.join(w, (F.col("hostname") == F.col("_host")) & (F.col("_d") == F.col("day"))).where("_s < _we and _e > _ws")
+    rows = written(rows, "counted")  # read twice: inside the windows, and outside
+    met = in_windows(rows, windows)
     inside = met.select("hostname", "day", "event_id", "bucket_id", "kind", F.greatest("_s", "_ws").alias("start_us"), F.least("_e", "_we").alias("end_us"), *_plain(texts))
     bare = subtracted(rows.withColumnsRenamed({"_s": "start_us", "_e": "end_us"}), coalesced(windows, ["hostname"]), ["hostname"])
     return inside.unionByName(_by_utc_day(bare.withColumnsRenamed({"start_us": "_s", "end_us": "_e"}), texts))

@@ -5,16 +5,30 @@ from __future__ import annotations
 DAY = 86_400_000_000
 FAR = 4_611_686_018_427_387_904
 
+GENERIC = r"""(regexp_replace(lower({v}), '\.exe$', '') IN ('chatgpt', 'powershell', 'new tab', 'inbox', 'slack', 'outlook', 'explorer', 'unknown', 'unknown activity') OR regexp_matches({v}, '(?i)(\(DM\).*Slack|\b(?:Inbox|Calendar).*Outlook|\bMicrosoft Teams$)'))"""
+
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "counted": ((), """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC, start_ts DESC, end_ts DESC) AS rn FROM activity_records) WHERE rn = 1"""),
-    "records": (("counted",), f"""
-  SELECT b.hostname, CAST(DATE '1970-01-01' + CAST(d.d AS INTEGER) AS VARCHAR) AS day, r.event_id, r.bucket_id, r.kind,
-         greatest(r.s, d.d * {DAY}) AS start_us, least(r.e, (d.d + 1) * {DAY}) AS end_us,
-         nullif(r.app, '') AS app, nullif(r.title, '') AS title, nullif(r.project, '') AS project, nullif(r.file, '') AS file,
-         nullif(r.url_host, '') AS url_host, nullif(r.url_path, '') AS url_path, nullif(r.code_language, '') AS language, nullif(r.status, '') AS status
-  FROM (SELECT *, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e FROM counted WHERE end_ts > start_ts) r
-  JOIN watch_buckets b USING (bucket_id), LATERAL (SELECT unnest(range(r.s // {DAY}, (r.e - 1) // {DAY} + 1)) AS d) d"""),
+    "windows": ((), """
+  SELECT hostname, local_day, min(epoch_us(window_start)) AS ws, max(epoch_us(window_end)) AS we FROM day_windows WHERE window_start IS NOT NULL GROUP BY ALL HAVING min(epoch_us(window_start)) < max(epoch_us(window_end))"""),
+    "whole": (("windows",), """
+  SELECT hostname, min(ws) AS ws, max(we) AS we FROM (
+    SELECT *, sum(CASE WHEN top IS NULL OR ws > top THEN 1 ELSE 0 END) OVER (PARTITION BY hostname ORDER BY ws, we ROWS UNBOUNDED PRECEDING) AS no FROM (
+      SELECT *, max(we) OVER (PARTITION BY hostname ORDER BY ws, we ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM windows)) GROUP BY hostname, no"""),
+    "breaks": (("whole",), f"""
+  SELECT hostname, coalesce(lag(we) OVER (PARTITION BY hostname ORDER BY ws), -{FAR}) AS gs, ws AS ge FROM whole
+  UNION ALL SELECT hostname, max(we), {FAR} FROM whole GROUP BY hostname"""),
+    "opened": (("counted",), """
+  SELECT b.hostname, c.event_id, c.bucket_id, c.kind, epoch_us(start_ts) AS s, epoch_us(end_ts) AS e, nullif(app, '') AS app, nullif(title, '') AS title, nullif(project, '') AS project, nullif(file, '') AS file,
+         nullif(url_host, '') AS url_host, nullif(url_path, '') AS url_path, nullif(code_language, '') AS language, nullif(status, '') AS status
+  FROM counted c JOIN watch_buckets b USING (bucket_id) WHERE end_ts > start_ts"""),
+    "records": (("opened", "windows", "breaks"), f"""
+  SELECT o.* EXCLUDE (s, e), CAST(w.local_day AS VARCHAR) AS day, greatest(o.s, w.ws) AS start_us, least(o.e, w.we) AS end_us FROM opened o JOIN windows w ON w.hostname = o.hostname AND o.s < w.we AND o.e > w.ws
+  UNION ALL BY NAME
+  SELECT x.* EXCLUDE (s, e, d), CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day, greatest(s, d * {DAY}) AS start_us, least(e, (d + 1) * {DAY}) AS end_us FROM (
+    SELECT p.*, d.d FROM (SELECT * FROM (SELECT o.* REPLACE (greatest(o.s, coalesce(b.gs, o.s)) AS s, least(o.e, coalesce(b.ge, o.e)) AS e) FROM opened o LEFT JOIN breaks b ON b.hostname = o.hostname) WHERE s < e) p,
+      LATERAL (SELECT unnest(range(p.s // {DAY}, (p.e - 1) // {DAY} + 1)) AS d) d) x"""),
     "away": (("records",), """
   SELECT hostname, day, min(start_us) AS start_us, max(end_us) AS end_us FROM (
     SELECT *, sum(CASE WHEN top IS NULL OR start_us > top THEN 1 ELSE 0 END) OVER (PARTITION BY hostname, day ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS no FROM (
@@ -59,7 +73,9 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "fused": (("covered", "observed"), """
   SELECT c.hostname, c.day, c.start_us, c.end_us, c.windows, c.win IS NOT NULL AS focused, any_value(w.app) AS app, any_value(w.title) AS title,
          coalesce(string_agg(o.evidence_id, ',' ORDER BY o.evidence_id), '') AS contexts, any_value(w.evidence_id) AS win,
-         first(lower(coalesce(o.project, o.url_path, o.file)) ORDER BY o.evidence_id) FILTER (WHERE coalesce(o.project, o.url_path, o.file) IS NOT NULL) AS context_key
+         first(lower(coalesce(o.project, o.url_path, o.file)) ORDER BY o.evidence_id) FILTER (WHERE coalesce(o.project, o.url_path, o.file) IS NOT NULL) AS context_key,
+         first(o.url_path ORDER BY o.evidence_id) FILTER (WHERE o.url_path IS NOT NULL) AS context_path,
+         first(CASE WHEN o.project IS NOT NULL THEN CASE WHEN regexp_matches(o.project, '[\\\\:]') THEN regexp_extract(regexp_replace(o.project, '[\\\\/]+$', ''), '([^\\\\/:]*)$', 1) ELSE list_last(string_split(regexp_replace(o.project, '/+$', ''), '/')) END WHEN o.url_path IS NOT NULL THEN trim(o.url_path, '/') ELSE o.title END ORDER BY o.evidence_id) FILTER (WHERE coalesce(o.project, o.url_path, o.title) IS NOT NULL) AS context_label
   FROM covered c
   LEFT JOIN observed w ON w.hostname = c.hostname AND w.day = c.day AND w.evidence_id = c.win
   LEFT JOIN observed o ON o.hostname = c.hostname AND o.day = c.day AND o.kind <> 'current-window' AND o.start_us < c.end_us AND o.end_us > c.start_us
@@ -67,14 +83,15 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
          OR (o.kind = 'editor' AND regexp_matches(lower(coalesce(w.app, '')), 'code|codium|pycharm|idea|sublime|zed')))
   GROUP BY c.hostname, c.day, c.start_us, c.end_us, c.windows, c.win"""),
     "slices": (("fused",), """
-  SELECT hostname, day, min(start_us) AS start_us, max(end_us) AS end_us, any_value(focused) AS focused, any_value(app) AS app, any_value(title) AS title, any_value(contexts) AS contexts, any_value(context_key) AS context_key FROM (
+  SELECT hostname, day, min(start_us) AS start_us, max(end_us) AS end_us, any_value(focused) AS focused, any_value(app) AS app, any_value(title) AS title, any_value(contexts) AS contexts, any_value(context_key) AS context_key, any_value(context_path) AS context_path, any_value(context_label) AS context_label,
+         flatten(list(list_filter(list_append(string_split(contexts, ','), win), lambda x: x <> ''))) AS evidence FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY hostname, day ORDER BY start_us ROWS UNBOUNDED PRECEDING) AS no FROM (
       SELECT *, CASE WHEN lag(end_us) OVER w = start_us AND lag(focused) OVER w = focused AND lag(app) OVER w IS NOT DISTINCT FROM app
                       AND lag(title) OVER w IS NOT DISTINCT FROM title AND lag(contexts) OVER w = contexts THEN 0 ELSE 1 END AS fresh
       FROM fused WINDOW w AS (PARTITION BY hostname, day ORDER BY start_us))) GROUP BY hostname, day, no"""),
     "keyed": (("slices",), """
   SELECT *, coalesce(context_key, CASE WHEN lower(title) NOT IN ('chatgpt', 'powershell', 'new tab', 'inbox', 'slack', 'outlook', 'new repository', 'success page', 'installation options') THEN lower(title) END) AS key,
-         regexp_replace(lower(coalesce(title, app, '')), '\\.exe$', '') AS name, row_number() OVER (PARTITION BY hostname, day ORDER BY start_us, end_us) AS pos FROM slices"""),
+         coalesce(context_label, title, app, 'Unknown activity') AS label, regexp_replace(lower(coalesce(title, app, '')), '\\.exe$', '') AS name, row_number() OVER (PARTITION BY hostname, day ORDER BY start_us, end_us) AS pos FROM slices"""),
     "bridged": (("keyed",), """
   SELECT *, coalesce(end_us - start_us < 20000000 AND lag(key) OVER w = lead(key) OVER w, false) AS bridge FROM keyed WINDOW w AS (PARTITION BY hostname, day ORDER BY pos)"""),
     "numbered": (("bridged",), """
@@ -86,7 +103,24 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     FROM bridged WINDOW w AS (PARTITION BY hostname, day ORDER BY pos))"""),
     "sessions": (("numbered",), """
   SELECT hostname, day, session_no, min(start_us) AS start_us, max(end_us) AS end_us, sum(end_us - start_us) AS us, sum(end_us - start_us) / 1e6 AS active_seconds,
-         sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds, count(*) AS slices FROM numbered GROUP BY hostname, day, session_no"""),
+         sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds, count(*) AS slices,
+         min_by(label, (key IS NULL, pos)) AS label, array_to_string(list_sort(list_distinct(flatten(list(evidence)))), ',') AS evidence FROM numbered GROUP BY hostname, day, session_no"""),
+    "fresh": (("numbered",), """
+  SELECT hostname, day, session_no, min(pos) FILTER (WHERE lower(title) = 'new repository') AS begun FROM numbered GROUP BY ALL"""),
+    "cited": (("numbered", "observed"), """
+  SELECT n.hostname, n.day, n.session_no, n.pos, i.i AS ix, o.* EXCLUDE (hostname, day) FROM numbered n, LATERAL (SELECT unnest(range(1, len(string_split(n.contexts, ',')) + 1)) AS i) i
+  JOIN observed o ON o.hostname = n.hostname AND o.day = n.day AND o.evidence_id = string_split(n.contexts, ',')[i.i]"""),
+    "named": (("cited", "numbered"), f"""
+  SELECT hostname, day, session_no, pos, ix, 0 AS rank, url_path AS v FROM cited
+  UNION ALL SELECT hostname, day, session_no, pos, ix, 1, project FROM cited
+  UNION ALL SELECT hostname, day, session_no, pos, ix, 2, file FROM cited
+  UNION ALL SELECT hostname, day, session_no, pos, ix, 3, title FROM cited WHERE NOT {GENERIC.format(v="title")}
+  UNION ALL SELECT hostname, day, session_no, pos, ix, 4, url_host FROM cited WHERE url_path IS NULL
+  UNION ALL SELECT hostname, day, session_no, pos, {FAR}, 3, title FROM numbered WHERE NOT {GENERIC.format(v="title")}"""),
+    "anchored": (("named", "sessions"), f"""
+  SELECT hostname, day, session_no, rank, trim(regexp_replace(v, '\\s+', ' ', 'g'), ' ') AS value, pos, ix FROM named WHERE v <> ''
+  UNION ALL SELECT hostname, day, session_no, 3, trim(regexp_replace(label, '\\s+', ' ', 'g'), ' '), 0, 0 FROM sessions s
+  WHERE label <> '' AND NOT {GENERIC.format(v="label")} AND NOT EXISTS (SELECT 1 FROM named n WHERE n.hostname = s.hostname AND n.day = s.day AND n.session_no = s.session_no AND v <> '')"""),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import sinks
 from chronoloom.functions import formatting, text_safety
+from chronoloom.functions.timezones import DESKTOP_ZONES
 from chronoloom.operators import episodes as ep
 from chronoloom.operators import focus_sessions as fs
 from chronoloom.operators import fusion, intervals, records, reports
@@ -20,6 +21,7 @@ from chronoloom.operators.timestamps import event_instants
 from chronoloom.oracle_parts import sql
 from chronoloom.plans import digest, requests
 from chronoloom.sources import watchers
+from chronoloom.schema import TEXTS
 from chronoloom.spark_tools import shared_folder, written
 from chronoloom.streaming import live
 
@@ -68,10 +70,16 @@ SELECT bucket_id, 'gap', was, s FROM q WHERE s - was <= 21600000000"""
 
 
 @query()
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_found with the component that was chosen, its posterior, whether it is ambiguous, and what the clocks did."""
     return event_instants(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), table(spark, sf_dir, "day_windows"))
 
 
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_instants(spark, sf_dir).select("event_id", "instant_us")
+
+
 @query(sql(P3, "counted"))
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_sessions(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets")).select("hostname", "start_us", "end_us")
@@ -85,8 +93,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The pipeline of the data model: buckets and events to records, active records, observations, slices, sessions, episodes.
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"))
+def _records(spark: SparkSession, sf_dir: str, texts: list[str] = TEXTS) -> DataFrame:
+    return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir), texts)
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +102,8 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fused_pieces(fusion.numbered(_active(spark, sf_dir)))
+    # Read by the pieces and by what lies over them.
+    return fusion.fused_pieces(written(text_safety.observations(_active(spark, sf_dir)), "observations"))
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,24 +114,20 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fs.sessions(_slices(spark, sf_dir))
 
 
-# The SQL of records, pieces, slices and sessions is that of UTC days and raw texts; what goes out of the pipeline is made of local days and safe texts.
-
+# SQL has no compatibility forms and no look-behind, so it can't make texts safe. The queries raw_... run the same operators on records as they are,
+# and their SQL holds the operators; what goes out of the pipeline is made of safe texts.
 
-def _local_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.local_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir))
-    return intervals.active_records(rows)
 
+def _raw_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused_pieces(written(fusion.numbered(_active(spark, sf_dir)), "observations"))
 
-def _safe_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fused_pieces(text_safety.observations(_local_active(spark, sf_dir)))
 
+def _raw_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.merged_slices(_raw_pieces(spark, sf_dir))
 
-def _safe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.merged_slices(_safe_pieces(spark, sf_dir))
 
-
-def _safe_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fs.sessions(_safe_slices(spark, sf_dir))
+def _raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.sessions(_raw_slices(spark, sf_dir))
 
 
 KIND_SQL = "CASE bucket_type WHEN 'currentwindow' THEN 'current-window' WHEN 'afkstatus' THEN 'afk' WHEN 'app.editor.activity' THEN 'editor' WHEN 'web.tab.current' THEN 'browser' END"
@@ -138,21 +143,18 @@ def unsupported_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.unsupported_buckets(table(spark, sf_dir, "watch_buckets"))
 
 
-IANA = "^[A-Z][a-z]+/[A-Z][A-Za-z_]+$"
+DESKTOP_SQL = ", ".join("('{}', '{}')".format(k.lower(), z) for k, z in DESKTOP_ZONES.items())
 
 
 @query(f"""
+WITH named AS (SELECT lower(name) AS k, min(name) AS zone FROM pg_timezone_names() GROUP BY 1 UNION ALL SELECT * FROM (VALUES {DESKTOP_SQL}, ('z', 'UTC')) v(k, zone) WHERE k <> 'utc'),
+days AS (SELECT DISTINCT local_day AS day, timezone_name, lower(trim(timezone_name)) AS k FROM day_windows WHERE trim(timezone_name) <> '' AND local_day IS NOT NULL),
+zoned AS (SELECT d.*, n.zone, CASE WHEN regexp_matches(d.k, '^[+-][0-9]{{2}}:[0-9]{{2}}$') THEN (CASE WHEN d.k[1] = '-' THEN -1 ELSE 1 END) * (CAST(d.k[2:3] AS BIGINT) * 60 + CAST(d.k[5:6] AS BIGINT)) * 60000000 END AS east
+          FROM days d LEFT JOIN named n ON n.k = d.k)
 SELECT CAST(day AS VARCHAR) AS day, timezone_name, s AS start_us, e AS end_us, (e - s) / 1e6 AS duration_seconds FROM (
-  SELECT local_day AS day, timezone_name, epoch_us(timezone(timezone_name, CAST(local_day AS TIMESTAMP))) AS s, epoch_us(timezone(timezone_name, CAST(local_day + 1 AS TIMESTAMP))) AS e
-  FROM (SELECT DISTINCT local_day, timezone_name FROM day_windows WHERE regexp_matches(timezone_name, '{IANA}')))""")
+  SELECT day, timezone_name, coalesce(epoch_us(timezone(zone, CAST(day AS TIMESTAMP))), epoch_us(CAST(day AS TIMESTAMP)) - east) AS s,
+         coalesce(epoch_us(timezone(zone, CAST(day + 1 AS TIMESTAMP))), epoch_us(CAST(day + 1 AS TIMESTAMP)) - east) AS e FROM zoned)""")
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "day_windows").where(F.col("timezone_name").rlike(IANA)).select(F.col("local_day").alias("day"), "timezone_name").distinct()
-    return records.day_windows(days)
-
-
-@query()
-def zone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day_windows of all rows with a zone, whatever its vocabulary; its SQL knows only names of one form."""
     days = table(spark, sf_dir, "day_windows").where("trim(timezone_name) <> '' and local_day is not null").select(F.col("local_day").alias("day"), "timezone_name").distinct()
     return records.day_windows(days)
 
@@ -160,16 +162,18 @@ def zone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS_SQL = "(SELECT hostname, local_day AS day, min(epoch_us(window_start)) AS start_us, max(epoch_us(window_end)) AS end_us FROM day_windows WHERE window_start IS NOT NULL GROUP BY 1, 2)"
 ISO_SQL = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?"
 RAW_SQL = f"""
-WITH raw AS (
-  SELECT r.*, b.hostname, {KIND_SQL} AS kind, regexp_matches(trim(ts_text), '{ISO_SQL}([Zz]|[+-]\\d{{2}}:\\d{{2}})$') AS zoned, regexp_matches(trim(ts_text), '{ISO_SQL}$') AS naive
-  FROM raw_events r JOIN watch_buckets b USING (bucket_id) WHERE {KIND_SQL} IS NOT NULL
-), timed AS (
-  SELECT *, epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) AS s,
-         epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) + CAST(round_even(duration_seconds * 1e6, 0) AS BIGINT) AS e
-  FROM raw WHERE zoned
+WITH copies AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, CASE WHEN event_id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY bucket_id, event_id ORDER BY received_at DESC NULLS LAST, ts_text DESC NULLS LAST, duration_seconds DESC NULLS LAST, data_json DESC NULLS LAST) END AS rn FROM raw_events) WHERE rn = 1
+), raw AS (
+  SELECT r.*, row_number() OVER () AS id, b.hostname, {KIND_SQL} AS kind, coalesce(regexp_matches(trim(ts_text), '{ISO_SQL}([Zz]|[+-]\\d{{2}}:\\d{{2}})$'), false) AS zoned, coalesce(regexp_matches(trim(ts_text), '{ISO_SQL}$'), false) AS naive
+  FROM copies r LEFT JOIN watch_buckets b USING (bucket_id)
+), timed AS MATERIALIZED (
+  SELECT *, CASE WHEN zoned THEN epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) END AS s,
+         CASE WHEN zoned THEN epoch_us(try_cast(upper(replace(trim(ts_text), ' ', 'T')) AS TIMESTAMPTZ)) + CAST(round_even(duration_seconds * 1e6, 0) AS BIGINT) END AS e
+  FROM raw WHERE kind IS NOT NULL
 ), met AS (
-  SELECT t.*, w.day, w.start_us AS ws, w.end_us AS we, greatest(t.s, w.start_us) AS cs, least(t.e, w.end_us) AS ce
-  FROM timed t JOIN {WINDOWS_SQL} w ON w.hostname = t.hostname AND t.s < w.end_us AND greatest(t.s, coalesce(t.e, t.s)) >= w.start_us
+  SELECT t.*, w.day, greatest(t.s, w.start_us) AS cs, least(t.e, w.end_us) AS ce
+  FROM timed t JOIN {WINDOWS_SQL} w ON w.hostname = t.hostname AND t.s < w.end_us AND t.e > w.start_us WHERE t.e > t.s
 )""".replace("\\\\", "\\")
 
 
@@ -178,59 +182,55 @@ def _host_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.agg(F.min(F.unix_micros("window_start")).alias("start_us"), F.max(F.unix_micros("window_end")).alias("end_us"))
 
 
-def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return records.normalised(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir))
-
-
-def _normalised_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    raw, buckets = table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets")
-    return records.normalised_texts(raw, buckets, _host_windows(spark, sf_dir), table(spark, sf_dir, "day_windows"))
+def _normalised(spark: SparkSession, sf_dir: str, any_layout: bool = True) -> tuple[DataFrame, DataFrame]:
+    zones = table(spark, sf_dir, "day_windows") if any_layout else None
+    return records.normalised(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir), zones)
 
 
 def _field_sql(key: str) -> str:
     return f"CASE WHEN json_valid(data_json) AND json_type(data_json, '$.{key}') = 'VARCHAR' THEN nullif(data_json ->> '$.{key}', '') END"
 
 
-@query(RAW_SQL + f"""
-SELECT hostname, CAST(day AS VARCHAR) AS day, event_id, bucket_id, kind, cs AS start_us, ce AS end_us, {_field_sql("app")} AS app, {_field_sql("title")} AS title, {_field_sql("status")} AS status
-FROM met WHERE ce > cs""")
+NORMALISED = ["hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status"]
+
+
+@query()
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalised(spark, sf_dir)[0].select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status")
+    return _normalised(spark, sf_dir)[0].select(*NORMALISED)
 
 
-@query(RAW_SQL + """
-SELECT 'naive-timestamp' AS code, count(*) AS n FROM raw WHERE naive HAVING count(*) > 0
-UNION ALL SELECT 'non-positive-event', count(*) FROM met WHERE NOT coalesce(ce > cs, false) AND s >= ws AND s < we HAVING count(*) > 0""")
+@query()
 def normalize_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every raw row; the numbers add up to the table."""
     return _normalised(spark, sf_dir)[1]
 
 
-@query()
-def normalize_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalize_records of texts in any layout; its SQL knows only ISO texts."""
-    return _normalised_texts(spark, sf_dir)[0].select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us", "app", "title", "status")
+@query(RAW_SQL + f"""
+SELECT hostname, CAST(day AS VARCHAR) AS day, event_id, bucket_id, kind, cs AS start_us, ce AS end_us, {_field_sql("app")} AS app, {_field_sql("title")} AS title, {_field_sql("status")} AS status
+FROM met""")
+def normalize_iso_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize_records of ISO texts only, which SQL can read."""
+    return _normalised(spark, sf_dir, any_layout=False)[0].select(*NORMALISED)
 
 
-@query()
-def normalize_all_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalised_texts(spark, sf_dir)[1]
+@query(RAW_SQL + """
+SELECT fate, n FROM (
+  SELECT CASE WHEN naive THEN 'naive-timestamp' WHEN s IS NULL THEN 'unreadable-timestamp' WHEN id IN (SELECT id FROM met) THEN 'kept' ELSE 'non-positive-event' END AS fate, count(*) AS n FROM timed GROUP BY 1
+  UNION ALL SELECT 'unsupported-bucket', count(*) FROM raw WHERE kind IS NULL
+  UNION ALL SELECT 'repeated-event', (SELECT count(*) FROM raw_events) - (SELECT count(*) FROM copies)) WHERE n > 0""")
+def normalize_iso_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize_diagnostics of ISO texts only; other layouts count as unreadable."""
+    return _normalised(spark, sf_dir, any_layout=False)[1]
 
 
 @query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us FROM records", "records"))
 def day_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), []).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
-
-
-@query()
-def local_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day_records by local days; its SQL is that of UTC days."""
-    found = records.local_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir), [])
-    return found.select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
+    return _records(spark, sf_dir, []).select("hostname", "day", "event_id", "bucket_id", "kind", "start_us", "end_us")
 
 
 @query(sql("SELECT * FROM away", "away"))
 def afk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.away_intervals(records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), ["status"]))
+    return intervals.away_intervals(_records(spark, sf_dir, ["status"]))
 
 
 @query(sql("SELECT hostname, day, event_id, bucket_id, kind, start_us, end_us, app, title, project FROM active", "active"))
@@ -245,8 +245,7 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT hostname, day, start_us, end_us FROM pieces", "pieces"))
 def elementary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.day_records(table(spark, sf_dir, "activity_records"), table(spark, sf_dir, "watch_buckets"), ["status"])
-    return intervals.elementary(intervals.active_records(rows))
+    return intervals.elementary(intervals.active_records(_records(spark, sf_dir, ["status"])))
 
 
 @query(sql("SELECT * EXCLUDE (us) FROM allocated", "allocated"))
@@ -277,68 +276,102 @@ def evidence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.numbered(_active(spark, sf_dir)).select("hostname", "day", "evidence_id", "event_id", "start_us")
 
 
-@query(sql("SELECT hostname, day, start_us, end_us, windows, focused, app, title, contexts FROM fused", "fused"))
-def fused_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _piece_rows(pieces: DataFrame) -> DataFrame:
     ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
-    return _pieces(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "windows", "focused", "app", "title", ids.alias("contexts"))
+    return pieces.withColumn("contexts", ids).drop("evidence_ids")
 
 
-@query(sql("SELECT hostname, day, count(*) AS n FROM covered WHERE windows > 1 GROUP BY ALL", "covered"))
-def window_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.window_conflicts(_pieces(spark, sf_dir))
+def _session_rows(found: DataFrame) -> DataFrame:
+    kept = ["hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", "label"]
+    return found.select(*kept, F.size("slices").alias("slices"), F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-@query(sql("SELECT hostname, day, start_us, end_us, focused, app, title, contexts FROM slices", "slices"))
-def fused_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
-    return _slices(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "focused", "app", "title", ids.alias("contexts"))
+def _signal_rows(found: DataFrame) -> DataFrame:
+    return found.select("hostname", "day", "session_no", F.explode("outcome_signals").alias("s")).select("hostname", "day", "session_no", "s.code", "s.label")
 
 
-@query()
-def safe_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fused_slices of safe texts."""
-    ids = F.array_join(F.transform("contexts", lambda c: c["evidence_id"]), ",")
-    return _safe_slices(spark, sf_dir).select("hostname", "day", "start_us", "end_us", "focused", "app", "title", ids.alias("contexts"))
+def _anchor_rows(found: DataFrame) -> DataFrame:
+    return ep.with_anchors(found).select("hostname", "day", "session_no", F.explode("anchors").alias("a")).select("hostname", "day", "session_no", "a.kind", "a.value")
 
 
-@query(sql("SELECT hostname, day, pos, key, name, session_no FROM numbered", "numbered"))
-def session_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fs.session_numbers(_slices(spark, sf_dir)).select("hostname", "day", F.col("_pos").alias("pos"), F.col("_key").alias("key"), F.col("_name").alias("name"), "session_no")
+@query()
+def fused_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_rows(_pieces(spark, sf_dir))
 
 
-@query(sql("SELECT * EXCLUDE (us) FROM sessions", "sessions"))
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
+@query()
+def fused_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_rows(_slices(spark, sf_dir))
 
 
 @query()
-def safe_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sessions of safe texts."""
-    return _safe_sessions(spark, sf_dir).select("hostname", "day", "session_no", "start_us", "end_us", "active_seconds", "focused_seconds", F.size("slices").alias("slices"))
+def window_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.window_conflicts(_pieces(spark, sf_dir))
 
 
-@query(sql("SELECT hostname, day, sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds FROM slices GROUP BY hostname, day", "slices"))
-def focused_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fs.focused_totals(_slices(spark, sf_dir))
+@query()
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_rows(_sessions(spark, sf_dir))
 
 
-@query(sql("""
-SELECT hostname, day, session_no, 'installer-started' AS code, 'An installer was started' AS label FROM numbered GROUP BY ALL HAVING bool_or(contains(lower(coalesce(app, '')), 'installer'))
-UNION ALL SELECT hostname, day, session_no, 'checkout-success', 'A checkout success state appeared' FROM numbered GROUP BY ALL HAVING bool_or(lower(title) IN ('success page', 'checkout success'))""", "numbered"))
+@query()
 def session_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _sessions(spark, sf_dir).select("hostname", "day", "session_no", F.explode("outcome_signals").alias("s"))
-    return found.select("hostname", "day", "session_no", "s.code", "s.label")
+    return _signal_rows(_sessions(spark, sf_dir))
 
 
 @query()
 def session_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ep.with_anchors(_safe_sessions(spark, sf_dir)).withColumn("a", F.explode("anchors"))
-    return found.select("hostname", "day", "session_id", "a.kind", "a.value")
+    return _anchor_rows(_sessions(spark, sf_dir))
 
 
 @query()
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ep.episodes(_safe_sessions(spark, sf_dir))
+    return ep.checked_episodes(_sessions(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, start_us, end_us, windows, focused, app, title, contexts FROM fused", "fused"))
+def raw_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_rows(_raw_pieces(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, count(*) AS n FROM covered WHERE windows > 1 GROUP BY ALL", "covered"))
+def raw_window_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.window_conflicts(_raw_pieces(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, start_us, end_us, focused, app, title, contexts FROM slices", "slices"))
+def raw_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_rows(_raw_slices(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, pos, key, name, label, session_no FROM numbered", "numbered"))
+def session_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.session_numbers(_raw_slices(spark, sf_dir)).select("hostname", "day", F.col("_pos").alias("pos"), F.col("_key").alias("key"), F.col("_name").alias("name"), F.col("_label").alias("label"), "session_no")
+
+
+@query(sql("SELECT * EXCLUDE (us) FROM sessions", "sessions"))
+def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_rows(_raw_sessions(spark, sf_dir))
+
+
+@query(sql("SELECT hostname, day, sum(end_us - start_us) FILTER (WHERE focused) / 1e6 AS focused_seconds FROM slices GROUP BY hostname, day", "slices"))
+def focused_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fs.focused_totals(_raw_slices(spark, sf_dir))
+
+
+@query(sql("""
+SELECT hostname, day, session_no, 'installer-started' AS code, 'An installer was started' AS label FROM numbered GROUP BY ALL HAVING bool_or(contains(lower(coalesce(app, '')), 'installer'))
+UNION ALL SELECT hostname, day, session_no, 'checkout-success', 'A checkout success state appeared' FROM numbered GROUP BY ALL HAVING bool_or(lower(title) IN ('success page', 'checkout success'))
+UNION ALL SELECT n.hostname, n.day, n.session_no, 'named-repository-appeared', 'Named repository appeared: ' || trim(min_by(n.context_path, n.pos), '/')
+  FROM numbered n JOIN fresh f ON f.hostname = n.hostname AND f.day = n.day AND f.session_no = n.session_no AND n.pos > f.begun WHERE n.context_path IS NOT NULL GROUP BY ALL""", "fresh"))
+def raw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signal_rows(_raw_sessions(spark, sf_dir))
+
+
+@query(sql("""
+SELECT hostname, day, session_no, ['repository', 'project', 'file', 'title', 'domain'][rank + 1] AS kind, first(value ORDER BY pos, ix, rank) AS value FROM anchored GROUP BY hostname, day, session_no, rank, lower(value)""", "anchored"))
+def raw_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anchor_rows(_raw_sessions(spark, sf_dir))
 
 
 # Text functions, paths, plans and digests.
@@ -376,18 +409,19 @@ def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT file, regexp_replace(replace(replace(replace(replace(file, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'), '([`*_{}\[\]#+|])', '\\\1', 'g') AS escaped, '`' || file || '`' AS code,
+SELECT file, regexp_replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\', '\\'), '([`*_{}\[\]#+|])', '\\\1', 'g') AS escaped, fence || pad || line || pad || fence AS code,
        list_last(string_split(list_last(string_split(file, '/')), '\')) AS name
-FROM (SELECT DISTINCT file FROM activity_records WHERE file IS NOT NULL AND NOT contains(file, '`'))""")
+FROM (SELECT *, repeat('`', coalesce(list_max(list_transform(regexp_extract_all(line, '`+'), lambda x: len(x))), 0) + 1) AS fence, CASE WHEN starts_with(line, '`') OR ends_with(line, '`') THEN ' ' ELSE '' END AS pad
+      FROM (SELECT DISTINCT file, trim(regexp_replace(file, '[\s\x{85}\x{a0}\p{Z}]+', ' ', 'g')) AS line FROM (SELECT file FROM activity_records UNION ALL SELECT '`' || file || ' ``x' FROM activity_records) WHERE file IS NOT NULL))""")
 def markdown_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "activity_records").where("file is not null and not contains(file, '`')").select("file").distinct()
+    files = table(spark, sf_dir, "activity_records").where("file is not null").select(F.explode(F.array("file", F.concat(F.lit("`"), "file", F.lit(" ``x")))).alias("file")).distinct()
     f = F.col("file")
     return files.select("file", formatting.markdown_text(f).alias("escaped"), formatting.code_text(f).alias("code"), formatting.last_part(f).alias("name"))
 
 
 @query()
 def safe_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_safety.observations(_local_active(spark, sf_dir))
+    return text_safety.observations(_active(spark, sf_dir))
 
 
 @query()
@@ -412,7 +446,7 @@ def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.request_plan(ep.episodes(_safe_sessions(spark, sf_dir)), target=20_000)
+    return requests.request_plan(ep.episodes(_sessions(spark, sf_dir)), target=20_000)
 
 
 def _as_episodes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -424,55 +458,60 @@ def _as_episodes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(us) / 1e6 AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
 def digest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(_sessions(spark, sf_dir))
+    items, streams = _as_episodes(_raw_sessions(spark, sf_dir))
     return digest.rolled_up(streams, items)
 
 
 @query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id FROM sessions WHERE session_no % 3 = 2", "sessions"))
 def digest_unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(_sessions(spark, sf_dir))
+    items, streams = _as_episodes(_raw_sessions(spark, sf_dir))
     return digest.unassigned(streams.where("workstream <> 2"), items)
 
 
 @query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id, CASE WHEN session_no % 3 = 2 THEN 0 ELSE 2 END AS times FROM sessions WHERE session_no % 3 = 2 OR session_no = 1", "sessions"))
 def final_allocation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(_sessions(spark, sf_dir))
+    items, streams = _as_episodes(_raw_sessions(spark, sf_dir))
     return digest.misallocated(streams.where("workstream <> 2"), items.where("session_no = 1"), items)
 
 
-@query()
+@query(sql("""
+SELECT hostname, day, row_number() OVER (PARTITION BY hostname, day ORDER BY first) AS place, label, confidence, episode_ids, topics FROM (
+  SELECT hostname, day, min(w) AS first, CASE WHEN joint THEN 'both' ELSE 'provisional-001-002' END AS label, CASE WHEN joint THEN 'high' ELSE 'low' END AS confidence,
+         string_agg(id, ',' ORDER BY w DESC, id) AS episode_ids, CASE WHEN joint THEN 'topic 0' ELSE 'topic 1' END AS topics
+  FROM (SELECT hostname, day, session_no % 3 AS w, session_no % 3 <> 1 AS joint, format('session-{:03d}', session_no) AS id FROM sessions) GROUP BY hostname, day, joint)""", "sessions"))
 def digest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, streams = _as_episodes(_safe_sessions(spark, sf_dir))
+    items, streams = _as_episodes(_raw_sessions(spark, sf_dir))
     name = F.format_string("provisional-001-%03d", F.col("workstream") + 1)
     topic = F.array(F.concat(F.lit("topic "), (F.col("workstream") % 2).cast("string")))
     provisional = streams.select("hostname", "day", F.col("workstream").alias("place"), name.alias("provisional_id"), name.alias("label"), F.lit("low").alias("confidence"), F.array_sort("episode_ids").alias("episode_ids"), topic.alias("topics"), topic.alias("outcomes"))
     groups = items.select("hostname", "day").distinct().select("*", F.lit(0).alias("group_no"), F.lit("both").alias("label"), F.lit("high").alias("confidence"), F.array(F.lit("provisional-001-003"), F.lit("provisional-001-001")).alias("provisional_ids"))
-    return digest.merged(provisional, groups)
+    made = digest.merged(provisional, groups)
+    return made.select("hostname", "day", "place", "label", "confidence", F.array_join("episode_ids", ",").alias("episode_ids"), F.array_join("topics", ",").alias("topics"))
 
 
 @query()
 def session_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_json(_safe_sessions(spark, sf_dir), "session", details=True)
+    return sinks.bundle_json(_sessions(spark, sf_dir), "session", details=True)
 
 
 @query()
 def session_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_markdown(_safe_sessions(spark, sf_dir), "session", details=True, raw=True)
+    return sinks.bundle_markdown(_sessions(spark, sf_dir), "session", details=True, raw=True)
 
 
 @query()
 def episode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_json(ep.episodes(_safe_sessions(spark, sf_dir)), "episode", details=True)
+    return sinks.bundle_json(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
 
 
 @query()
 def episode_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.bundle_markdown(ep.episodes(_safe_sessions(spark, sf_dir)), "episode", details=True)
+    return sinks.bundle_markdown(ep.episodes(_sessions(spark, sf_dir)), "episode", details=True)
 
 
 @query()
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = _local_active(spark, sf_dir)
+    active = written(_active(spark, sf_dir), "active")  # read by timeline, heads and totals
     return sinks.report_markdown(intervals.merged_adjacent(active), reports.report_heads(active), reports.app_totals(active))
 
 
@@ -510,7 +549,7 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _digest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Episodes, workstreams that take two of three of them, and the rest."""
-    items = written(ep.episodes(_safe_sessions(spark, sf_dir)), "episodes")
+    items = written(ep.episodes(_sessions(spark, sf_dir)), "episodes")
     no = F.regexp_extract("episode_id", r"(\d+)$", 1).cast("int") % 3
     none = F.array().cast("array<struct<text:string,evidence:array<string>>>")
     some = F.array().cast("array<struct<text:string,strength:string,evidence:array<string>>>")

@@ -195,16 +195,34 @@ def test_normalised_and_diagnostics(spark):
     raw = spark.createDataFrame([("1", "w", "2025-10-13T23:59:00+00:00", 120.0, '{"app": "x", "url": "https://H/p?q"}'), ("2", "w", "2025-10-13T10:00:00", 5.0, "{}"), ("3", "w", "2025-10-13T10:00:00Z", 0.0, "{}"), ("4", "odd", "2025-10-13T10:00:00Z", 5.0, "{}"), ("5", "w", "2025-10-13T10:00:00.0000005Z", None, None)], "event_id string, bucket_id string, ts_text string, duration_seconds double, data_json string")
     buckets = spark.createDataFrame([("w", "currentwindow", None, "h"), ("odd", "other", "c", "h"), ("n", None, "c", "h")], "bucket_id string, bucket_type string, client string, hostname string")
     days = spark.createDataFrame([(DAY, "UTC"), (DAY + dt.timedelta(1), "UTC")], "day date, timezone_name string")
-    got, counts = records.normalised(raw, buckets, records.day_windows(days).withColumn("hostname", F.lit("h")))
+    got, fates = records.normalised(raw, buckets, records.day_windows(days).withColumn("hostname", F.lit("h")))
     rows = sorted((r.day.day, r.event_id, (r.end_us - r.start_us) // 10**6, r.app, r.url_host, r.url_path) for r in got.collect())
     assert rows == [(13, "1", 60, "x", "h", "/p"), (14, "1", 60, "x", "h", "/p")]
-    assert {r.code: r.n for r in counts.collect()} == {"naive-timestamp": 1, "non-positive-event": 1}
+    assert {r.fate: r.n for r in fates.collect()} == {"kept": 1, "naive-timestamp": 1, "non-positive-event": 1, "unreadable-timestamp": 1, "unsupported-bucket": 1}
+    counts = fates.where("fate in ('naive-timestamp', 'non-positive-event')").withColumnRenamed("fate", "code")
     assert got.columns == ["hostname", "day", *RECORD]
     told = records.diagnostic_messages(counts).orderBy("rank").collect()
     assert [m.message for m in told] == ["ignored 1 non-positive event", "ignored 1 event with a naive timestamp"]
     assert {r.bucket_type: r.n for r in records.unsupported_buckets(buckets).collect()} == {"other": 1, "": 1}
 
 
+def test_every_raw_row_has_one_fate(spark):
+    """Kept and counted rows add up to the input, whatever the rows hold; a row of two windows is kept once."""
+    r = random.Random(3)
+    texts = ["2025-10-13T23:59:00Z", "2025-10-13 10:00", "1760349600", "?", None, "2025-10-20T00:00:00Z"]
+    rows = [(r.choice([None, *"abcdefgh"]), r.choice(["w", "odd", "unknown", None]), r.choice(texts), r.choice([None, 0.0, -1.0, 120.0, 1e300, float("nan")]), "{}", dt.datetime(2025, 10, 13, r.randrange(24))) for _ in range(300)]
+    raw = spark.createDataFrame(rows, "event_id string, bucket_id string, ts_text string, duration_seconds double, data_json string, received_at timestamp")
+    buckets = spark.createDataFrame([("w", "currentwindow", None, "h"), ("odd", "other", "c", "h")], "bucket_id string, bucket_type string, client string, hostname string")
+    days = spark.createDataFrame([(DAY, "UTC"), (DAY + dt.timedelta(1), "UTC")], "day date, timezone_name string")
+    zones = spark.createDataFrame([("h", DAY, "UTC")], "hostname string, local_day date, timezone_name string")
+    for z in (None, zones):
+        got, fates = records.normalised(raw, buckets, records.day_windows(days).withColumn("hostname", F.lit("h")), z)
+        assert sum(f.n for f in fates.collect()) == len(rows)
+        assert got.where("end_us <= start_us").count() == 0
+    empty, fates = records.normalised(raw.limit(0), buckets, records.day_windows(days.limit(0)).withColumn("hostname", F.lit("h")), zones)
+    assert empty.count() == 0 and fates.count() == 0
+
+
 def test_days_of_23_and_25_hours(spark):
     days = spark.createDataFrame([("2026-03-08", "America/Los_Angeles"), ("2026-11-01", "America/Los_Angeles"), ("2024-09-08", "America/Santiago")], "day string, timezone_name string").withColumn("day", F.col("day").cast("date"))
     assert [r.duration_seconds for r in records.day_windows(days).orderBy("day").collect()] == [82_800.0, 82_800.0, 90_000.0]
@@ -215,7 +233,7 @@ def test_windows_of_zones_in_any_vocabulary(spark, tmp_path):
     rows = [("h", DAY, n) for n in names] * 2
     spark.createDataFrame(rows, "hostname string, local_day date, timezone_name string").write.parquet(str(tmp_path / "day_windows.parquet"))
     midnight = int(dt.datetime(2025, 10, 13, tzinfo=dt.UTC).timestamp())
-    got = sorted((r.timezone_name, r.start_us, r.duration_seconds) for r in queries.QUERIES["zone_windows"](spark, str(tmp_path)).collect())
+    got = sorted((r.timezone_name, r.start_us, r.duration_seconds) for r in queries.QUERIES["day_windows"](spark, str(tmp_path)).collect())
     assert got == sorted((n, None if h is None else int((midnight + h * 3600) * 10**6), None if h is None else 86_400.0) for n, h in names.items() if n)
 
 
@@ -226,9 +244,10 @@ def test_texts_of_any_layout_are_normalised(spark):
     buckets = spark.createDataFrame([("w", "currentwindow", "c", "h")], "bucket_id string, bucket_type string, client string, hostname string")
     zones = spark.createDataFrame([("h", DAY, "Asia/Kolkata")], "hostname string, local_day date, timezone_name string")
     windows = spark.createDataFrame([("h", DAY, 1_760_293_800_000_000, 1_760_380_200_000_000)], "hostname string, day date, start_us bigint, end_us bigint")
-    got, counts = records.normalised_texts(raw, buckets, windows, zones)
+    got, fates = records.normalised(raw, buckets, windows, zones)
     assert {r.event_id: r.start_us for r in got.collect()} == {str(i): 1_760_349_600_000_000 for i in range(len(zoned))}
-    assert {r.code: r.n for r in counts.collect()} == {"naive-timestamp": 3, "unreadable-timestamp": 2}
+    assert {r.fate: r.n for r in fates.collect()} == {"kept": len(zoned), "naive-timestamp": 3, "unreadable-timestamp": 2}
+    counts = fates.where("fate <> 'kept'").withColumnRenamed("fate", "code")
     assert [m.message for m in records.diagnostic_messages(counts).orderBy("rank").collect()] == ["ignored 3 event with a naive timestamps", "ignored 2 event with an unreadable timestamps"]
 
 
@@ -240,5 +259,5 @@ def test_records_of_local_days(spark):
     buckets = spark.createDataFrame([("w", "h"), ("v", "other")], "bucket_id string, hostname string")
     windows = records.day_windows(spark.createDataFrame([("h", DAY, "Asia/Tokyo")], "hostname string, day date, timezone_name string"))
     zero = int(dt.datetime(2025, 10, 13, tzinfo=dt.UTC).timestamp())
-    got = sorted((r.event_id, r.day.day, *((x / 1e6 - zero) / 3600 for x in (r.start_us, r.end_us))) for r in records.local_records(df, buckets, windows, []).collect())
+    got = sorted((r.event_id, r.day.day, *((x / 1e6 - zero) / 3600 for x in (r.start_us, r.end_us))) for r in records.day_records(df, buckets, windows, []).collect())
     assert got == [("1", 12, -10, -9), ("1", 13, -9, -8), ("2", 13, 14, 15), ("2", 13, 15, 24), ("2", 14, 24, 25), ("3", 13, 23, 24), ("3", 14, 24, 25)]
