@@ -8,6 +8,8 @@ is bounded by the time it spans, not by its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,35 +50,44 @@ def stitched(runs: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return out.withColumn("_run", F.coalesce(mine, F.col("_rin"))).drop("_kc", "_cin", "_rin", *[f"_k{i}" for i in range(len(keys))])
 
 
-def stitched_alike(runs: DataFrame, keys: list[str], content: str, gap_us: int) -> DataFrame:
+def stitched_alike(runs: DataFrame, keys: list[str], content: str, gap_us: int, follows: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """`stitched` for runs of equal `content`: a run also ends where the content changes. Adds `_run`.
 
     `runs` also has `_first`, true for the runs of the chunk's first stretch of equal content, and `_last`, true for those of its last one.
     A chunk of one content that goes on with the content before it passes the state (open run, latest end) through; any other chunk sets it anew.
+    With `follows`, runs also have `_cut`, true where a run can't follow the one of the same content before it even without a pause, and `_xa` and `_xz`, with what it began
+    and ended; follows(_xz, _xa) tells whether two events of one content may be in one run. The latest end counts over a whole stretch.
     """
+    if follows is None:
+        none = F.lit(None).cast("int")
+        runs, follows = runs.withColumns({"_cut": F.lit(False), "_xa": none, "_xz": none}), lambda a, b: F.lit(True)
     by = Window.partitionBy(*keys).orderBy("_chunk")
     ends = runs.groupBy(*keys, "_chunk").agg(
         F.min_by(content, "_s").alias("_from"),
         F.max_by(content, "_s").alias("_to"),
+        F.min_by("_xa", "_s").alias("_xa"),
+        F.max_by("_xz", "_s").alias("_xz"),
         (F.min("_first") & F.min("_last")).alias("_one"),
+        F.min("_s").alias("_first_s"),
         F.max("_s").alias("_last_s"),
+        F.max(F.when(F.col("_cut"), F.col("_s"))).alias("_cut_s"),
         F.max(F.when(F.col("_last"), F.col("_e"))).alias("_last_e"),
     )
-    ends = ends.withColumn("_was", F.lag("_to").over(by))
-    ends = ends.withColumn("_through", F.coalesce(F.col("_one") & (F.col("_from") == F.col("_was")), F.lit(False)))
+    ends = ends.withColumn("_was", F.lag("_to").over(by)).withColumn("_same", F.coalesce(F.col("_from") == F.col("_was"), F.lit(False)))
+    ends = ends.withColumn("_border", F.col("_same") & ~follows(F.lag("_xz").over(by), F.col("_xa"))).withColumn("_through", F.col("_one") & F.col("_same"))
     ends = ends.withColumn("_set", F.sum((~F.col("_through")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     within = Window.partitionBy(*keys, "_set").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     ends = ends.withColumn("_top", F.max("_last_e").over(within)).withColumn("_cin", F.lag("_top").over(by))
-    opens = F.when(~F.col("_through") | (F.col("_last_s") > F.col("_cin") + gap_us), F.col("_last_s"))
+    opens = F.when(~F.col("_through") | (F.col("_last_s") > F.col("_cin") + gap_us), F.col("_last_s")).otherwise(F.greatest("_cut_s", F.when(F.col("_border"), F.col("_first_s"))))
     ends = ends.withColumn("_opens", opens).withColumn("_open", F.last("_opens", ignorenulls=True).over(within)).withColumn("_rin", F.lag("_open").over(by))
-    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), "_was", "_cin", "_rin")
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), "_was", "_cin", "_rin", F.when(F.col("_border"), F.col("_first_s")).alias("_bs"))
     same = F.col("_chunk") == F.col("_kc")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = runs.join(ends, same, "left")
     w = Window.partitionBy(*keys, "_chunk").orderBy("_s", "_e")
     before = F.greatest(F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_cin"))
-    goes_on = F.coalesce(F.col("_first") & (F.col(content) == F.col("_was")) & (F.col("_s") <= before + gap_us), F.lit(False))
-    out = out.withColumn("_new", ~goes_on)
+    goes_on = F.col("_first") & ~F.col("_cut") & (F.col(content) == F.col("_was")) & (F.col("_s") <= before + gap_us) & ~F.col("_s").eqNullSafe(F.col("_bs"))
+    out = out.withColumn("_new", ~F.coalesce(goes_on, F.lit(False)))
     mine = F.last(F.when(F.col("_new"), F.col("_s")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("_run", F.coalesce(mine, F.col("_rin"))).drop("_kc", "_was", "_cin", "_rin", "_new", *[f"_k{i}" for i in range(len(keys))])
+    return out.withColumn("_run", F.coalesce(mine, F.col("_rin"))).drop("_kc", "_was", "_cin", "_rin", "_bs", "_new", *[f"_k{i}" for i in range(len(keys))])

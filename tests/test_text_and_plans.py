@@ -32,7 +32,7 @@ def test_safe_texts():
     assert ts.safe_file("a.b@x.org/notes") == ("notes", 2)
     assert ts.sendable_text("/a/b", name_only=True) == "b" and ts.sendable_text(None, name_only=True) is None
     assert [ts.last_name(p) for p in ("a/b/", "a/./.", "C:x", "C:\\", "a\\b/c", "..", "xy:z", "/")] == ["b", "a", "x", "", "c", "..", "xy:z", ""]
-    assert ts.safe_text("at [::1]:80/x and [bad:]/y and user:pw@HOST.org") == ("at ::1 and [bad:]/y and host.org", 1)
+    assert ts.safe_text("at [::1]:80/x and [bad:]/y and user:pw@HOST.org") == ("at ::1 and [redacted-url] and host.org", 1)
 
 
 def test_payloads():
