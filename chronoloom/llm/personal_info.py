@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.llm.plain_text import FILLERS, TO_LATIN, Memo, _forms
-from chronoloom.spark_tools import latest_rows
+from chronoloom.spark_tools import latest_records, latest_rows
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
@@ -28,9 +28,9 @@ SPELLED_OUT = {"ä": "ae", "ö": "oe", "ü": "ue", "ø": "oe", "å": "aa"}
 AT_CUES = ["@", "[at]", "(at)", "{at}", "<at>", " at "]
 ID_CUES = ["ssn", "social security", "social-security", "social_security", "national insurance", "national-insurance", "national_insurance", "nino", "ni number", "ni-number", "ni no", "passport", "reisepass", "passeport", "steuer-id", "steuer id", "steuer_id", "steuerid", "steueridentifikationsnummer", "idnr", "tax id", "tax-id", "tax_id", "taxpayer", "identity card", "identity-card", "identity_card", "id card", "id-card", "id_card", "personalausweis", "ausweis", "identity no", "identity number", "carte d'identite"]
 PHONE_CUES = ["tel", "call", "phone", "ring", "dial", "voicemail", "mobile", "fax", "sms", "contact"]
-STREET_CUES = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close", "court", "ct", "drive", "dr", "way", "place", "square", "sq", "terrace", "crescent", "gardens", "grove", "mews", "boulevard", "blvd", "parkway", "highway", "hill", "row", "walk", "rue", "quai", "impasse", "chemin", "allee", "strasse", "str", "weg", "platz", "gasse", "damm", "ufer", "chaussee", "steig", "pfad", "markt"]
+STREET_CUES = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close", "court", "ct", "drive", "dr", "way", "place", "square", "sq", "terrace", "crescent", "gardens", "grove", "mews", "boulevard", "blvd", "parkway", "highway", "hill", "row", "walk", "rue", "quai", "impasse", "chemin", "route", "cours", "allee", "strasse", "str", "weg", "platz", "gasse", "damm", "ufer", "chaussee", "steig", "pfad", "markt"]
 
-LOCAL = regex.compile(r"[a-z0-9][a-z0-9._%+\-]*$")
+LOCAL_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s?\{dot\}\s?|\sdot\s)"
 DOMAIN = regex.compile(rf"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:{DOT}[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)+")
 SPLIT_DOT = regex.compile(DOT)
@@ -55,7 +55,15 @@ PHONES = [
 NATIONAL = regex.compile(rf"(?<!\d)(?<!\d[\-./ _])(?:\(0\d{{1,4}}\)|0\d{{1,4}})(?:[\s/_\-.]{{0,1}}\d){{5,9}}(?!\d){EXTENSION}")
 BARE = regex.compile(r"(?<![\da-z])(?<!\d[\-. ])1?[2-9]\d{2}[2-9]\d{6}(?!\d)")
 DATE = regex.compile(r"\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d{2}(?!\d)")
-SEVEN_DIGITS = regex.compile(r"\d(?:[^a-z\d]{0,3}\d){6}")
+#: A run of digits with at most three signs between them; runs with at most two letters or signs more between them are one anchor.
+DIGIT_RUN = regex.compile(r"\d(?:[^a-z\d]{0,3}\d)*")
+RUN_GAP = 5
+#: Signs before and behind a run that a number may reach to: letters of an identifier, brackets, an extension.
+BEFORE_RUN, BEHIND_RUN = 6, 16
+#: Signs before and behind a street word that an address may reach to.
+BEFORE_STREET, BEHIND_STREET = 60, 60
+#: Street words that stand at the end of a longer word as well.
+SUFFIX_CUES = frozenset(["strasse", "str", "weg", "platz", "allee", "gasse", "damm", "ufer", "chaussee", "steig", "pfad", "markt"])
 
 GAP = r"(?:[\s+_\-]|,\s?|\.\s)"
 NOT_A_NAME = r"(?!(?:new|more|unread|min|mins|minutes?|hours?|days?|pages?|messages?|items?|of|the|on|and|at|in|to|for|by|a|an|is|or)\b)"
@@ -64,7 +72,7 @@ UNIT = r"(?:,?[\s+_\-](?:apt|apartment|flat|unit|suite)\.?[\s+_\-]?[a-z0-9]{1,4}
 STREETS = [
     regex.compile(rf"{HOUSE}{GAP}(?:{NOT_A_NAME}[a-z][a-z'’]{{2,}}{GAP}){{1,2}}(?:street|st|road|rd|avenue|ave|lane|ln|close|court|ct|drive|terrace|crescent|boulevard|blvd|square|gardens|grove|mews|parkway|highway)(?![a-z0-9]){UNIT}"),
     regex.compile(rf"{HOUSE}{GAP}{NOT_A_NAME}[a-z][a-z'’]{{2,}}{GAP}(?:way|place|hill|row|walk|dr|sq)(?![a-z0-9]){UNIT}"),
-    regex.compile(rf"{HOUSE}(?:\s?(?:bis|ter))?{GAP}(?:rue|quai|impasse|chemin)(?:{GAP}|')[a-z][a-z'’\s\-+_]*[a-z]"),
+    regex.compile(rf"{HOUSE}(?:\s?(?:bis|ter))?{GAP}(?:rue|quai|impasse|chemin)(?:{GAP}|')(?:[a-z]+(?:[\s+_\-]|')){{0,3}}[a-z]{{2,}}"),
     regex.compile(rf"{HOUSE}(?:\s?(?:bis|ter))?{GAP}(?:avenue|boulevard|place|allee|route|cours){GAP}(?:de{GAP}la|des|du|de|d')(?:{GAP}|(?<='))[a-z]{{3,}}"),
     regex.compile(r"(?<![a-z])[a-z]{3,}(?:strasse|str\.?|weg|platz|allee|gasse|damm|ufer|chaussee|steig|pfad|markt)[\s_+\-]{1,2}\d{1,3}(?:\s?[a-h])?(?![a-z0-9])"),
     regex.compile(r"(?<![a-z])[a-z]{3,}[\s\-_](?:strasse|str\.|allee|platz|weg)[\s_+\-]{1,2}\d{1,3}(?:\s?[a-h])?(?![a-z0-9])"),
@@ -142,9 +150,11 @@ class Finder:
                 for f in _variants(family):
                     self.given[f] |= _variants(given)
         self.names = {f: self._name_parsers(g) for f, g in self.given.items()}
+        self.longest = max((len(x) for g in self.given.values() for x in g), default=0)
+        self.numbers = bool({"phone", "id_number", "address"} & set(types))
         words: dict[str, set] = defaultdict(set)
         for kind, cues in (("at", AT_CUES), ("id", ID_CUES), ("phone", PHONE_CUES), ("street", STREET_CUES), ("name", self.given)):
-            for cue in cues:
+            for cue in cues if self.numbers or kind in ("at", "name") else ():
                 words[cue].add(kind)
         self.automaton = ahocorasick.Automaton()
         for w, kinds in words.items():
@@ -168,8 +178,8 @@ class Finder:
                 if kind == "phone" and end >= len(word) and f[end - len(word)].isalpha():
                     continue
                 anchors.setdefault(kind, []).append((end + 1 - len(word), end + 1, word))
-        digits = SEVEN_DIGITS.search(f) is not None
-        if not anchors and not digits:
+        runs = self._runs(f) if self.numbers else []
+        if not anchors and not runs:
             return []
         found: list[tuple[int, int, str]] = []
 
@@ -180,15 +190,14 @@ class Finder:
         for a, b, word in anchors.get("at", ()):
             if span := self._email(f, a, b, word):
                 add(*span, "email")
-        near = [(a, b) for a, b, _ in anchors.get("id", ())]
-        if digits or near:
-            self._ids(f, near, add)
-        if digits:
-            self._phones(f, "phone" in anchors, add)
-        if "street" in anchors:
-            for pattern in STREETS:
-                for m in pattern.finditer(f):
-                    add(m.start(), m.end(), "address")
+        long = [(a, b) for a, b, n in runs if n >= 6]
+        if long:
+            self._ids(f, long, [(a, b) for a, b, _ in anchors.get("id", ())], add)
+            self._phones(f, long, "phone" in anchors, add)
+        if runs:
+            for a, b, word in anchors.get("street", ()):
+                if span := self._street(f, a, b, word, runs):
+                    add(*span, "address")
         for a, b, word in anchors.get("name", ()):
             if span := self._name(f, a, b, word):
                 add(*span, "name")
@@ -197,6 +206,18 @@ class Finder:
             return found
         return [(at[a], self._end(at, b, len(text)), kind) for a, b, kind in found]
 
+    @staticmethod
+    def _runs(f: str) -> list[tuple[int, int, int]]:
+        """(start, end, digits) of each anchor of digits."""
+        out: list[tuple[int, int, int]] = []
+        for m in DIGIT_RUN.finditer(f):
+            n = sum(map(str.isdigit, m[0]))
+            if out and m.start() - out[-1][1] <= RUN_GAP:
+                out[-1] = (out[-1][0], m.end(), out[-1][2] + n)
+            else:
+                out.append((m.start(), m.end(), n))
+        return out
+
     @staticmethod
     def _end(at: list[int], b: int, n: int) -> int:
         last = at[b - 1]
@@ -214,8 +235,13 @@ class Finder:
                 right += 1
             if word == "@" and (left < a) != (right > b):
                 return None
-        local, domain = LOCAL.search(f, max(0, left - 70), left), DOMAIN.match(f, right)
-        if not local or not domain:
+        start = left
+        while start > 0 and f[start - 1] in LOCAL_SIGNS:
+            start -= 1
+        while start < left and not f[start].isalnum():
+            start += 1
+        domain = DOMAIN.match(f, right)
+        if start == left or not domain:
             return None
         labels = [x for x in SPLIT_DOT.split(domain.group()) if x]
         end = domain.end()
@@ -228,38 +254,56 @@ class Finder:
             labels = labels[:-1]
         if len(labels) < 2 or not labels[-1].isalpha() or len(labels[-1]) < 2:
             return None
-        return local.start(), end
+        return start, end
 
     @staticmethod
-    def _ids(f: str, cues: list[tuple[int, int]], add) -> None:
+    def _near(pattern: regex.Pattern, f: str, runs: list[tuple[int, int]]) -> Iterator[regex.Match]:
+        """Matches that a run of digits expands to."""
+        for a, b in runs:
+            yield from pattern.finditer(f, max(0, a - BEFORE_RUN), min(len(f), b + BEHIND_RUN))
+
+    def _ids(self, f: str, runs: list[tuple[int, int]], cues: list[tuple[int, int]], add) -> None:
         for pattern in (SSN, NINO):
-            for m in pattern.finditer(f):
+            for m in self._near(pattern, f, runs):
                 add(m.start(), m.end(), "id_number")
         if cues:
             for pattern in CUED_IDS:
-                for m in pattern.finditer(f):
+                for m in self._near(pattern, f, runs):
                     if any(m.start() - CUE_REACH <= b <= m.start() or m.end() <= a <= m.end() + CUE_REACH for a, b in cues):
                         add(m.start(), m.end(), "id_number")
 
-    @staticmethod
-    def _phones(f: str, cued: bool, add) -> None:
+    def _phones(self, f: str, runs: list[tuple[int, int]], cued: bool, add) -> None:
         for pattern in PHONES:
-            for m in pattern.finditer(f):
+            for m in self._near(pattern, f, runs):
                 add(m.start(), m.end(), "phone")
-        for m in NATIONAL.finditer(f):
+        for m in self._near(NATIONAL, f, runs):
             digits = sum(c.isdigit() for c in regex.sub(r"(?:x|ext).*$", "", m.group()))
             written = m.group().isdigit()
             if 9 <= digits <= 12 and not DATE.match(m.group()) and (not written or cued or (digits == 11 and m.group().startswith("07"))):
                 add(m.start(), m.end(), "phone")
         if cued:
-            for m in BARE.finditer(f):
+            for m in self._near(BARE, f, runs):
                 add(m.start(), m.end(), "phone")
 
+    @staticmethod
+    def _street(f: str, a: int, b: int, word: str, runs: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+        """The address around a street word with a house number near it."""
+        if b < len(f) and f[b].isalpha() or a > 0 and f[a - 1].isalpha() and word not in SUFFIX_CUES:
+            return None
+        lo, hi = max(0, a - BEFORE_STREET), min(len(f), b + BEHIND_STREET)
+        if not any(x < hi and y > lo for x, y, _ in runs):
+            return None
+        for pattern in STREETS:
+            for m in pattern.finditer(f, lo, hi):
+                if m.start() <= a and b <= m.end():
+                    return m.start(), m.end()
+        return None
+
     def _name(self, f: str, a: int, b: int, family: str) -> tuple[int, int] | None:
         if b < len(f) and f[b].isalpha():
             return None
         left, right = self.names[family]
-        if m := left.search(f, max(0, a - 60), a):
+        if m := left.search(f, max(0, a - self.longest - 12), a):
             return m.start(), b
         if a > 0 and f[a - 1].isalpha():
             return None
@@ -314,12 +358,13 @@ def redact_columns(df: DataFrame, columns: list[str], people: DataFrame | None =
 
     Null stays null, empty stays empty, a text without items comes out unchanged byte for byte; whole texts are searched whatever their
     length; other columns, also of clashing names such as 'name' or 'email', are untouched. Rows are independent: no shuffle.
-    Method: anchor expansion. One automaton of at-signs, identifier, telephone and street cues and family names runs over the folded text
-    (plain forms, no accents, percent signs decoded), and deterministic parsers expand each anchor and check its borders.
+    Method: anchor expansion. One automaton of at-signs, identifier, telephone and street cues and family names, and a scan for runs of digits,
+    give the anchors of the folded text (plain forms, no accents, percent signs decoded); deterministic local parsers expand each anchor and check its
+    borders: addresses of mail around at-signs, identifiers and telephones around runs, streets around street words, persons around family names.
     """
     blocks = _people_blocks(people)
     for i, block in enumerate(blocks):
-        udf = _udf(block, TYPES if i == 0 else ("name",), True)
+        udf = _udf(block, TYPES if i == 0 else ("email", "name"), True)  # only what a block of persons can change
         df = df.withColumns({c: udf(F.col(c)) for c in columns})
     return df
 
@@ -332,6 +377,11 @@ def info_bits(blocks: list[list[tuple[str, str]]], column: str) -> Column:
     return out
 
 
+def redacted_activity(activity: DataFrame, people: DataFrame, fields: tuple[str, ...] = ("title", "url_path", "file")) -> DataFrame:
+    """event_id and the fields of counted records, with placeholders in place of personal information and all else unchanged."""
+    return redact_columns(latest_records(activity, ["event_id", *fields]), list(fields), people)
+
+
 def personal_info(activity: DataFrame, people: DataFrame, fields: tuple[str, ...] = ("title", "url_path", "file")) -> DataFrame:
     """event_id, field, pii_type of counted records: every type that a field holds at least one item of.
 

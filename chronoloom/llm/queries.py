@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm.event_runs import activity_runs
 from chronoloom.llm.packing import document_containers
-from chronoloom.llm.personal_info import personal_info
+from chronoloom.llm.personal_info import personal_info, redacted_activity
 from chronoloom.llm.plain_text import not_plain
 from chronoloom.llm.splitting import split_texts
 from chronoloom.llm.token_ids import encoded
@@ -26,6 +26,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_info(_table(spark, sf_dir, "activity_records"), _table(spark, sf_dir, "people"))
 
 
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_activity(_table(spark, sf_dir, "activity_records"), _table(spark, sf_dir, "people"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_plain(_table(spark, sf_dir, "activity_records"))
 
@@ -42,5 +46,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p6_found, p7_ids, p8_containers, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p5_found, p5_redacted, p6_found, p7_ids, p8_containers, p9_pieces)}
 ORACLE: dict[str, str] = {}

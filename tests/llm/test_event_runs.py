@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import event_runs as module
-from chronoloom.llm.event_runs import activity_runs, content_key, event_runs, optimal_segments, stable_text
+from chronoloom.llm.event_runs import activity_runs, content, content_key, dissimilarity, event_runs, optimal_segments, stable_text
 
 SAME = [
     ("(12) Release notes - App", "Release notes - App"),
@@ -62,7 +62,7 @@ def test_runs_dont_depend_on_chunks(spark, seed, chunk):
     r = random.Random(seed)
     starts = r.sample(range(4000), 500)
     rows = [(f"{i:04}", r.choice(["hot"] * 5 + ["b"]), s, r.choice([None, s - 1, s + 3, s + r.randrange(60), s + 700]), r.choice([1] * (seed * 4 + 1) + [2, 3])) for i, s in enumerate(starts)]
-    df = spark.createDataFrame(rows, "event_id string, bucket_id string, s bigint, e bigint, key bigint").withColumn("n_events", F.lit("clash"))
+    df = spark.createDataFrame(rows, "event_id string, bucket_id string, s bigint, e bigint, key bigint").withColumn("n_events", F.lit("clash")).withColumn("extra", F.lit(None).cast("array<bigint>"))
     assert sorted(map(tuple, event_runs(df, 10, chunk_us=chunk).collect())) == loop(rows, 10)
 
 
@@ -75,19 +75,53 @@ def test_activity(spark):
     assert activity_runs(df.limit(0)).count() == 0
 
 
+def near_loop(rows, gap, penalty):
+    """Boundaries where a greedy walk over neighbours must make them, since costs lie between neighbours."""
+    out, was = [], None
+    for i, b, s, e, k, x in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        top = out[-1][4] if out and out[-1][0] == (b, k) else None
+        if top is not None and s <= top + gap and dissimilarity(was, x) <= penalty:
+            out[-1][2], out[-1][4], out[-1][5] = i, max(top, e), out[-1][5] + 1
+        else:
+            out.append([(b, k), i, i, s, max(top or e, e), 1])
+        was = x
+    return sorted((b, i, j, n) for (b, _), i, j, s, e, n in out)
+
+
+@pytest.mark.parametrize("chunk", [30, 200, 10**9])
+def test_decorations_and_the_penalty(spark, chunk):
+    r = random.Random(chunk)
+    rows = [(f"{i:04}", r.choice("ab"), s, s + r.choice([0, 3, 40, 200]), r.choice([1, 1, 1, 1, 2]), r.choice([None, None, [1], [1, 2], [3]])) for i, s in enumerate(r.sample(range(3000), 400))]
+    df = spark.createDataFrame(rows, "event_id string, bucket_id string, s bigint, e bigint, key bigint, extra array<bigint>")
+    for penalty in (1.0, 0.5, 2.0):
+        got = event_runs(df, 10, penalty, chunk_us=chunk).select("bucket_id", "first_event_id", "last_event_id", "n_events").collect()
+        assert sorted(map(tuple, got)) == near_loop(rows, 10, penalty)
+
+
+def test_marks_that_are_not_listed():
+    """A decoration that comes or goes is cheaper than a boundary, one in place of another, a document's name or a number isn't."""
+    whole = lambda t: content("x", t)
+    d = lambda a, b: dissimilarity(whole(a)[1], whole(b)[1]) if whole(a)[0] == whole(b)[0] else float("inf")
+    for other in ("report (recovered) - App", "[not responding] report - App", "▲ report - App", "report {private browsing} - App", "(3) report (recovered) - App"):
+        assert 0 < d("report - App", other) <= 1 < d("report (recovering) - App", "report (recovered) - App")
+    for other in ("report (copy) - App", "report (2) - App", "report two - App", "(draft) report - App", "Re: report - App"):
+        assert d("report - App", other) > 1
+
+
 @pytest.mark.parametrize("hold", [2, 7, 50])
 def test_rows_are_let_go(hold, monkeypatch):
-    monkeypatch.setattr(module, "HOLD_ROWS", hold)
     r = random.Random(hold)
     for _ in range(200):
         n = r.randrange(1, 40)
         s = sorted(r.sample(range(300), n))
         key = [r.choice([1, 1, 1, 2]) for _ in range(n)]
-        rows = [s, [x + r.choice([0, 2, 40]) for x in s], key, [str(i) for i in range(n)]]
+        rows = [s, [x + r.choice([0, 2, 40]) for x in s], key, [r.choice([None, [1], [2]]) for _ in s], [str(i) for i in range(n)]]
         whole, parts, at = [], [], 0
+        monkeypatch.setattr(module, "HOLD_ITEMS", 10**9)
         chunk = module._Chunk(("b", 0), 5, 1.0)
-        chunk.rows = tuple(map(list, rows))
+        chunk.more(rows, [])
         chunk.end(whole)
+        monkeypatch.setattr(module, "HOLD_ITEMS", hold)
         chunk = module._Chunk(("b", 0), 5, 1.0)
         while at < n:
             step = r.randrange(1, 6)
