@@ -122,6 +122,11 @@ def _abbreviations(zone: str) -> tuple[tuple[str, int], ...]:
     return tuple(sorted(seen.items()))
 
 
+@functools.cache
+def abbreviation_uses(zone: str) -> dict[str, int]:
+    return dict(_abbreviations(zone))
+
+
 def zone_names(spark: SparkSession) -> dict[str, str]:
     """Zone of every name of both vocabularies, in lower case."""
     known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) & zoneinfo.available_timezones()
@@ -129,9 +134,8 @@ def zone_names(spark: SparkSession) -> dict[str, str]:
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
-    """zone_key (lower case name), zone_id, uses (abbreviation -> seconds): every name of both vocabularies, some 700 rows whatever the data."""
-    rows = [(k, z, dict(_abbreviations(z))) for k, z in sorted(zone_names(spark).items())]
-    return spark.createDataFrame(rows, "zone_key string, zone_id string, uses map<string,int>")
+    """zone_key (lower case name), zone_id: every name of both vocabularies, some 700 rows whatever the data."""
+    return spark.createDataFrame(sorted(zone_names(spark).items()), "zone_key string, zone_id string")
 
 
 @functools.cache

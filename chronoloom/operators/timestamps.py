@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.functions.timezones import abbreviation_meanings, offset_of, offset_seconds, zone_key, zone_names, zone_table
+from chronoloom.functions.timezones import abbreviation_meanings, abbreviation_uses, offset_of, offset_seconds, zone_key, zone_names, zone_table
 from chronoloom.spark_tools import BROADCAST_ROWS, micros, small_join, written
 
 #: Prior of each component as a number of texts, EVEN where none is named.
@@ -58,7 +58,7 @@ def _dates(text: str) -> list[tuple[str, int]]:
         found = [("ymd", _midnight(m[1], m[3], m[4]))]
     elif m := _XY.match(text):
         kind = "slash" if m[2] == "/" else "dot"
-        found = [(f"{kind}_mdy", _midnight(m[4], m[1], m[3])), (f"{kind}_dmy", _midnight(m[4], m[3], m[1]))]
+        found = [(f"{kind}_mdy", _midnight(m[4], m[1], m[3])), (f"{kind}_dmy", _midnight(m[4], m[3], m[1]))][:: 1 if kind == "slash" else -1]  # the first names equal ones
     elif m := _D_MON_Y.match(text):
         found = [("day_month", _midnight(m[3], MONTH.get(m[2].lower(), 0), m[1]))]
     elif m := _MON_D_Y.match(text):
@@ -103,6 +103,7 @@ def readings(text: str | None) -> tuple[list[tuple[str, int]], str, str]:
     return [(name, us + clock) for name, us in _dates(m[1])], first, last
 
 
+_READING = pa.struct([("component", pa.string()), ("local_us", pa.int64())])
 _PARSED = T.StructType([
     T.StructField("readings", T.ArrayType(T.StructType([T.StructField("component", T.StringType()), T.StructField("local_us", T.LongType())]))),
     T.StructField("zoned", T.BooleanType()),
@@ -110,13 +111,6 @@ _PARSED = T.StructType([
     T.StructField("written", T.StringType()),
     T.StructField("abbreviation", T.StringType()),
 ])
-_PARSED_ARROW = pa.struct([
-    ("readings", pa.list_(pa.struct([("component", pa.string()), ("local_us", pa.int64())]))),
-    ("zoned", pa.bool_()),
-    ("offset", pa.int32()),
-    ("written", pa.string()),
-    ("abbreviation", pa.string()),
-])
 
 
 def _parser(names: dict[str, str]):
@@ -128,30 +122,30 @@ def _parser(names: dict[str, str]):
 
     def run(texts: pa.Array) -> pa.Array:
         known: dict[tuple[str, str], tuple] = {("", ""): (None, None, None)}
-        out = []
+        ends, layouts, local, zones = [0], [], [], []
         for text in texts.to_pylist():
-            found, *zone = readings(text)
-            zone = tuple(zone)
-            if zone not in known:
-                known[zone] = zone_of(*zone)
-            offset, written_zone, abbreviation = known[zone]
-            out.append({"readings": [{"component": c, "local_us": us} for c, us in found], "zoned": zone != ("", ""), "offset": offset, "written": written_zone, "abbreviation": abbreviation})
-        return pa.array(out, _PARSED_ARROW)
+            found, first, last = readings(text)
+            for layout, us in found:
+                layouts.append(layout)
+                local.append(us)
+            ends.append(len(local))
+            if (first, last) not in known:
+                known[first, last] = zone_of(first, last)
+            zones.append((first != "" or last != "", *known[first, last]))
+        pairs = pa.StructArray.from_arrays([pa.array(layouts, pa.string()), pa.array(local, pa.int64())], fields=list(_READING))
+        zoned, offsets, written_zones, abbreviations = zip(*zones) if zones else ([], [], [], [])
+        columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), pa.array(zoned, pa.bool_()), pa.array(offsets, pa.int32()), pa.array(written_zones, pa.string()), pa.array(abbreviations, pa.string())]
+        return pa.StructArray.from_arrays(columns, names=[f.name for f in _PARSED])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, _PARSED)
 
 
 def parsed_texts(df: DataFrame, text: str) -> DataFrame:
-    """Adds `_p`: every valid reading of `text` by layout (component, local_us), whether a zone is written, and which.
-
-    One Arrow pass: the same as built-in expressions took four times the CPU time, as their generated code is too long to be compiled.
-    """
+    """Adds `_p`: every valid reading of `text` by layout (component, local_us), whether a zone is written, and which. One Arrow pass over the texts."""
     return df.withColumn("_p", _parser(zone_names(df.sparkSession))(F.col(text)))
 
 
-_CANDIDATES = T.ArrayType(T.StructType([T.StructField("c", T.StringType()), T.StructField("a", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("us", T.LongType()), T.StructField("dst", T.StringType())]))
-_CANDIDATES_ARROW = pa.list_(pa.struct([("c", pa.string()), ("a", pa.string()), ("k", pa.int32()), ("us", pa.int64()), ("dst", pa.string())]))
 #: Likelihood, as a power of two, of an offset that an abbreviation has elsewhere but not in the host's zone.
 ELSEWHERE = -10
 
@@ -186,41 +180,65 @@ def plausibility(us: int, near: int | None) -> int:
     return max(-20, -6 + math.floor(-math.log2(1 + (days / 30) ** 2))) if days < -1 else max(-20, math.floor(-math.log2(1 + (days / 30) ** 2)))
 
 
+_CANDIDATES = T.StructType([T.StructField("kind", T.StringType()), T.StructField("us", T.ArrayType(T.LongType())), T.StructField("dst", T.StringType())])
+
+
 @F.arrow_udf(_CANDIDATES)
-def candidates(parsed: pa.Array, near: pa.Array, zone0: pa.Array, fixed0: pa.Array, uses0: pa.Array, zone1: pa.Array, fixed1: pa.Array, uses1: pa.Array) -> pa.Array:
-    """Every instant that a text may mean, with its component, likelihood class and what the clocks did; null without any zone to read it by."""
-    everywhere, out = abbreviation_meanings(), []
-    sides = [[c.to_pylist() for c in (zone0, fixed0, uses0)], [c.to_pylist() for c in (zone1, fixed1, uses1)]]
-    for i, (p, at) in enumerate(zip(parsed.to_pylist(), near.to_pylist())):
-        found: list[tuple[str, str | None, int, int, str | None]] = []
-        for j, r in enumerate(p["readings"]):
-            name, local = r["component"], r["local_us"]
-            zone, fixed, uses = (c[i] for c in sides[min(j, 1)])
+def candidates(parsed: pa.Array, near: pa.Array, zone0: pa.Array, fixed0: pa.Array, zone1: pa.Array, fixed1: pa.Array) -> pa.Array:
+    """The instants that a text may mean, its kind, which names the layout, offset of an abbreviation and likelihood class of each, and what the clocks did.
+
+    kind is null for texts without a reading, and empty for those without a zone to be read by.
+    """
+    everywhere = abbreviation_meanings()
+    lists, zoned, offsets, written_zones, abbreviations = parsed.flatten()
+    ends = lists.offsets.to_numpy()
+    layouts, local = (c.to_pylist() for c in lists.flatten().flatten())
+    ends = (ends - ends[0]).tolist()
+    zoned, offsets, written_zones, abbreviations, near = (c.to_pylist() for c in (zoned, offsets, written_zones, abbreviations, near))
+    sides = [(zone0.to_pylist(), fixed0.to_pylist()), (zone1.to_pylist(), fixed1.to_pylist())]
+    kinds, out_us, out_ends, clocks = [], [], [0], []
+    for i, at in enumerate(near):
+        found: list[tuple[str, int]] = []
+        moved = None
+        first, last = ends[i], ends[i + 1]
+        for j in range(first, last):
+            name, us = layouts[j], local[j]
+            zones, fixes = sides[j > first]
             if name.startswith("epoch"):
-                found.append((name, None, plausibility(local, at), local, None))
-            elif p["offset"] is not None:
-                us = local - p["offset"] * 1_000_000
-                found.append((name, None, plausibility(us, at), us, None))
-            elif p["written"] is not None:
-                found += [(name, None, plausibility(us, at), us, dst) for us, dst in in_zone(local, p["written"])]
-            elif not p["zoned"]:
-                if zone is not None:
-                    found += [(name, None, plausibility(us, at), us, dst) for us, dst in in_zone(local, zone)]
-                elif fixed is not None:
-                    us = local - fixed * 1_000_000
-                    found.append((name, None, plausibility(us, at), us, None))
-            elif p["abbreviation"] is not None:
-                here = dict(uses or []).get(p["abbreviation"])
-                for o in {here, *everywhere.get(p["abbreviation"], [])} - {None}:
-                    us = local - o * 1_000_000
-                    k = plausibility(us, at) + (ELSEWHERE if here is not None and o != here else 0)
-                    found.append((name, f"{p['abbreviation']}@{o}", k, us, None))
-        known = bool(p["readings"]) and (bool(found) or not p["zoned"])
-        out.append([{"c": c, "a": a, "k": k, "us": us, "dst": dst} for c, a, k, us, dst in found] if known else None)
-    return pa.array(out, _CANDIDATES_ARROW)
-
-
-_WEIGHTS = T.MapType(T.StringType(), T.DoubleType())
+                found.append((name, us))
+            elif offsets[i] is not None:
+                found.append((name, us - offsets[i] * 1_000_000))
+            elif (zone := written_zones[i] or (None if zoned[i] else zones[i])) is not None:
+                for instant, dst in in_zone(us, zone):
+                    found.append((name, instant))
+                    moved = moved or dst
+            elif not zoned[i]:
+                if fixes[i] is not None:
+                    found.append((name, us - fixes[i] * 1_000_000))
+            elif (short := abbreviations[i]) is not None:
+                here = abbreviation_uses(zones[i]).get(short) if zones[i] else None
+                for o in {here, *everywhere.get(short, [])} - {None}:
+                    found.append((f"{name},{short}@{o}" + ("" if here is None or o == here else "!"), us - o * 1_000_000))
+        seen, parts = set(), []
+        for name, us in found:  # equal instants are one candidate
+            if us not in seen:
+                seen.add(us)
+                out_us.append(us)
+                parts.append(f"{name.rstrip('!')}={plausibility(us, at) + (ELSEWHERE if name.endswith('!') else 0)}")
+        out_ends.append(len(out_us))
+        kinds.append(";".join(parts) if last > first and (parts or not zoned[i]) else None)
+        clocks.append(moved)
+    return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.ListArray.from_arrays(pa.array(out_ends, pa.int32()), pa.array(out_us, pa.int64())), pa.array(clocks, pa.string())], names=["kind", "us", "dst"])
+
+
+def parts_of(kind: str) -> list[tuple[str, str | None, int]]:
+    """(layout, offset of an abbreviation or None, likelihood class) of each candidate of a kind of text."""
+    out = []
+    for part in kind.split(";"):
+        name, _, k = part.rpartition("=")
+        layout, _, short = name.partition(",")
+        out.append((layout, short or None, int(k)))
+    return out
 
 
 def family(component: str) -> str:
@@ -228,6 +246,10 @@ def family(component: str) -> str:
     return component.partition("@")[0] if "@" in component else component.partition("_")[0]
 
 
+def noise_of(parts: list[tuple[str, str | None, int]], priors: dict[str, float]) -> float:
+    return NOISE * 2.0 ** max(k for _, _, k in parts) if parts[0][0] in priors else 0.0
+
+
 def fitted_weights(signatures: list[tuple[list[tuple[str, str | None, int]], int]], priors: dict[str, float], rounds: int = 25) -> dict[str, float]:
     """Weights of a source's mixtures, one a family, by expectation-maximisation over (signature, number of texts).
 
@@ -250,7 +272,7 @@ def fitted_weights(signatures: list[tuple[list[tuple[str, str | None, int]], int
         got = dict.fromkeys(names, 0.0)
         for parts, n in signatures:
             like = [weight[c] * (weight[a] if a else 1.0) * 2.0**k for c, a, k in parts]
-            total = sum(like) + (NOISE * 2.0 ** max(k for _, _, k in parts) if parts[0][0] in priors else 0.0)
+            total = sum(like) + noise_of(parts, priors)
             for (c, a, _), x in zip(parts, like):
                 got[c] += n * x / total
                 if a:
@@ -259,26 +281,46 @@ def fitted_weights(signatures: list[tuple[list[tuple[str, str | None, int]], int
     return weight
 
 
-def mixture_weights(counts: DataFrame, source: str, priors: dict[str, float]) -> DataFrame:
-    """Fits each source's mixture: source, weights. `counts` has source, signature and n, one row a kind of text; kinds are bounded by layouts and likelihood classes, not by texts."""
+_CHOICES = T.ArrayType(T.StructType([T.StructField(n, x) for n, x in (("kind", T.StringType()), ("best", T.IntegerType()), ("component", T.StringType()), ("posterior", T.DoubleType()), ("noise", T.DoubleType()))]))
+
+
+def chosen(kinds: list[tuple[str, int]], priors: dict[str, float]) -> list[tuple[str, int, str, float, float]]:
+    """(kind, number of the best candidate, its component, its posterior, the posterior of noise) of each kind of text of one source."""
+    parts = [parts_of(kind) for kind, _ in kinds]
+    weight = fitted_weights([(p, n) for p, (_, n) in zip(parts, kinds)], priors)
+    out = []
+    for p, (kind, _) in zip(parts, kinds):
+        like = [weight[c] * (weight[a] if a else 1.0) * 2.0**k for c, a, k in p]
+        noise = noise_of(p, priors)
+        best, total = max(range(len(p)), key=lambda i: (like[i], -i)), sum(like) + noise
+        c, a, _ = p[best]
+        out.append((kind, best, f"{c}:{a}" if a else c, like[best] / total, noise / total))
+    return out
+
+
+def choices(counts: DataFrame, source: str, priors: dict[str, float]) -> DataFrame:
+    """source, kind, best, component, posterior, noise of each kind of text of each source, by the mixtures fitted to it.
+
+    `counts` has source, kind and n, one row a kind of text; kinds are bounded by layouts and likelihood classes, not by texts.
+    """
 
-    def fit(kinds: pa.Array) -> pa.Array:
-        out = [list(fitted_weights([([(x["c"], x["a"], x["k"]) for x in k["signature"]], k["n"]) for k in row], priors).items()) for row in kinds.to_pylist()]
-        return pa.array(out, pa.map_(pa.string(), pa.float64()))
+    def fit(rows: pa.Array) -> pa.Array:
+        out = [[dict(zip(_CHOICES.elementType.names, x)) for x in chosen([(k["kind"], k["n"]) for k in row], priors)] for row in rows.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("best", pa.int32()), ("component", pa.string()), ("posterior", pa.float64()), ("noise", pa.float64())])))
 
-    fit.__annotations__ = {"kinds": pa.Array, "return": pa.Array}
-    kinds = counts.groupBy(source).agg(F.collect_list(F.struct("signature", "n")).alias("_kinds"))
-    return kinds.select(source, F.arrow_udf(fit, _WEIGHTS)("_kinds").alias("weights"))
+    fit.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    rows = counts.groupBy(source).agg(F.collect_list(F.struct("kind", "n")).alias("_kinds"))
+    return rows.select(source, F.explode(F.arrow_udf(fit, _CHOICES)("_kinds")).alias("x")).select(source, "x.*")
 
 
 def host_zones(windows: DataFrame, source: str) -> DataFrame:
-    """_source, _day, _zone, _fixed, _uses: zone, or offset in seconds, of each source's day, and the offsets its abbreviations stand for."""
+    """_source, _day, _zone, _fixed: zone, or offset in seconds, of each source's day."""
     zones = zone_table(windows.sparkSession)
     w = windows.select(F.col(source).cast("string").alias("_source"), F.col("local_day").alias("_day"), zone_key("timezone_name").alias("zone_key")).where("zone_key is not null and _day is not null")
     w = w.distinct().join(F.broadcast(zones), "zone_key", "left").withColumn("_fixed", offset_seconds(F.col("zone_key")))  # some 700 names, whatever the data
     w = w.where("zone_id is not null or _fixed is not null").groupBy("_source", "_day")
-    w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"), F.first("uses", ignorenulls=True).alias("_uses"))
-    return w.select("_source", "_day", F.nullif(F.col("_w.z"), F.lit("")).alias("_zone"), F.col("_w._fixed").alias("_fixed"), "_uses")
+    w = w.agg(F.min(F.struct(F.coalesce("zone_id", F.lit("")).alias("z"), "_fixed")).alias("_w"))
+    return w.select("_source", "_day", F.nullif(F.col("_w.z"), F.lit("")).alias("_zone"), F.col("_w._fixed").alias("_fixed"))
 
 
 def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFrame, priors: dict[str, float] | None = None, certain: float = 0.9, near: Column | None = None) -> DataFrame:
@@ -306,25 +348,16 @@ def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFra
     for i in (0, 1):
         local = F.get(F.col("_p.readings"), F.lit(i))
         parsed = parsed.withColumn(f"_day{i}", F.when(~local["component"].startswith("epoch"), F.date_from_unix_date(F.floor(local["local_us"] / DAY_US).cast("int"))))
-        day = w.withColumnsRenamed({"_day": f"_day{i}", "_zone": f"_zone{i}", "_fixed": f"_fixed{i}", "_uses": f"_uses{i}"})
+        day = w.withColumnsRenamed({"_day": f"_day{i}", "_zone": f"_zone{i}", "_fixed": f"_fixed{i}"})
         parsed = parsed.join(F.broadcast(day) if narrow else day, ["_source", f"_day{i}"], "left")
-    flat = parsed.select("_row", "_source", candidates("_p", "_near", *[f"{c}{i}" for i in (0, 1) for c in ("_zone", "_fixed", "_uses")]).alias("_all"))
-    pairs = F.array_distinct(F.transform("_all", lambda x: F.struct(x["c"].alias("c"), x["a"].alias("a"), x["k"].alias("k"))))
-    flat = flat.withColumn("_signature", F.array_sort(pairs))
-    flat = written(flat, "readings")  # read twice: for the counts, and for the choice
-    counts = flat.where(F.size("_signature") > 0).groupBy("_source", F.col("_signature").alias("signature")).agg(F.count(F.lit(1)).alias("n"))
-    fitted = written(mixture_weights(counts, "_source", priors), "weights")  # counted, then joined
-    flat = small_join(flat.drop("_signature"), fitted, ["_source"])
-    of = lambda name: F.coalesce(F.try_element_at(F.col("weights"), name), F.lit(1.0))
-    scored = F.transform("_all", lambda x: F.struct((of(x["c"]) * of(x["a"]) * F.pow(F.lit(2.0), x["k"])).alias("w"), (-x["us"]).alias("late"), x["c"].alias("c"), x["a"].alias("a"), x["us"].alias("us"), x["dst"].alias("dst")))
-    flat = flat.withColumn("_scored", scored).withColumn("_best", F.array_max("_scored"))
-    noise = F.when(F.col("_best.c").isin(list(priors)), NOISE * F.pow(F.lit(2.0), F.array_max(F.transform("_all", lambda x: x["k"])))).otherwise(0.0)
-    total = F.aggregate("_scored", F.lit(0.0), lambda acc, x: acc + x["w"]) + noise
-    same = F.aggregate(F.filter("_scored", lambda x: x["us"] == F.col("_best.us")), F.lit(0.0), lambda acc, x: acc + x["w"])
-    posterior = F.when(F.col("_best").isNotNull(), same / total)
-    sure = F.when(posterior >= certain, "resolved").when(noise / total > 0.5, "noise").otherwise("ambiguous")
-    status = F.when(F.col("_best").isNotNull(), sure).when(F.col("_all").isNotNull(), "no_zone").otherwise("invalid")
-    return flat.select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_best.us").alias("instant_us"), F.concat_ws(":", "_best.c", "_best.a").alias("component"), posterior.alias("posterior"), status.alias("status"), F.col("_best.dst").alias("dst"))
+    flat = parsed.select("_row", "_source", candidates("_p", "_near", *[f"{c}{i}" for i in (0, 1) for c in ("_zone", "_fixed")]).alias("_c"))
+    flat = written(flat.select("_row", "_source", F.col("_c.kind").alias("kind"), F.col("_c.us").alias("_us"), F.col("_c.dst").alias("dst")), "readings")  # read twice: for the counts, and for the choice
+    counts = flat.where("kind <> ''").groupBy("_source", "kind").agg(F.count(F.lit(1)).alias("n"))
+    flat = small_join(flat, written(choices(counts, "_source", priors), "choices"), ["_source", "kind"])
+    us = F.get("_us", F.col("best"))
+    sure = F.when(F.col("posterior") >= certain, "resolved").when(F.col("noise") > 0.5, "noise").otherwise("ambiguous")
+    status = F.when(us.isNotNull(), sure).when(F.col("kind").isNotNull(), "no_zone").otherwise("invalid")
+    return flat.select(*[F.col("_row")[c].alias(c) for c in keep], us.alias("instant_us"), F.col("component"), F.col("posterior"), status.alias("status"), F.col("dst"))
 
 
 def event_instants(raw_events: DataFrame, buckets: DataFrame, windows: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def test_posteriors_choose_the_unit(spark, windows):
     """Every unit of a number is a reading; what was received when, and the source's other numbers, tell which."""
     rows = [("1760372666", "a", "2025-10-13 16:25:00"), ("1760372666123", "a", "2025-10-13 16:25:00"), ("1760372666123", "a", None), ("999999999", "b", "2001-09-09 02:00:00"), ("99999999900", "b", "1973-03-04 00:00:00")]
     df = spark.createDataFrame(rows, "ts_text string, hostname string, received string").withColumn("at", F.col("received").cast("timestamp"))
-    got = [(r.component, r.status) for r in normalise_timestamps(df, "ts_text", "hostname", windows, near=F.col("at")).collect()]
-    assert got == [("epoch_s", "resolved"), ("epoch_ms", "resolved"), ("epoch_ms", "resolved"), ("epoch_s", "resolved"), ("epoch_ms", "resolved")]
+    got = sorted((len(r.ts_text), r.component, r.status) for r in normalise_timestamps(df, "ts_text", "hostname", windows, near=F.col("at")).collect())
+    assert got == [(9, "epoch_s", "resolved"), (10, "epoch_s", "resolved"), (11, "epoch_ms", "resolved"), (13, "epoch_ms", "resolved"), (13, "epoch_ms", "resolved")]
 
 
 def test_a_source_may_outweigh_a_convention(spark, windows):
