@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import functools
+import string
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.spark_tools import latest_rows
+from chronoloom.spark_tools import latest_records, latest_rows
 
 # Letters of other scripts that look like a Latin letter, by script.
 LOOK_ALIKES = {
@@ -22,11 +23,8 @@ LOOK_ALIKES = {
     "Armenian": dict(zip("ՕՏԼսօհոցզ", "OSLuohngq")),
 }
 TO_LATIN = {c: a for letters in LOOK_ALIKES.values() for c, a in letters.items()}
-FROM_LATIN = {script: {a: c for c, a in reversed(letters.items())} for script, letters in LOOK_ALIKES.items()}
-SCRIPTS = ["Latin", "Cyrillic", "Greek", "Armenian", "Arabic", "Hebrew", "Devanagari", "Bengali", "Tamil", "Thai", "Hangul", "Georgian", "Ethiopic", "Han", "Hiragana", "Katakana", "Bopomofo", "Cherokee", "Khmer", "Lao", "Myanmar", "Sinhala", "Telugu", "Kannada", "Malayalam", "Gujarati", "Gurmukhi", "Oriya", "Tibetan", "Mongolian", "Syriac", "Thaana"]
 #: Scripts written together in Japanese count as one.
 ONE_SCRIPT = {"Han": "Japanese", "Hiragana": "Japanese", "Katakana": "Japanese"}
-_SCRIPT = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MIXED = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7f][\p{L}\p{M}]*")
 _EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}\ufe0f\u20e3#*0-9]")
@@ -39,12 +37,31 @@ HYPHENS = {"‐", "‑", "﹣", "－"}
 ALIKE_FORMS = {"<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<small>"}
 
 
+@functools.cache
+def _script_patterns() -> dict[str, regex.Pattern]:
+    """A pattern for every script whose name letters begin with, by the names of the character database; found once per worker."""
+    places = (*range(0x41, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0x12000), 0x4E00, 0xAC00)
+    names = [unicodedata.name(chr(cp), "").split() for cp in places if unicodedata.category(chr(cp))[0] == "L"]
+    heads = {"_".join(words[:n]).title() for words in names for n in (1, 2, 3)} | {"Han"}
+    out = {}
+    for head in sorted(heads - {"Common", "Inherited"}):
+        try:
+            out[head] = regex.compile(rf"\p{{Script_Extensions={head}}}")
+        except regex.error:
+            continue
+    return out
+
+
+@functools.cache
+def _scripts(ch: str) -> frozenset[str]:
+    """The scripts that a character is used in; none for those that belong to every script."""
+    return frozenset(ONE_SCRIPT.get(name, name) for name, pattern in _script_patterns().items() if pattern.match(ch))
+
+
 @functools.cache
 def _script(ch: str) -> str:
-    for name, pattern in _SCRIPT.items():
-        if pattern.match(ch):
-            return ONE_SCRIPT.get(name, name)
-    return ""
+    """The one script of a letter, or one of those that a mark is used in."""
+    return min(_scripts(ch), default="")
 
 
 def _plain_form(ch: str) -> str:
@@ -110,69 +127,112 @@ def _is_virama(ch: str) -> bool:
     return ch != "" and unicodedata.combining(ch) == 9
 
 
-@functools.lru_cache(maxsize=50_000)
-def _spellings(word: str) -> frozenset[str]:
-    """Scripts in which the whole word can be spelled: the intersection of its letters' script sets, each with those of its look-alikes."""
-    both: set[str] | None = None
-    for ch in word:
-        if not (s := _script(ch)):
-            continue
-        sets = {s}
-        if s == "Latin":
-            sets |= {other for other, letters in FROM_LATIN.items() if ch in letters}
-        elif ch in TO_LATIN:
-            sets |= {"Latin"} | {other for other, letters in FROM_LATIN.items() if TO_LATIN[ch] in letters}
-        both = sets if both is None else both & sets
-    return frozenset(both or ())
-
-
-def _respelled(word: str, script: str) -> str:
-    out = []
-    for ch in word:
-        s = _script(ch)
-        latin = TO_LATIN.get(ch, ch)
-        out.append(ch if s in ("", script) else latin if script == "Latin" else FROM_LATIN.get(script, {}).get(latin, ch))
-    return "".join(out)
-
-
-def plain_words(text: str, whole_words: bool = True) -> str:
-    """Each word in letters of one script where look-alikes allow it.
+class Letters:
+    """Letters that look like a Latin letter, with the script of each, and the spelling of words with them."""
+
+    def __init__(self, table: dict[str, tuple[str, str]]):
+        self.to_latin = {c: latin for c, (_, latin) in table.items()}
+        self.of_script: dict[str, dict[str, str]] = {}
+        for c, (script, latin) in table.items():
+            self.of_script.setdefault(script, {}).setdefault(latin, c)
+        self.spelled: dict[str, frozenset[str]] = {}
+
+    def spellings(self, word: str) -> frozenset[str]:
+        """Scripts in which the whole word can be spelled: the intersection of its letters' script sets, each with those of its look-alikes."""
+        if (known := self.spelled.get(word)) is not None:
+            return known
+        both: set[str] | None = None
+        for ch in word:
+            if not (s := _scripts(ch)):
+                continue
+            sets = set(s)
+            latin = ch if "Latin" in s else self.to_latin.get(ch)
+            if latin is not None:
+                sets |= {"Latin"} | {other for other, letters in self.of_script.items() if latin in letters}
+            both = sets if both is None else both & sets
+        if len(self.spelled) > 50_000:
+            self.spelled.clear()
+        out = self.spelled[word] = frozenset(both or ())
+        return out
 
-    A word of mixed scripts takes, of those in which it can be spelled, the script that most letters of the text belong to beyond doubt, and
-    among equals the one that most of its own letters have. A word wholly of look-alikes
-    (whole_words) becomes Latin if the text has Latin letters and no letter that belongs to the word's script alone.
-    """
-    if not _MIXED.search(text):
-        return text
-    found = {w: [s for ch in w if (s := _script(ch))] for w in set(_WORD.findall(text)) if not w.isascii()}
-    fixed: dict[str, str] = {}
-    sure = Counter(next(iter(can)) for ch in text if len(can := _spellings(ch)) == 1) if any(len(set(v)) > 1 for v in found.values()) else Counter()
-    for w, scripts in found.items():
-        kinds = set(scripts)
-        if len(kinds) > 1 and (can := _spellings(w)):
-            fixed[w] = _respelled(w, max(can, key=lambda s: (sure[s], scripts.count(s), s == "Latin")))
-        elif whole_words and len(kinds) == 1 and (s := scripts[0]) in LOOK_ALIKES and all(ch in LOOK_ALIKES[s] or not _script(ch) for ch in w):
+    def respelled(self, word: str, script: str) -> str:
+        out = []
+        for ch in word:
+            s = _scripts(ch)
+            latin = self.to_latin.get(ch, ch)
+            out.append(ch if not s or script in s else latin if script == "Latin" else self.of_script.get(script, {}).get(latin, ch))
+        return "".join(out)
+
+    def mixed(self, text: str) -> str:
+        """Each word of mixed scripts in one of those in which it can be spelled: that which most letters of the text belong to beyond doubt, and
+        among equals the one that most of its own letters have."""
+        sets = {w: [s for ch in w if (s := _scripts(ch))] for w in set(_WORD.findall(text)) if not w.isascii()}
+        words = [w for w, s in sets.items() if s and not frozenset.intersection(*s)]
+        if not words:
+            return text
+        sure = Counter(next(iter(can)) for ch in text if len(can := self.spellings(ch)) == 1)
+        fixed = {}
+        for w in words:
+            own = Counter(s for one in sets[w] for s in one)
+            if can := self.spellings(w):
+                fixed[w] = self.respelled(w, max(can, key=lambda s: (sure[s], own[s], s == "Latin", s)))
+        return _WORD.sub(lambda m: fixed.get(m.group(), m.group()), text)
+
+    def whole(self, text: str) -> str:
+        """Each word wholly of look-alikes of one script in Latin letters, if the text has Latin letters and no letter that belongs to that script alone."""
+        fixed = {}
+        for w in {w for w in _WORD.findall(text) if not w.isascii()}:
+            scripts = {s for ch in w if (s := _script(ch))}
+            if len(scripts) != 1 or not all(ch in self.to_latin or not _scripts(ch) for ch in w):
+                continue
             rest = _WORD.sub(lambda m, w=w: "" if m.group() == w else m.group(), text)
-            own = any(_script(ch) == s and ch not in LOOK_ALIKES[s] for ch in text)
+            own = any(_script(ch) in scripts and ch not in self.to_latin for ch in text)
             if not own and any(_script(ch) == "Latin" for ch in rest):
-                fixed[w] = _respelled(w, "Latin")
-    return _WORD.sub(lambda m: fixed.get(m.group(), m.group()), text) if fixed else text
+                fixed[w] = self.respelled(w, "Latin")
+        return _WORD.sub(lambda m: fixed.get(m.group(), m.group()), text) if fixed else text
 
 
-def plain_text(text: str | None, whole_words: bool = True) -> str | None:
-    """The consistent form of a text; null for null.
+USUAL = Letters({c: (script, latin) for script, letters in LOOK_ALIKES.items() for c, latin in letters.items()})
 
-    Composed accents; letters, digits and signs of ordinary width, no ligatures or letter-like signs; ordinary spaces and hyphens (their number
-    is kept); no invisible characters except where they change what is seen; each word in letters of one script where that can be had.
-    """
-    if text is None or _ASCII.fullmatch(text):
-        return text
+
+def look_alikes(spark: SparkSession) -> Letters:
+    """USUAL and every other letter that the confusables data of the platform's Unicode library gives the skeleton of a Latin letter: some hundreds, whatever the data."""
+    table = {c: (script, latin) for script, letters in LOOK_ALIKES.items() for c, latin in letters.items()}
+    places = (*range(0x370, 0x3040), *range(0xA4D0, 0xAC00), *range(0x10000, 0x12000), *range(0x16F00, 0x16FA0))
+    others = [ch for ch in map(chr, places) if unicodedata.category(ch) in ("Lu", "Ll", "Lo", "Lt") and not unicodedata.decomposition(ch)]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join([*string.ascii_letters, *others])).split("\n")
+    latin: dict[str, list[str]] = {}
+    for c, k in zip(string.ascii_letters, skeletons):
+        latin.setdefault(k, []).append(c)
+    for c, k in zip(others, skeletons[len(string.ascii_letters) :]):
+        if c not in table and (found := latin.get(k)) and (script := _script(c)) not in ("", "Latin"):
+            table[c] = (script, ([x for x in found if x.isupper() == c.isupper()] or found)[0])
+    return Letters(table)
+
+
+def plain_characters(text: str) -> str:
+    """Composed accents; letters, digits and signs of ordinary width, no ligatures or letter-like signs; ordinary spaces and hyphens (their number is
+    kept); no invisible characters except where they change what is seen."""
     out = text.translate(_forms()) if not text.isascii() else text
     out = "".join(c for c in out if c in "\t\n\r" or unicodedata.category(c) != "Cc")
-    if not out.isascii():
-        out = unicodedata.normalize("NFC", _visible(out))
-        out = unicodedata.normalize("NFC", plain_words(out, whole_words))  # a respelled letter may take its accent in
-    return out
+    return out if out.isascii() else unicodedata.normalize("NFC", _visible(out))
+
+
+def plain_steps(text: str, letters: Letters = USUAL) -> tuple[str, str, str]:
+    """The text after each step: plain characters, mixed words in one script, words wholly of look-alikes in the script of the text."""
+    out = plain_characters(text)
+    if not _MIXED.search(out):
+        return out, out, out
+    mixed = unicodedata.normalize("NFC", letters.mixed(out))  # a respelled letter may take its accent in
+    return out, mixed, unicodedata.normalize("NFC", letters.whole(mixed))
+
+
+def plain_text(text: str | None, whole_words: bool = True, letters: Letters = USUAL) -> str | None:
+    """The consistent form of a text: plain characters, each word in letters of one script where that can be had; null for null."""
+    if text is None or _ASCII.fullmatch(text):
+        return text
+    return plain_steps(text, letters)[2 if whole_words else 1]
 
 
 class Memo(dict):
@@ -189,18 +249,24 @@ class Memo(dict):
         return out
 
 
-@F.pandas_udf(T.StringType())
-def plain_text_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    memo = Memo(plain_text)
-    for batch in texts:
-        yield pd.Series([None if t is None else memo[t] for t in batch], dtype=object)
+#: What a text isn't plain in: its characters, words of mixed scripts, words wholly of look-alikes.
+CHARACTERS, MIXED, WHOLE = 1, 2, 4
+
+
+def unlike(text: str, letters: Letters = USUAL) -> int:
+    """Bits of what differs from the plain form."""
+    steps = (text, *plain_steps(text, letters))
+    return sum(bit for bit, a, b in zip((CHARACTERS, MIXED, WHOLE), steps, steps[1:]) if a != b)
 
 
-@F.pandas_udf(T.BooleanType())
-def _differs_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    memo = Memo(lambda t: plain_text(t, whole_words=False) != t)
-    for batch in texts:
-        yield pd.Series([False if t is None else memo[t] for t in batch])
+def _mapped(fn, letters: Letters, kind: T.DataType, missing):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = Memo(lambda t: fn(t, letters=letters))
+        for batch in batches:
+            yield pa.array([missing if t is None else memo[t] for t in batch.to_pylist()], pa.string() if kind == T.StringType() else pa.int32())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
 
 
 #: Texts of these characters only are plain; they never leave the JVM.
@@ -214,18 +280,26 @@ def with_plain_text(df: DataFrame, column: str, to: str) -> DataFrame:
     Arrow batches. There is no shuffle, and rows are independent, so ties, repeats and skew don't matter.
     """
     odd = F.when(~F.col(column).rlike(PLAIN_ASCII), F.col(column))
-    return df.withColumn(to, F.coalesce(plain_text_udf(odd), F.col(column)))
+    return df.withColumn(to, F.coalesce(_mapped(plain_text, look_alikes(df.sparkSession), T.StringType(), None)(odd), F.col(column)))
 
 
-def not_plain(activity: DataFrame, fields: tuple[str, ...] = ("title", "app")) -> DataFrame:
-    """event_id, field of counted records whose value is not in plain form though it looks like it.
+def plain_activity(activity: DataFrame, fields: tuple[str, ...] = ("title", "app")) -> DataFrame:
+    """event_id and the fields of counted records in plain form, words wholly of look-alikes too."""
+    out = latest_records(activity, ["event_id", *fields])
+    for f in fields:
+        out = with_plain_text(out, f, f)
+    return out
 
-    The test runs before records are deduplicated, so that no text is shuffled. Records without an id are left out.
+
+def not_plain(activity: DataFrame, fields: tuple[str, ...] = ("title", "app"), kinds: int = CHARACTERS | MIXED) -> DataFrame:
+    """event_id, field of counted records whose value is not in plain form though it looks like it, in any of `kinds`.
+
+    A word wholly of look-alikes is in letters of one script, so by itself it is plain; WHOLE asks for such words as well. The test runs before
+    records are deduplicated, so that no text is shuffled. Records without an id are left out.
     """
-    odd = [F.coalesce(_differs_udf(F.when(~F.col(f).rlike(PLAIN_ASCII), F.col(f))), F.lit(False)).alias(f"_odd{i}") for i, f in enumerate(fields)]
+    bits = _mapped(unlike, look_alikes(activity.sparkSession), T.IntegerType(), 0)
+    odd = [(F.coalesce(bits(F.when(~F.col(f).rlike(PLAIN_ASCII), F.col(f))), F.lit(0)).bitwiseAND(F.lit(kinds)) != 0).alias(f"_odd{i}") for i, f in enumerate(fields)]
     rows = activity.select("event_id", "start_ts", "end_ts", "ingested_at", *odd).where("event_id is not null")
     rows = latest_rows(rows, "event_id", "ingested_at", ["start_ts", "end_ts"])
     named = F.filter(F.array(*[F.when(F.col(f"_odd{i}"), F.lit(f)) for i, f in enumerate(fields)]), lambda x: x.isNotNull())
     return rows.select("event_id", F.explode(named).alias("field"))
-
-
