@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.token_ids import VOCABULARY, Encoder, encoding, token_bytes
+from chronoloom.llm.token_ids import VOCABULARY, encoding, token_bytes, well_formed
 
 # Places to cut and the penalty of a cut there: paragraphs and code blocks, lines, sentences, clauses, words, signs inside long strings.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, SIGN, ANYWHERE = 0.0, 0.6, 1.0, 2.0, 3.0, 6.0, 20.0
@@ -27,19 +28,60 @@ AFTER[[*b".!?"]] = SENTENCE
 AFTER[[*b",;:"]] = CLAUSE
 CLOSING = np.zeros(256, dtype=bool)
 CLOSING[[*b"\"')]"]] = True
-#: Tokens of a stretch of which only the best place to cut is looked at.
+#: Tokens of a stretch. Words end a piece only in stretches without a better place, and characters only in stretches without any.
 STRETCH = 24
 
 
+def best_cuts(at: list[int], starts: list[int], price: list[float], limit: int, even: float, scale: float) -> list[int]:
+    """For each place the place of the cut before it in the cheapest division up to there; -1 where there is none.
+
+    A piece from starts[i] to at[j] costs price[j] + scale * (its size - even)^2 and has at most `limit` tokens; starts ascend with at.
+    Exact dynamic programming over all places in linear time: of two earlier cuts the later one, once better, stays better as pieces grow,
+    so candidates wait in a queue in the order in which they take over, at the crossing of their costs or when the one before grows too long.
+    """
+    m = len(at)
+    cost, back = [0.0] * m, [-1] * m
+    queue, since, head = [0], [-1.0], 0
+    for j in range(1, m):
+        t = at[j]
+        while head + 1 < len(queue) and since[head + 1] <= t:
+            head += 1
+        if head >= len(queue) or t - starts[queue[head]] > limit:
+            continue
+        i = queue[head]
+        back[j] = i
+        own = cost[j] = cost[i] + scale * (t - starts[i] - even) ** 2 + price[j]
+        s, turn = starts[j], -1.0
+        while len(queue) > head:
+            k = queue[-1]
+            gap = s - starts[k]
+            end = starts[k] + limit  # k is too long beyond
+            if gap:
+                turn = min((s + starts[k]) / 2 + even + (own - cost[k]) / (2 * scale * gap), end)
+            else:
+                turn = -1.0 if own < cost[k] else end
+            # Takes over beyond `turn`, at the next whole number of tokens.
+            turn = math.floor(turn) + 1.0
+            if turn <= since[-1] or turn <= t and len(queue) - 1 == head:
+                queue.pop()
+                since.pop()
+                turn = -1.0
+            else:
+                break
+        queue.append(j)
+        since.append(turn)
+    return back
+
+
 class Splitter:
-    def __init__(self, limit: int = 512, overlap: int = 64, path: str = VOCABULARY):
+    def __init__(self, limit: int = 512, overlap: int = 64, path: str = VOCABULARY, every_word: bool = False):
         if not 0 <= overlap < limit // 2:
             raise ValueError("the overlap must be less than half the limit")
-        self.limit, self.overlap = limit, overlap
-        self.encoder, self.sizes, self.encode = Encoder(path), token_bytes(path), encoding(path).encode_ordinary
+        self.limit, self.overlap, self.every_word = limit, overlap, every_word
+        self.sizes, self.encode, self.whole = token_bytes(path), encoding(path).encode_ordinary, encoding(path).encode_to_numpy
         self.tails: dict[bytes, int] = {}
 
-    def _places(self, raw: bytes, ends: np.ndarray) -> tuple[list[int], list[float]]:
+    def _places(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers and penalties of the places to cut: each ends a token and lies between characters."""
         n = len(ends)
         penalty = np.full(n + 1, np.inf)
@@ -83,64 +125,55 @@ class Splitter:
             mark(ended(SIGNS), SIGN)
             penalty = np.where(lonely, np.where(inside, np.inf, np.minimum(signs, ANYWHERE)), kept)
             best = np.minimum.reduceat(penalty, first)
+        if not self.every_word:
+            penalty[(penalty >= WORD) & np.repeat(best < WORD, np.diff(np.append(first, n + 1)))] = np.inf
         penalty[0] = penalty[n] = 0.0
-        # The best place of each stretch, the one nearest its middle where several are as good.
-        middle = np.abs(np.arange(n + 1) % STRETCH - STRETCH // 2)
-        score = penalty * STRETCH + middle
-        low = np.minimum.reduceat(score, first)
-        keep = np.isfinite(penalty) & (score <= np.repeat(low, np.diff(np.append(first, n + 1))))
-        keep[0] = keep[n] = True
-        at = np.flatnonzero(keep)
-        return at.tolist(), penalty[at].tolist()
+        at = np.flatnonzero(np.isfinite(penalty))
+        return at, penalty[at]
 
     def cuts(self, raw: bytes, ends: np.ndarray, limit: int) -> list[tuple[int, int, bool]]:
-        """(from, to, hard) of the pieces in token numbers: dynamic programming over the places to cut. hard: an end lies inside a long string.
+        """(from, to, hard) of the pieces in token numbers: dynamic programming over all places to cut. hard: an end lies inside a long string.
 
         The cost of a piece is its cut's penalty plus its squared distance from an even share; a piece begins near `overlap` tokens before
         the cut before it, at the best place there, and has at most `limit` tokens.
         """
         n, overlap = len(ends), self.overlap
         at, penalty = self._places(raw, ends)
-        m = len(at)
-        # Where the piece after a cut at place i begins.
-        begin, first = list(range(m)), 0
-        if overlap:
-            for i in range(1, m):
-                t = at[i]
-                while at[first] < t - 2 * overlap:
-                    first += 1
-                best, j = None, first
-                while j < i and at[j] <= t - overlap // 2:
-                    cost = abs(t - at[j] - overlap) / overlap + penalty[j] / 4
-                    if best is None or cost < best:
-                        best, begin[i] = cost, j
-                    j += 1
+        far = (at >= overlap) | (at == 0)  # a first piece within the overlap would lie in the second
+        at, penalty = at[far], penalty[far]
+        begin = self._begins(n, at, penalty)
         parts = max(2, -(-(n - overlap) // (limit - overlap)))
         even = (n + overlap * (parts - 1)) / parts
-        scale, inf = 4.0 / limit**2, float("inf")
-        starts = [at[i] for i in begin]
-        cost, back, low = [inf] * m, [0] * m, 0
-        cost[0] = 0.0
-        for j in range(1, m):
-            t = at[j]
-            while low < j and t - starts[low] > limit:
-                low += 1
-            best, where = inf, -1
-            for i in range(low, j):
-                size = t - starts[i]
-                total = cost[i] + scale * (size - even) ** 2
-                if total < best and size <= limit:
-                    best, where = total, i
-            cost[j], back[j] = best + penalty[j] + 1.5, where
-        if cost[-1] == inf:
-            return []
-        out, j = [], m - 1
+        back = best_cuts(at.tolist(), at[begin].tolist(), (penalty + 1.5).tolist(), limit, even, 4.0 / limit**2)
+        out, j = [], len(at) - 1
         while j > 0:
             i = back[j]
-            out.append((starts[i], at[j], penalty[j] >= SIGN or penalty[begin[i]] >= SIGN))
+            if i < 0:
+                return []
+            out.append((int(at[begin[i]]), int(at[j]), bool(penalty[j] >= SIGN or penalty[begin[i]] >= SIGN)))
             j = i
         return out[::-1]
 
+    def _begins(self, n: int, at: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        """Where the piece after a cut at each place begins: at the place `overlap` / 2 to 2 `overlap` tokens before it with the least distance from `overlap` and penalty."""
+        own, overlap = np.arange(len(at)), self.overlap
+        if not overlap:
+            return own
+        least, most = max(1, overlap // 2), 2 * overlap
+        cost = np.full(n + 1 + most, np.inf, dtype=np.float32)  # by token number + most, so that every window lies inside
+        cost[at + most] = penalty / 4
+        distance = (np.abs(np.arange(most, least - 1, -1) - overlap) / overlap).astype(np.float32)
+        windows = np.lib.stride_tricks.sliding_window_view(cost, most - least + 1)
+        begin = own.copy()
+        for lo in range(0, len(at), 4096):  # a few megabytes at a time
+            t = at[lo : lo + 4096]
+            found = windows[t] + distance
+            best = found.argmin(axis=1)
+            place = t - most + best
+            begin[lo : lo + 4096] = np.where(np.isfinite(found[np.arange(len(t)), best]), np.searchsorted(at, place), own[lo : lo + 4096])
+        begin[0] = 0
+        return np.minimum(np.maximum.accumulate(begin), own)
+
     def _even(self, raw: bytes, ends: np.ndarray, limit: int) -> list[tuple[int, int, bool]]:
         """Pieces of `limit` tokens at character borders, for texts in which the places to cut leave no way through."""
         n, out, a = len(ends), [], 0
@@ -178,10 +211,11 @@ class Splitter:
         """(start, end, tokens, text) of each piece, in characters of the text. None for null and empty texts."""
         if not text:
             return []
-        ids = np.frombuffer(self.encoder.ids(text), dtype=np.int32)
+        text = well_formed(text)
+        ids = self.whole(text)
         if len(ids) <= self.limit:
             return [(0, len(text), len(ids), text)]
-        raw = text.encode("utf-8", "replace")
+        raw = text.encode("utf-8")
         ends = np.cumsum(self.sizes[ids])
         limit = self.limit
         while True:
@@ -239,8 +273,9 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 512, overlap: i
     Cuts lie between paragraphs, code blocks, lines, sentences, clauses or words where there are any, and consecutive pieces share about
     `overlap` tokens; a text within the limit is one piece; null and empty texts have none; whole texts are cut, whatever their length.
     Repeated rows are cut as often as they are; other columns, also of clashing names, are ignored.
-    Method: dynamic programming over the places to cut minimises cut penalties and size imbalance subject to limit and overlap. Of every
-    stretch of 24 tokens only its best place is considered; a long string without any is cut between characters. Rows are independent: there is no shuffle.
+    Method: dynamic programming over the places to cut minimises cut penalties and size imbalance subject to limit and overlap. All ends of
+    paragraphs, lines, sentences and clauses are places; in 24 tokens without any of them so are words, and in 24 tokens without words characters.
+    Rows are independent: there is no shuffle.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: One in so many possible cuts is made; bytes of chunk text remembered by a worker.
 CUT_EVERY, REMEMBER_BYTES = 24, 24_000_000
+#: A stretch of more bytes without a place where the tokenizer always splits is cut anywhere, and the joins repaired.
+LONG_STRETCH = 2_048
+#: Where the pattern begins a token whatever is around: between letters, numbers and other signs, but not after an apostrophe.
+BORDER = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=\S)(?=\s)")
 
 
 @functools.lru_cache(maxsize=2)
@@ -54,41 +58,90 @@ def chunk_ends(raw: np.ndarray, every: int = CUT_EVERY) -> np.ndarray:
     return at[h <= np.uint64((2**64 - 1) // every)]
 
 
+def inner_cuts(raw: np.ndarray, every: int = CUT_EVERY) -> list[int]:
+    """Content-defined cuts of a long stretch, between any two characters: one in some 16 * `every` of them."""
+    at = np.flatnonzero((raw[8:] & 0xC0) != 0x80) + 8
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(1, 9):
+        h = h << np.uint64(8) | raw[at - k].astype(np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return at[h <= np.uint64((2**64 - 1) // (16 * every))].tolist()
+
+
+def well_formed(text: str) -> str:
+    """The text without lone surrogates, which no UTF-8 source holds."""
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
 class Encoder:
     """Encodes texts by chunks; a chunk met before, in whatever document, is not encoded again."""
 
     def __init__(self, path: str = VOCABULARY, every: int = CUT_EVERY):
-        self.encode, self.every = encoding(path).encode_ordinary, every
+        self.encode, self.every, self.sizes = encoding(path).encode_to_numpy, every, token_bytes(path)
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
+    def chunk(self, chunk: bytes) -> bytes:
+        got = self.known.get(chunk)
+        if got is None:
+            got = self.encode(chunk.decode("utf-8")).astype(np.int32).tobytes()
+            if self.held > REMEMBER_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[chunk] = got
+            self.held += len(chunk)
+        return got
+
+    def stretch(self, raw: bytes) -> bytes:
+        """The ids of a long stretch: chunks cut anywhere, then each join encoded anew between the nearest borders at which the tokenizer always splits.
+
+        Those borders are ends of tokens in the chunks as well, so that what is put in agrees with the ids to both sides of it; joins without a border
+        between them are repaired together.
+        """
+        ends = [*inner_cuts(np.frombuffer(raw, dtype=np.uint8), self.every), len(raw)]
+        parts = [np.frombuffer(self.chunk(raw[a:b]), dtype=np.int32) for a, b in zip([0, *ends], ends)]
+        if len(parts) == 1:
+            return parts[0].tobytes()
+        ids = np.concatenate(parts)
+        stops = np.cumsum(self.sizes[ids])  # where each token ends
+        text = raw.decode("utf-8")
+        borders = np.array([0, *(m.start() for m in BORDER.finditer(text)), len(text)])
+        if len(text) != len(raw):  # from characters to bytes
+            wide = np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)
+            borders = np.append(wide, len(raw))[borders]
+        out, done = [], 0
+        joins = np.array(ends[:-1])
+        left, right = borders[np.searchsorted(borders, joins, side="right") - 1], borders[np.searchsorted(borders, joins)]
+        for a, b in zip(left.tolist(), right.tolist()):
+            if a == b or b <= done:
+                continue
+            a = max(a, done)
+            lo, hi = np.searchsorted(stops, [done, a], side="right") if done else (0, int(np.searchsorted(stops, a, side="right")))
+            out += [ids[lo:hi].tobytes(), self.encode(raw[a:b].decode("utf-8")).astype(np.int32).tobytes()]
+            done = b
+        out.append(ids[int(np.searchsorted(stops, done, side="right")) if done else 0 :].tobytes())
+        return b"".join(out)
+
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers; none for null and empty texts."""
         if not text:
             return b""
-        try:
-            raw = text.encode("utf-8")
-        except UnicodeEncodeError:  # lone surrogates, which no UTF-8 source holds
-            raw = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode("utf-8")
-        known, out, start = self.known, [], 0
+        raw = well_formed(text).encode("utf-8")
+        out, start = [], 0
         for end in [*chunk_ends(np.frombuffer(raw, dtype=np.uint8), self.every).tolist(), len(raw)]:
             chunk = raw[start:end]
-            got = known.get(chunk)
-            if got is None:
-                got = array("i", self.encode(chunk.decode("utf-8"))).tobytes()
-                if self.held > REMEMBER_BYTES:
-                    known.clear()
-                    self.held = 0
-                known[chunk] = got
-                self.held += len(chunk)
-            out.append(got)
+            out.append(self.stretch(chunk) if end - start > LONG_STRETCH else self.chunk(chunk))
             start = end
         return b"".join(out)
 
 
 def _encode(path: str, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, whole = Encoder(path), encoding(path).encode_to_numpy
         for batch in batches:
             # A few megabytes of text at a time, so that a batch of long texts stays small.
             texts = batch.column(1)
@@ -97,10 +150,11 @@ def _encode(path: str, counts_only: bool):
                 hi, size = lo, 0
                 got = []
                 while hi < batch.num_rows and size < 4_000_000:
-                    got.append(encoder.ids(texts[hi].as_py()))
-                    size += len(got[-1])
+                    text = texts[hi].as_py()
+                    got.append(encoder.ids(text) if not counts_only else 4 * len(whole(well_formed(text))) if text else 0)
+                    size += got[-1] if counts_only else len(got[-1])
                     hi += 1
-                lens = np.fromiter((len(g) // 4 for g in got), dtype=np.int64, count=len(got))
+                lens = np.fromiter(((g if counts_only else len(g)) // 4 for g in got), dtype=np.int64, count=len(got))
                 keys = batch.column(0).slice(lo, hi - lo)
                 if counts_only:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(lens)], names=["_key", "n_tokens"])
@@ -117,8 +171,9 @@ def encoded(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataF
     """key, ids: the token ids of every row's whole text, without special tokens; empty for null and empty texts.
 
     Strings of special tokens in a text are ordinary text. Repeated rows come out as often as they are; other columns are ignored.
-    Method: content-defined chunks; a worker encodes a chunk once however many documents share it. Cuts are made only where the tokenizer
-    always splits, so that no join needs repair; a text without such a place is one chunk. There is no shuffle.
+    Method: content-defined chunks; a worker encodes a chunk once however many documents share it. Cuts are made where the tokenizer always
+    splits, so that joins agree; a long stretch without such a place is cut anywhere, and its joins are repaired by encoding them anew between the
+    nearest borders of tokens. There is no shuffle.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()

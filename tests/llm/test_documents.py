@@ -116,6 +116,51 @@ def test_pieces(i):
         assert all(text[: x[1]].endswith((".", "?", "!", '"', "\n")) for x in got[:-1])
 
 
+def cheapest(at, starts, price, limit, even, scale):
+    cost = [0.0] + [float("inf")] * (len(at) - 1)
+    for j in range(1, len(at)):
+        cost[j] = min((cost[i] + scale * (at[j] - starts[i] - even) ** 2 + price[j] for i in range(j) if at[j] - starts[i] <= limit), default=float("inf"))
+    return cost[-1]
+
+
+def test_cuts_are_the_cheapest():
+    r = random.Random(9)
+    for _ in range(1500):
+        m = r.randrange(2, 40)
+        at = [0, *sorted(r.sample(range(1, 400), m - 1))]
+        starts = [0]
+        for j in range(1, m):
+            starts.append(max(starts[-1], at[max(0, j - r.randrange(0, 4))]))
+        price, limit = [r.choice([1.5, 2.1, 2.5, 4.5, 21.5]) for _ in at], r.choice([20, 60, 120])
+        even, scale = r.uniform(5, limit), r.choice([4 / limit**2, 0.001, 1.0])
+        back, j, cost = splitting.best_cuts(at, starts, price, limit, even, scale), m - 1, 0.0
+        while j > 0 and back[j] >= 0:
+            size = at[j] - starts[back[j]]
+            assert size <= limit
+            cost, j = cost + scale * (size - even) ** 2 + price[j], back[j]
+        want = cheapest(at, starts, price, limit, even, scale)
+        assert want == float("inf") and j > 0 or abs(cost - want) < 1e-6
+
+
+def test_words_are_needed_only_where_there_is_nothing_better():
+    """With every word as a place the cheapest division is hardly cheaper."""
+    few, every = splitting.Splitter(), splitting.Splitter(every_word=True)
+    for text in texts()[1:3]:
+        a, b = [[x[:2] for x in s.pieces(text)] for s in (few, every)]
+        assert len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= len(a) // 10
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_long_stretches_are_repaired(every, monkeypatch):
+    """Chunks cut anywhere in texts without white space, against the tokenizer on the whole text."""
+    monkeypatch.setattr(token_ids, "LONG_STRETCH", 40)
+    r, e, plain = random.Random(every), token_ids.Encoder(every=every), encoding(VOCABULARY).encode_ordinary
+    signs = ["don't", "'s", "''ll", "漢字", "かな", "。", "、", "a1b2", "…", "é", "e\u0301", "👩‍💻", "--", "\t", "\u3000", "x", "9", "'", "ß", "٣", "\u00a0"]
+    for _ in range(300):
+        text = "".join(r.choice(signs) * r.choice([1, 1, 2, 9]) for _ in range(r.randrange(1, 120)))
+        assert np.frombuffer(e.ids(text), dtype=np.int32).tolist() == plain(text), text
+
+
 def test_split_table(spark):
     rows = [(1, "short", "x"), (2, None, "x"), (3, "", "x"), (4, "word " * 2000, "x"), (1, "short", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, piece string")
