@@ -142,9 +142,9 @@ def test_cuts_are_the_cheapest():
         assert want == float("inf") and j > 0 or abs(cost - want) < 1e-6
 
 
-def test_words_are_needed_only_where_there_is_nothing_better():
-    """With every word as a place the cheapest division is hardly cheaper."""
-    few, every = splitting.Splitter(), splitting.Splitter(every_word=True)
+def test_dear_places_are_not_needed():
+    """With every place the cheapest division is hardly cheaper."""
+    few, every = splitting.Splitter(), splitting.Splitter(every_place=True)
     for text in texts()[1:3]:
         a, b = [[x[:2] for x in s.pieces(text)] for s in (few, every)]
         assert len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= len(a) // 10
