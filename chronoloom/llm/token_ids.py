@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,23 +40,27 @@ def token_bytes(path: str) -> np.ndarray:
     return np.array([len(e.decode_single_token_bytes(i)) for i in range(e.n_vocab)], dtype=np.int64)
 
 
-def chunk_ends(raw: np.ndarray, every: int = CUT_EVERY) -> np.ndarray:
-    """Content-defined cuts: positions whose hash of the eight bytes before them is small, wherever they lie in a text.
+def chunk_ends(raw: np.ndarray, every: int = CUT_EVERY) -> tuple[list[int], set[int]]:
+    """Ends of chunks, and those of them that end a long stretch.
 
-    Only before a space or newline that follows a visible ASCII character: the tokenizer's pattern always begins a token there, whatever is
-    around, so that chunks encoded apart join into exactly the ids of the whole.
+    Cuts are content-defined: positions whose hash of the eight bytes before them is small, wherever they lie in a text, of those before a space or
+    newline that follows a visible ASCII character. The tokenizer's pattern always begins a token there, whatever is around, so that chunks
+    encoded apart join into exactly the ids of the whole. A long stretch without such a position is a chunk of its own.
     """
     at = np.flatnonzero((raw[1:] == 32) | (raw[1:] == 10)) + 1
-    at = at[at >= 8]
-    if not len(at):
-        return at
     before = raw[at - 1]
-    at = at[(before > 32) & (before < 127)]
+    at = at[(before > 32) & (before < 127) & (at >= 8)]
     h = np.zeros(len(at), dtype=np.uint64)
     for k in range(1, 9):
         h = h << np.uint64(8) | raw[at - k].astype(np.uint64)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return at[h <= np.uint64((2**64 - 1) // every)]
+    cuts = at[h <= np.uint64((2**64 - 1) // every)]
+    edges = np.r_[0, at, len(raw)]
+    far = np.flatnonzero(np.diff(edges) > LONG_STRETCH)
+    if not len(far):
+        return [*cuts.tolist(), len(raw)], set()
+    long = edges[far + 1].tolist()
+    return sorted({*cuts.tolist(), *edges[far].tolist(), *long, len(raw)} - {0}), set(long)
 
 
 def inner_cuts(raw: np.ndarray, every: int = CUT_EVERY) -> list[int]:
@@ -81,14 +86,14 @@ class Encoder:
     """Encodes texts by chunks; a chunk met before, in whatever document, is not encoded again."""
 
     def __init__(self, path: str = VOCABULARY, every: int = CUT_EVERY):
-        self.encode, self.every, self.sizes = encoding(path).encode_to_numpy, every, token_bytes(path)
+        self.encode, self.every, self.sizes = encoding(path).encode_ordinary, every, token_bytes(path)
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def chunk(self, chunk: bytes) -> bytes:
         got = self.known.get(chunk)
         if got is None:
-            got = self.encode(chunk.decode("utf-8")).astype(np.int32).tobytes()
+            got = array("i", self.encode(chunk.decode("utf-8"))).tobytes()
             if self.held > REMEMBER_BYTES:
                 self.known.clear()
                 self.held = 0
@@ -121,7 +126,7 @@ class Encoder:
                 continue
             a = max(a, done)
             lo, hi = np.searchsorted(stops, [done, a], side="right") if done else (0, int(np.searchsorted(stops, a, side="right")))
-            out += [ids[lo:hi].tobytes(), self.encode(raw[a:b].decode("utf-8")).astype(np.int32).tobytes()]
+            out += [ids[lo:hi].tobytes(), array("i", self.encode(raw[a:b].decode("utf-8"))).tobytes()]
             done = b
         out.append(ids[int(np.searchsorted(stops, done, side="right")) if done else 0 :].tobytes())
         return b"".join(out)
@@ -132,9 +137,10 @@ class Encoder:
             return b""
         raw = well_formed(text).encode("utf-8")
         out, start = [], 0
-        for end in [*chunk_ends(np.frombuffer(raw, dtype=np.uint8), self.every).tolist(), len(raw)]:
+        ends, long = chunk_ends(np.frombuffer(raw, dtype=np.uint8), self.every)
+        for end in ends:
             chunk = raw[start:end]
-            out.append(self.stretch(chunk) if end - start > LONG_STRETCH else self.chunk(chunk))
+            out.append(self.stretch(chunk) if end in long else self.chunk(chunk))
             start = end
         return b"".join(out)
 
