@@ -11,7 +11,9 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +103,11 @@ def sendable_text(value: str | None, name_only: bool = False) -> str | None:
     return out[:TEXT_CAP] or None
 
 
+def holds_secret(value: str) -> bool:
+    """Whether a text holds anything that would be replaced."""
+    return safe_generated(value) != value
+
+
 class UnsafePayloadError(RuntimeError):
     """Something in a payload would still be replaced; the message holds none of it."""
 
@@ -114,7 +121,7 @@ def check_payload(payload: object) -> None:
     while todo:
         item = todo.pop()
         if isinstance(item, str):
-            if safe_generated(item) != item:
+            if holds_secret(item):
                 raise UnsafePayloadError
         elif isinstance(item, dict):
             todo += [*item.keys(), *item.values()]
@@ -135,18 +142,26 @@ def _remembered(fn: Callable, size: int = 50_000) -> Callable:
     return get
 
 
-SAFE = T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.IntegerType())])
-
+#: Captured fields that are made safe, and whether only the name in them may stay.
+FIELDS = {"app": False, "title": False, "language": False, "project": True, "file": True}
+_SAFE = T.StructType([*[T.StructField(f, T.StringType()) for f in FIELDS], T.StructField("changes", T.IntegerType())])
 
-def _struct_udf(fn: Callable):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        get = _remembered(fn)
-        for batch in batches:
-            got = [get(v) if isinstance(v, str) else (None, 0) for v in batch]
-            yield pd.DataFrame(got, columns=["text", "changes"])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, SAFE)
+@F.arrow_udf(_SAFE)
+def safe_fields(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """All captured fields of a record made safe in one pass, and in how many steps they changed."""
+    texts, names = _remembered(safe_text), _remembered(safe_file)
+    for batch in batches:
+        changes = np.zeros(len(batch[0]), dtype=np.int32)
+        columns = []
+        for column, name_only in zip(batch, FIELDS.values()):
+            get = names if name_only else texts
+            distinct = column.dictionary_encode()  # each text of a batch once
+            made = [get(v) for v in distinct.dictionary.to_pylist()]
+            at = distinct.indices
+            columns.append(pa.array([m.text for m in made], pa.string()).take(at))
+            changes += np.array([*(m.changes for m in made), 0], dtype=np.int32)[at.fill_null(len(made)).to_numpy(zero_copy_only=False)]
+        yield pa.StructArray.from_arrays([*columns, pa.array(changes)], names=[f.name for f in _SAFE])
 
 
 def _text_udf(fn: Callable):
@@ -159,14 +174,6 @@ def _text_udf(fn: Callable):
     return F.pandas_udf(run, T.StringType())
 
 
-def safe_text_of(c: str) -> Column:
-    return _struct_udf(safe_text)(F.col(c))
-
-
-def safe_file_of(c: str) -> Column:
-    return _struct_udf(safe_file)(F.col(c))
-
-
 def generated_text_of(c: str) -> Column:
     return _text_udf(safe_generated)(F.col(c))
 
@@ -210,12 +217,7 @@ def sendable_title(app: Column, title: Column) -> Column:
 def observations(records: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     """Records as observations: numbered evidence in place of event and bucket ids, safe texts, file names, reduced paths, and `changes`,
     how many of its fields held something private (a path that is safe but longer than its name counts once more)."""
-    rows = numbered(records, keys)
-    for c in ("app", "title", "language"):
-        rows = rows.withColumn(f"_{c}", safe_text_of(c))
-    for c in ("project", "file"):
-        rows = rows.withColumn(f"_{c}", safe_file_of(c))
+    rows = numbered(records, keys).withColumn("_safe", safe_fields(*FIELDS))
     host = F.substring(F.lower("url_host"), 1, HOST_CAP)
-    changed = sum((F.coalesce(F.col(f"_{c}.changes"), F.lit(0)) for c in ("title", "language", "project", "file")), F.coalesce(F.col("_app.changes"), F.lit(0)))
-    texts = {c: F.col(f"_{c}.text") for c in ("app", "title", "project", "file", "language")}
-    return rows.select(*keys, "evidence_id", "kind", "start_us", "end_us", *[v.alias(c) for c, v in texts.items()], host.alias("url_host"), safe_path(host, F.col("url_path")).alias("url_path"), changed.alias("changes"))
+    texts = [F.col(f"_safe.{c}").alias(c) for c in ("app", "title", "project", "file", "language")]
+    return rows.select(*keys, "evidence_id", "kind", "start_us", "end_us", *texts, host.alias("url_host"), safe_path(host, F.col("url_path")).alias("url_path"), F.col("_safe.changes").alias("changes"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.timezones import offset_seconds, zone_key, zone_table
-from chronoloom.operators.intervals import coalesced, subtracted
+from chronoloom.operators.intervals import coalesced
 from chronoloom.operators.timestamps import AGAINST_CONVENTION, MONTH_FIRST_SLASHES, normalise_timestamps, parsed_texts
 from chronoloom.schema import DAY_US, DIAGNOSTICS, KIND_OF_TYPE, RECORD, TEXTS
 from chronoloom.spark_tools import latest_records, latest_rows, micros, small_join, written
@@ -154,12 +154,32 @@ def day_records(activity: DataFrame, buckets: DataFrame, windows: DataFrame | No
     rows = _counted(activity, buckets, texts)
     if windows is None:
         return _by_utc_day(rows, texts)
+    rows = rows.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_s") / DAY_US), F.floor((F.col("_e") - 1) / DAY_US))))
+    rows = small_join(rows, _windows_of_utc_days(windows), ["hostname", "_d"])
+    begin, end = F.col("_d") * DAY_US, (F.col("_d") + 1) * DAY_US
+    lo, hi = F.greatest("_s", begin), F.least("_e", end)
+    # A piece in a window belongs to the UTC day that it starts in, so that it comes out once; what lies in no window is cut at UTC midnights.
+    piece = lambda day, s, e: F.struct(day.alias("day"), s.alias("start_us"), e.alias("end_us"))
+    inside = F.filter(F.transform("_windows", lambda w: piece(w["day"], F.greatest(F.col("_s"), w["s"]), F.least(F.col("_e"), w["e"]))), lambda p: (p["start_us"] < p["end_us"]) & p["start_us"].between(begin, end - 1))
+    starts = F.concat(F.array(lo), F.transform("_whole", lambda w: F.greatest(w["e"], lo)))
+    stops = F.concat(F.transform("_whole", lambda w: F.least(w["s"], hi)), F.array(hi))
+    bare = F.zip_with(starts, stops, lambda s, e: piece(F.date_from_unix_date(F.col("_d").cast("int")), s, e))
+    bare = F.filter(F.coalesce(bare, F.array(piece(F.date_from_unix_date(F.col("_d").cast("int")), lo, hi))), lambda p: p["start_us"] < p["end_us"])
+    none = F.array().cast("array<struct<day:date,start_us:bigint,end_us:bigint>>")
+    out = rows.withColumn("_p", F.explode(F.concat(F.coalesce(inside, none), bare)))
+    return out.select("hostname", "_p.day", "event_id", "bucket_id", "kind", "_p.start_us", "_p.end_us", *_plain(texts))
+
+
+def _windows_of_utc_days(windows: DataFrame) -> DataFrame:
+    """hostname, _d (a UTC day by number) and the windows that meet it: `_windows` (s, e, day), and `_whole` (s, e), their union; a few a day."""
     windows = windows.where("start_us < end_us")
-    rows = written(rows, "counted")  # read twice: inside the windows, and outside
-    met = in_windows(rows, windows)
-    inside = met.select("hostname", "day", "event_id", "bucket_id", "kind", F.greatest("_s", "_ws").alias("start_us"), F.least("_e", "_we").alias("end_us"), *_plain(texts))
-    bare = subtracted(rows.withColumnsRenamed({"_s": "start_us", "_e": "end_us"}), coalesced(windows, ["hostname"]), ["hostname"])
-    return inside.unionByName(_by_utc_day(bare.withColumnsRenamed({"start_us": "_s", "end_us": "_e"}), texts))
+    over = F.explode(F.sequence(F.floor(F.col("start_us") / DAY_US), F.floor((F.col("end_us") - 1) / DAY_US))).alias("_d")
+    span = F.struct(F.col("start_us").alias("s"), F.col("end_us").alias("e"))
+    own = windows.select("hostname", over, F.struct("start_us", "end_us", "day").alias("w"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("u"))
+    whole = coalesced(windows, ["hostname"]).select("hostname", over, F.lit(None).cast(own.schema["w"].dataType).alias("w"), span.alias("u"))
+    out = own.unionByName(whole).groupBy("hostname", "_d").agg(F.array_sort(F.collect_list("w")).alias("_windows"), F.array_sort(F.collect_list("u")).alias("_whole"))
+    named = F.transform("_windows", lambda w: F.struct(w["start_us"].alias("s"), w["end_us"].alias("e"), w["day"].alias("day")))
+    return out.withColumn("_windows", named)
 
 
 def _plain(texts: list[str]) -> list[Column]:

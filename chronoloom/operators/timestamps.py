@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.functions.timezones import abbreviation_meanings, abbreviation_uses, offset_of, offset_seconds, zone_key, zone_names, zone_table
-from chronoloom.spark_tools import BROADCAST_ROWS, micros, small_join, written
+from chronoloom.spark_tools import is_small, micros, small_join, written
 
 #: Prior of each component as a number of texts, EVEN where none is named.
 MONTH_FIRST_SLASHES = {"slash_mdy": 50.0, "slash_dmy": 0.05, "dot_dmy": 50.0, "dot_mdy": 0.05}
@@ -344,7 +344,7 @@ def normalise_timestamps(df: DataFrame, text: str, source: str, windows: DataFra
     parsed = parsed_texts(rows, "_text").drop("_text")
     w = host_zones(windows, source)
     # A text has at most two readings with a local time (month or day first), each with the zone of its own day.
-    narrow = w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    narrow = is_small(w)
     for i in (0, 1):
         local = F.get(F.col("_p.readings"), F.lit(i))
         parsed = parsed.withColumn(f"_day{i}", F.when(~local["component"].startswith("epoch"), F.date_from_unix_date(F.floor(local["local_us"] / DAY_US).cast("int"))))

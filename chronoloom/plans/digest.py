@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.text_safety import check_payload, safe_generated
+from chronoloom.plans.prompts import MERGE_PROMPT, SUMMARY_PROMPT
 from chronoloom.schema import STREAM
 
 
@@ -103,6 +106,14 @@ def rolled_up(workstreams: DataFrame, episodes: DataFrame, keys: list[str] = STR
     )
 
 
+def checked_roll_up(workstreams: DataFrame, episodes: DataFrame, keys: list[str] = STREAM) -> DataFrame:
+    """rolled_up(), after a check that every episode that is named exists; raises DigestError otherwise."""
+    given = workstreams.select(*keys, F.explode("episode_ids").alias("episode_id"))
+    if given.join(episodes.select(*keys, "episode_id"), [*keys, "episode_id"], "left_anti").limit(1).count():
+        raise DigestError("unknown-ids", "episode_ids")
+    return rolled_up(workstreams, episodes, keys)
+
+
 def unassigned(workstreams: DataFrame, episodes: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     given = workstreams.select(*keys, F.explode("episode_ids").alias("episode_id"))
     return episodes.select(*keys, "episode_id").join(given, [*keys, "episode_id"], "left_anti")
@@ -197,32 +208,67 @@ def failure_record(error: DigestError, provider: object, model: object, shape: d
     return out if request_id is None else out | {"request_id": safe(request_id, ident, "[redacted-request]")}
 
 
-def summarised(requests: list[dict], ask: Callable[[dict], dict], merge: Callable[[dict], dict] | None = None) -> tuple[dict, int]:
+def parsed_response(text: object) -> dict:
+    """A model's answer as an object, from JSON text or an object; raises DigestError for anything else."""
+    try:
+        out = json.loads(text) if isinstance(text, (str, bytes)) else text
+    except ValueError:
+        out = None
+    if not isinstance(out, Mapping):
+        raise DigestError("invalid-shape", "response")
+    return dict(out)
+
+
+class Exchange:
+    """The requests to a model given from outside, one after another: counted, timed and told, with the tokens that answers say they took.
+
+    An answer is the object or JSON text asked for, or a pair of it and {'input_tokens': n, 'output_tokens': n}. Tokens stay None unless all answers tell them.
+    """
+
+    def __init__(self, tell: Callable[[str, float], None] | None = None):
+        self.tell, self.asked, self.tokens, self.failed_shape = tell, 0, {"input_tokens": 0, "output_tokens": 0}, None
+
+    def __call__(self, ask: Callable[[dict], object], request: dict, label: str, ids: set[str]) -> dict:
+        self.asked += 1
+        began = time.monotonic()
+        answer = ask(request)
+        if self.tell:
+            self.tell(label, time.monotonic() - began)
+        payload, used = answer if isinstance(answer, tuple) else (answer, {})
+        for k, n in self.tokens.items():
+            self.tokens[k] = None if n is None or used.get(k) is None else n + used[k]
+        out = parsed_response(payload)
+        self.failed_shape = response_shape(out, ids)
+        return out
+
+
+def summarised(requests: list[dict], ask: Callable[[dict], object], merge: Callable[[dict], object] | None = None, exchange: Exchange | None = None) -> tuple[dict, int]:
     """(digest, exchanges) of a day's requests, each {'episode_ids': [...], 'payload': ...}.
 
     Every answer is checked; one whose allocation alone is wrong is asked for once more. With several requests their workstreams are offered
     for merging, and a group's members become one. In the end every episode is given out once.
     """
-    digests, asked = [], 0
-    for request in requests:
+    exchange = exchange or Exchange()
+    digests = []
+    for no, request in enumerate(requests, 1):
         check_payload(request["payload"])
-        ids = set(request["episode_ids"])
-        asked += 1
+        ids, label = set(request["episode_ids"]), f"part {no} of {len(requests)}"
+        asked = {"prompt": SUMMARY_PROMPT, "schema": form_schema(DIGEST_FORM, sorted(ids))} | request
         try:
-            digests.append(checked_digest(ask(request), ids))
+            digests.append(checked_digest(exchange(ask, asked, label, ids), ids))
         except DigestError as e:
             if e.code != "invalid-episode-allocation":
                 raise
-            asked += 1
-            digests.append(checked_digest(ask(request | {"repair_instruction": REPAIR}), ids))
+            digests.append(checked_digest(exchange(ask, asked | {"repair_instruction": REPAIR}, f"{label}, again", ids), ids))
     streams = {f"provisional-{i:03d}-{j:03d}": w for i, d in enumerate(digests, 1) for j, w in enumerate(d["workstreams"], 1)}
     rest = list(dict.fromkeys(i for d in digests for i in d["unassigned_episode_ids"]))
     if len(digests) > 1 and merge is not None:
         offer = {"schema": "chronoloom.merge-request.v1", "provisional_workstreams": [{"id": k} | w for k, w in streams.items()]}
         if len(json.dumps(offer, ensure_ascii=False, sort_keys=True)) > MERGE_CEILING:
             raise DigestError("merge-request-too-large", "provisional_workstreams")
-        asked += 1
-        for group in checked_merge(merge(offer), set(streams)):
+        check_payload(offer)
+        answer = exchange(merge, {"prompt": MERGE_PROMPT, "response_schema": form_schema(MERGE_FORM, sorted(streams))} | offer, "merging", set(streams))
+        for group in checked_merge(answer, set(streams)):
             members = [streams[i] for i in group["provisional_ids"]]
             first = next(k for k in streams if k in group["provisional_ids"])
             distinct = lambda key, members=members: list({json.dumps(x, sort_keys=True): x for w in members for x in w[key]}.values())
@@ -232,7 +278,36 @@ def summarised(requests: list[dict], ask: Callable[[dict], dict], merge: Callabl
     given = [i for w in out["workstreams"] for i in w["episode_ids"]] + rest
     if sorted(given) != sorted(i for r in requests for i in r["episode_ids"]):
         raise DigestError("invalid-episode-allocation", "episode-allocation")
-    return out, asked
+    return out, exchange.asked
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """Of a summary: a digest, or None and why there is none; what was asked and used."""
+
+    digest: dict | None
+    failure: dict | None
+    exchanges: int
+    tokens: dict
+
+
+def summarised_or_not(requests: list[dict], ask: Callable[[dict], object], merge: Callable[[dict], object] | None = None, provider: str = "", model: str = "", tell: Callable[[str, float], None] | None = None) -> Outcome:
+    """summarised(), with any failure of the model or of its answers as a record, so that the caller can fall back to what needs no model."""
+    exchange = Exchange(tell)
+    try:
+        digest, asked = summarised(requests, ask, merge, exchange)
+    except DigestError as e:
+        return Outcome(None, failure_record(e, provider, model, exchange.failed_shape), exchange.asked, exchange.tokens)
+    except Exception as e:  # noqa: BLE001  whatever the model's adapter raises; its text may hold what was sent
+        error = DigestError(getattr(e, "kind", "provider-failed"), "provider")
+        return Outcome(None, failure_record(error, provider, model, request_id=getattr(e, "request_id", None)), exchange.asked, exchange.tokens)
+    return Outcome(digest, None, asked, exchange.tokens)
+
+
+def failure_text(failure: dict) -> str:
+    """One line about a failure, of its codes only."""
+    v = failure["validation"]
+    return f"The summary failed ({v['code']} at {v['field']}); the activity is written without it."
 
 
 def digest_rows(spark: SparkSession, digest: dict, hostname: str, day) -> tuple[DataFrame, DataFrame]:

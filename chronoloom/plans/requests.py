@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoloom.functions.formatting import iso_text
 from chronoloom.functions.text_safety import sendable_text_of, sendable_title
@@ -18,22 +23,36 @@ class RequestTooLargeError(RuntimeError):
     """An item alone doesn't fit into a request."""
 
 
+def _greedy(keys: int, size: int, target: int, base: int, joint: int):
+    """Arrow batches in order of key and item to the same rows with their chunk numbers; carries three numbers from row to row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, no, n, held = None, 1, 0, base
+        for batch in batches:
+            chunks = []
+            for *mine, weight in zip(*(batch.column(i).to_pylist() for i in (*range(keys), size))):
+                if mine != key:
+                    key, no, n, held = mine, 1, 0, base
+                more = (weight or 0) + (joint if n else 0)
+                if n and held + more > target:
+                    no, n, held, more = no + 1, 0, base, weight or 0
+                n, held = n + 1, held + more
+                chunks.append(no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int32())], names=[*batch.schema.names, "chunk"])
+
+    return run
+
+
 def chunked(items: DataFrame, keys: list[str], order: list[str], size: str, target: int, base: int = 0, joint: int = 0) -> DataFrame:
     """Adds chunk (from 1) to the items of each key: a chunk is closed when the next item would take it over `target`.
 
-    A chunk of n items has the size base + sum of sizes + joint * (n - 1). A group is a key's ordered items, such as one day's; the fold
-    carries two numbers over them, so nothing is serialized again.
+    A chunk of n items has the size base + sum of sizes + joint * (n - 1). A key's items pass by in order, sorted outside of memory, so that a key
+    may hold any number of them; a null size counts as 0, and a null key is a key of its own.
     """
-    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in items.columns if c not in {*keys, *order}])
-    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_items"))
-    step = lambda acc, x: F.when(
-        (acc["n"] > 0) & (acc["held"] + joint + x[size] > target),
-        F.struct((acc["no"] + 1).alias("no"), F.lit(1).cast("long").alias("n"), (F.lit(base) + x[size]).cast("long").alias("held"), F.concat(acc["out"], F.array(acc["no"] + 1)).alias("out")),
-    ).otherwise(F.struct(acc["no"].alias("no"), (acc["n"] + 1).alias("n"), (acc["held"] + F.when(acc["n"] > 0, joint).otherwise(0) + x[size]).cast("long").alias("held"), F.concat(acc["out"], F.array(acc["no"])).alias("out")))
-    zero = F.struct(F.lit(1).alias("no"), F.lit(0).cast("long").alias("n"), F.lit(base).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
-    chunks = F.aggregate("_items", zero, step, lambda acc: acc["out"])
-    out = grouped.withColumn("_x", F.explode(F.arrays_zip(F.col("_items").alias("i"), chunks.alias("c"))))
-    return out.select(*keys, "_x.i.*", F.col("_x.c").alias("chunk"))
+    rest = [c for c in items.columns if c not in keys]
+    rows = items.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())])
+    return rows.mapInArrow(_greedy(len(keys), rows.columns.index(size), target, base, joint), schema)
 
 
 def _distinct(items: Column) -> Column:
@@ -41,6 +60,14 @@ def _distinct(items: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda x: x["value"].isNotNull()))
 
 
+@F.arrow_udf(T.StringType())
+def compact_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Canonical JSON of objects on one line: keys sorted at every level, null members of the object itself left out."""
+    for batch in batches:
+        found = (None if x is None else json.loads(x) for x in batch.to_pylist())
+        yield pa.array([None if x is None else json.dumps({k: v for k, v in x.items() if v is not None}, ensure_ascii=False, sort_keys=True) for x in found], pa.string())
+
+
 def minimised(episodes: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     """Episodes reduced to what a request may hold: safe labels, anchors, counts and signals, the JSON text of each and its length.
 
@@ -71,7 +98,7 @@ def minimised(episodes: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     )
     flags = zip(CATEGORIES, ("anchors", "applications", "activity_labels", "outcome_signals"))
     present = F.filter(F.array(*[F.when(F.coalesce(F.size(f"_{c}"), F.lit(0)) > 0, F.lit(name)) for name, c in flags]), lambda x: x.isNotNull())
-    out = out.withColumn("payload", F.to_json(body)).withColumn("data_categories", present)
+    out = out.withColumn("payload", compact_json(F.to_json(body, {"ignoreNullFields": "false"}))).withColumn("data_categories", present)
     return out.select(*keys, "episode_id", "start_us", "payload", F.length("payload").cast("long").alias("size"), "data_categories")
 
 
@@ -81,10 +108,10 @@ def request_plan(episodes: DataFrame, keys: list[str] = STREAM, target: int = TA
     Raises RequestTooLargeError if any request would be over it.
     """
     # Both are read several times; written once, so that the day's pipeline isn't run for each of them.
-    items = chunked(minimised(written(episodes, "episodes"), keys), keys, ["start_us", "episode_id"], "size", target, base=2, joint=1)
+    items = chunked(minimised(written(episodes, "episodes"), keys), keys, ["start_us", "episode_id"], "size", target, base=2, joint=2)
     order = F.array_sort(F.collect_list(F.struct("start_us", "episode_id", "payload", "data_categories")))
     plan = items.groupBy(*keys, "chunk").agg(order.alias("i"))
-    payload = F.concat(F.lit("["), F.array_join(F.transform("i", lambda x: x["payload"]), ","), F.lit("]"))
+    payload = F.concat(F.lit("["), F.array_join(F.transform("i", lambda x: x["payload"]), ", "), F.lit("]"))
     named = F.array_intersect(F.array(*map(F.lit, CATEGORIES)), F.array_distinct(F.flatten(F.transform("i", lambda x: x["data_categories"]))))
     plan = plan.select(*keys, "chunk", F.transform("i", lambda x: x["episode_id"]).alias("episode_ids"), payload.alias("payload"), F.length(payload).cast("long").alias("character_count"), named.alias("data_categories"))
     plan = written(plan, "requests")
@@ -93,6 +120,13 @@ def request_plan(episodes: DataFrame, keys: list[str] = STREAM, target: int = TA
     return plan
 
 
+def single_request(plan: DataFrame, keys: list[str] = STREAM) -> DataFrame:
+    """The request of each day that needs only one; raises RequestTooLargeError if a day needs more."""
+    if plan.where("chunk > 1").limit(1).count():
+        raise RequestTooLargeError("a day needs more than one request")
+    return plan.where("chunk = 1").select(*keys, "episode_ids", "payload", "character_count", "data_categories")
+
+
 def plan_totals(plan: DataFrame, keys: list[str] = STREAM) -> DataFrame:
     """Requests, episodes and characters of each day; planned requests count a merge if there is more than one."""
     return plan.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.sum(F.size("episode_ids")).alias("episodes"), F.sum("character_count").alias("characters")).withColumn("planned", F.col("requests") + (F.col("requests") > 1).cast("long"))

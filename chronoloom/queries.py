@@ -19,7 +19,7 @@ from chronoloom.operators.activity_sessions import host_sessions
 from chronoloom.operators.interval_sets import bucket_periods
 from chronoloom.operators.timestamps import event_instants
 from chronoloom.oracle_parts import sql
-from chronoloom.plans import digest, requests
+from chronoloom.plans import collect, digest, requests
 from chronoloom.sources import watchers
 from chronoloom.schema import TEXTS
 from chronoloom.spark_tools import shared_folder, written
@@ -374,6 +374,23 @@ def raw_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anchor_rows(_raw_sessions(spark, sf_dir))
 
 
+def _raw_days(spark: SparkSession, sf_dir: str) -> collect.Days:
+    windows = table(spark, sf_dir, "day_windows")
+    return collect.collected_raw(table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "watch_buckets"), _host_windows(spark, sf_dir), windows)
+
+
+@query()
+def collected_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of raw events, by the whole way."""
+    return _raw_days(spark, sf_dir).episodes()
+
+
+@query()
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the whole way from raw events left out or changed, by code, in the order of output."""
+    return _raw_days(spark, sf_dir).diagnostics
+
+
 # Text functions, paths, plans and digests.
 
 URL_SQL = "(SELECT DISTINCT data_json ->> '$.url' AS url FROM raw_events WHERE json_valid(data_json) AND json_type(data_json, '$.url') = 'VARCHAR')"
@@ -446,7 +463,12 @@ def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.request_plan(ep.episodes(_sessions(spark, sf_dir)), target=20_000)
+    return requests.request_plan(ep.checked_episodes(_sessions(spark, sf_dir)), target=20_000)
+
+
+@query()
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.plan_totals(summary_plan(spark, sf_dir))
 
 
 def _as_episodes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -459,7 +481,7 @@ def _as_episodes(made: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query(sql("SELECT hostname, day, session_no % 3 AS workstream, sum(us) / 1e6 AS active_seconds, count(*) AS episodes, min(start_us) AS start_us, max(end_us) AS end_us FROM sessions GROUP BY ALL", "sessions"))
 def digest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, streams = _as_episodes(_raw_sessions(spark, sf_dir))
-    return digest.rolled_up(streams, items)
+    return digest.checked_roll_up(streams, items)
 
 
 @query(sql("SELECT hostname, day, format('session-{:03d}', session_no) AS episode_id FROM sessions WHERE session_no % 3 = 2", "sessions"))
@@ -541,9 +563,9 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, name = f"{sf_dir.rstrip('/')}/activity_records.parque[t]", uuid.uuid4().hex  # a pattern may be a file or a folder
     held = spark.read.parquet(path)
     out = f"{shared_folder(spark)}/live-{name}"
-    live.closing_row(held.where("kind <> 'afk'")).write.parquet(f"{out}-closing")
-    rows = spark.readStream.schema(held.schema).parquet(path).where("kind <> 'afk'").unionByName(spark.readStream.schema(held.schema).parquet(f"{out}-closing"))
-    live.live_sessions(rows, "bucket_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    live.closing_row(held.where("not kind <=> 'afk'")).write.parquet(f"{out}-closing")
+    rows = spark.readStream.schema(held.schema).parquet(path).where("not kind <=> 'afk'").unionByName(spark.readStream.schema(held.schema).parquet(f"{out}-closing"))
+    live.live_sessions(rows, "bucket_id", ident="event_id").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("bucket_id string, start_us bigint, end_us bigint, n_events bigint").parquet(out)
 
 

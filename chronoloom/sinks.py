@@ -18,6 +18,7 @@ from chronoloom.operators.records import diagnostic_messages
 from chronoloom.schema import STREAM
 
 PREFIX = "chronoloom"
+# Names of sources, and throughout this module the headings, labels and default phrases of Markdown and the field names of JSON.
 SOURCE_NAMES = {"current-window": "Current window", "editor": "Editor", "browser": "Browser"}
 
 
@@ -220,6 +221,12 @@ def diagnostics_text(counts: DataFrame) -> str:
     return "".join(f"- {m[0].upper()}{m[1:]}.\n" for (m,) in diagnostic_messages(counts).orderBy("rank").select("message").collect())
 
 
+def diagnostics_json(counts: DataFrame, day: str, zone: str) -> str:
+    """The same as a document."""
+    rows = diagnostic_messages(counts).orderBy("rank").select("code", "n", "message").collect()
+    return stable_json({"schema": f"{PREFIX}.diagnostics.v1", "date": day, "timezone": zone, "diagnostics": [{"code": r.code, "count": r.n, "message": r.message} for r in rows]})
+
+
 def write_whole(path: str | Path, text: str) -> None:
     """Writes UTF-8 with line feeds to a neighbour file and puts it in place, so that readers see the old or the new text, never a part."""
     path = Path(path)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from pathlib import Path
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlencode, urlsplit
+from urllib.request import urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -59,8 +61,39 @@ def events_between(events: DataFrame, start: str, end: str, longest_seconds: flo
 SCHEMA = "bucket_id string, bucket_type string, client string, hostname string, event_id string, ts_text string, duration_seconds double, data_json string"
 
 
+def _in_range(event: dict, start: datetime | None, end: datetime | None) -> bool:
+    """Whether an event may meet [start, end); one whose own time can't be read is kept, to be counted later."""
+    try:
+        began = datetime.fromisoformat(event["timestamp"])
+        ended = began + timedelta(seconds=float(event.get("duration") or 0))
+    except (KeyError, TypeError, ValueError, OverflowError):
+        return True
+    if began.tzinfo is None:
+        return True
+    return (end is None or began < end) and (start is None or ended >= start)
+
+
+def _rows(bucket: dict, events: list[dict], start: datetime | None, end: datetime | None) -> Iterator[tuple]:
+    head = tuple(str(bucket.get(k) or "") for k in ("id", "type", "client", "hostname"))
+    for e in events:
+        if _in_range(e, start, end):
+            d = e.get("duration")
+            yield (*head, str(e.get("id")), e.get("timestamp"), None if d is None else float(d), json.dumps(e.get("data"), ensure_ascii=False))
+
+
+class _Options:
+    """Options that sources share: types (comma separated), start and end (ISO texts with a zone)."""
+
+    def __init__(self, options: dict):
+        self.types = set(filter(None, options.get("types", "").split(",")))
+        self.start, self.end = (datetime.fromisoformat(options[k]) if options.get(k) else None for k in ("start", "end"))
+
+
 class ExportSource(DataSource):
-    """Format 'watcher_export': a folder of JSON files, one bucket each: {id, type, client, hostname, events: [{id, timestamp, duration, data}]}."""
+    """Format 'watcher_export': a folder of JSON files, one bucket each: {id, type, client, hostname, events: [{id, timestamp, duration, data}]}.
+
+    Files are read by Spark's own file source where one bucket is one line; this source is for whole exports that the driver and all workers can reach.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -80,8 +113,7 @@ class _File(InputPartition):
 
 class _ExportReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = Path(options["path"])
-        self.types = set(filter(None, options.get("types", "").split(",")))
+        self.folder, self.asked = Path(options["path"]), _Options(options)
         if not self.folder.is_dir():
             raise WatcherSourceError("the export folder could not be read")
 
@@ -93,18 +125,102 @@ class _ExportReader(DataSourceReader):
             b = json.loads(Path(partition.path).read_text(encoding="utf-8"))
         except (OSError, ValueError) as e:
             raise WatcherSourceError("an export file could not be read") from e
-        head = (str(b.get("id", "")), str(b.get("type", "")), str(b.get("client", "")), str(b.get("hostname", "")))
-        if self.types and head[1] not in self.types:
-            return
-        for e in b.get("events", []):
-            d = e.get("duration")
-            yield (*head, str(e.get("id")), e.get("timestamp"), None if d is None else float(d), json.dumps(e.get("data"), ensure_ascii=False))
+        if not self.asked.types or str(b.get("type") or "") in self.asked.types:
+            yield from _rows(b, b.get("events", []), self.asked.start, self.asked.end)
 
 
-def read_exports(spark: SparkSession, folder: str, types: list[str] | None = None) -> DataFrame:
+def read_exports(spark: SparkSession, folder: str, types: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     spark.dataSource.register(ExportSource)
-    reader = spark.read.format("watcher_export").option("path", folder)
-    return (reader.option("types", ",".join(types)) if types else reader).load()
+    return _asked(spark.read.format("watcher_export").option("path", folder), types, start, end).load()
+
+
+def _asked(reader: DataFrameReader, types: list[str] | None, start: str | None, end: str | None) -> DataFrameReader:
+    for k, v in (("types", ",".join(types or [])), ("start", start), ("end", end)):
+        reader = reader.option(k, v) if v else reader
+    return reader
+
+
+class WatcherClient:
+    """A watcher server over HTTP: its handshake, its buckets in order of id, and the events of a bucket in a range. Errors hold nothing of an answer."""
+
+    def __init__(self, server: Endpoint, timeout: float = 30.0):
+        host = f"[{server.host}]" if ":" in server.host else server.host
+        self.base, self.timeout = f"{server.protocol}://{host}:{server.port}/api/0", timeout
+
+    @classmethod
+    def from_url(cls, url: str, timeout: float = 30.0) -> WatcherClient:
+        return cls(endpoint(url), timeout)
+
+    def _get(self, path: str, step: str) -> object:
+        try:
+            with urlopen(f"{self.base}/{path}", timeout=self.timeout) as answer:  # noqa: S310  http and https only, by endpoint()
+                return json.load(answer)
+        except (OSError, ValueError) as e:
+            raise WatcherSourceError(f"{step} could not be read from the server") from e
+
+    def info(self) -> dict:
+        """{'version': text, 'testing': boolean}."""
+        found = self._get("info", "its description")
+        if not isinstance(found, dict) or not isinstance(found.get("version"), str):
+            raise WatcherSourceError("the server gave no version")
+        return {"version": found["version"], "testing": bool(found.get("testing"))}
+
+    def buckets(self) -> list[dict]:
+        found = self._get("buckets/", "the list of buckets")
+        if not isinstance(found, dict):
+            raise WatcherSourceError("the list of buckets could not be read from the server")
+        return [{k: str((b or {}).get(k) or "") for k in ("type", "client", "hostname")} | {"id": i} for i, b in sorted(found.items())]
+
+    def events(self, bucket_id: str, start: str | None = None, end: str | None = None) -> list[dict]:
+        """Events of a bucket that meet [start, end), ISO texts with a zone; the server is asked for just these."""
+        query = urlencode({k: v for k, v in (("start", start), ("end", end), ("limit", "-1")) if v})
+        found = self._get(f"buckets/{quote(bucket_id, safe='')}/events?{query}", "the events of a bucket")
+        if not isinstance(found, list) or not all(isinstance(e, dict) for e in found):
+            raise WatcherSourceError("the events of a bucket could not be read from the server")
+        return found
+
+
+class ServerSource(DataSource):
+    """Format 'watcher_server': the buckets of a watcher server, one partition each, with options url, types, start and end, which go to the server."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "watcher_server"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ServerReader(self.options)
+
+
+class _Bucket(InputPartition):
+    def __init__(self, bucket: dict):
+        self.bucket = bucket
+
+
+class _ServerReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.client, self.asked, self.range = WatcherClient.from_url(options["url"]), _Options(options), (options.get("start"), options.get("end"))
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Bucket(b) for b in self.client.buckets() if not self.asked.types or b["type"] in self.asked.types]
+
+    def read(self, partition: _Bucket) -> Iterator[tuple]:
+        yield from _rows(partition.bucket, self.client.events(partition.bucket["id"], *self.range), self.asked.start, self.asked.end)
+
+
+def read_server(spark: SparkSession, url: str, types: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Buckets and events of a server as one table, a bucket a task; the range is pushed to the server. Raises WatcherSourceError if it can't be reached."""
+    WatcherClient.from_url(url).info()
+    spark.dataSource.register(ServerSource)
+    return _asked(spark.read.format("watcher_server").option("url", url), types, start, end).load()
+
+
+def buckets_and_events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw events, buckets) of a table that a source gave."""
+    head = ["bucket_id", "bucket_type", "client", "hostname"]
+    return rows.select("event_id", "bucket_id", "ts_text", "duration_seconds", "data_json"), rows.groupBy("bucket_id").agg(*[F.min(c).alias(c) for c in head[1:]])
 
 
 def events_as_raw(events: DataFrame) -> tuple[DataFrame, DataFrame]:

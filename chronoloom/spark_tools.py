@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,14 +18,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on `on`, broadcasting `right` only if it was counted to hold at most `max_rows` rows.
+#: Bytes up to which the planner's bound on a table's size is enough to broadcast it; compressed files may hold some ten times as much in memory.
+BROADCAST_BYTES = 4_000_000
 
-    Beyond that the join is left to the planner (sort-merge with adaptive skew handling).
-    The count reads one narrow column and stops at the bound.
-    """
-    n = right.select(on[0]).limit(max_rows + 1).count()
-    return left.join(F.broadcast(right) if n <= max_rows else right, on, how)
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast: by the planner's bound, which is made of the sizes of the files it reads, or else by a count that stops at `max_rows`."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES:
+        return True
+    return df.select(df.columns[0]).limit(max_rows + 1).count() <= max_rows
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join on `on`, broadcasting `right` only if it is_small. Beyond that the join is left to the planner (sort-merge with adaptive skew handling)."""
+    return left.join(F.broadcast(right) if is_small(right, max_rows) else right, on, how)
 
 
 def latest_rows(df: DataFrame, id_col: str, version_col: str, ties: list[str]) -> DataFrame:
@@ -54,9 +61,11 @@ def end_or_start(start: str = "start_ts", end: str = "end_ts") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local one, but only if all executors are in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

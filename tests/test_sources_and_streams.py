@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,9 +62,11 @@ def test_live_sessions(spark, tmp_path):
 def test_live_sessions_of_the_last_hour_come_out(spark, tmp_path):
     folder = str(tmp_path)
     rows = [("a", 0.0, 10.0), ("a", 310.0, 311.0), ("b", 0.0, None), ("c", 1e6, 1e6), ("d", 1e6 - 600, 1e6 + 9000), ("d", 1e6 - 1000, 1e6 - 950)]
-    df = times(spark, rows).withColumnRenamed("host", "bucket_id").withColumn("kind", F.lit("browser"))
+    rows = [(h, a + 1e5, None if z is None else z + 1e5) for h, a, z in rows]  # a stream's first watermark is 0
+    df = times(spark, rows).withColumns({"kind": F.lit(None).cast("string"), "event_id": F.concat_ws("@", "host", F.unix_micros("start_ts").cast("string"))}).withColumnRenamed("host", "bucket_id")
+    df = df.union(df.limit(3))
     df.write.parquet(f"{folder}/activity_records.parquet")
-    batch = activity_sessions(df.select("bucket_id", F.unix_micros("start_ts").alias("s"), F.unix_micros("end_ts").alias("e")), "bucket_id")
+    batch = activity_sessions(df.dropDuplicates(["event_id"]).select("bucket_id", F.unix_micros("start_ts").alias("s"), F.unix_micros("end_ts").alias("e")), "bucket_id")
     got = sorted(map(tuple, entry.queries()["live_sessions"](spark, folder).collect()))
     assert len(got) == 5 and got == sorted(map(tuple, batch.select("bucket_id", "start_us", "end_us", "n_events").collect()))
 
@@ -92,6 +96,71 @@ def test_command_line(spark, tmp_path):
         assert out.read_text(encoding="utf-8").startswith("# Activity")
 
 
+class _Watcher(BaseHTTPRequestHandler):
+    answers: dict = {}
+    asked: list = []
+
+    def do_GET(self):  # noqa: N802
+        self.asked.append(self.path)
+        body = self.answers.get(self.path.partition("?")[0])
+        self.send_response(200 if body is not None else 404)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def server():
+    event = lambda i, at, n, **data: {"id": i, "timestamp": f"2025-10-13T{at}:00+00:00", "duration": n, "data": data}
+    _Watcher.asked = []
+    _Watcher.answers = {
+        "/api/0/info": {"version": "v1", "testing": True},
+        "/api/0/buckets/": {"w/1": {"type": "currentwindow", "client": "c", "hostname": "h"}, "a": {"type": "afkstatus", "client": None, "hostname": "h"}, "z": {"type": "odd", "hostname": "h"}},
+        "/api/0/buckets/w%2F1/events": [event(1, "09:00", 600, app="Code.exe", title="mail a.b@x.org"), event(2, "09:05", 600, app="slack.exe", title="b"), event(3, "10:00", 0, app="x"), event(9, "23:00", 60, app="late")],
+        "/api/0/buckets/a/events": [event(4, "09:10", 60, status="afk"), event(5, "09:20", 60, status="not-afk")],
+    }
+    http = HTTPServer(("127.0.0.1", 0), _Watcher)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}"
+    http.shutdown()
+
+
+def test_server(spark, server):
+    client = watchers.WatcherClient.from_url(server)
+    assert client.info() == {"version": "v1", "testing": True} and [b["id"] for b in client.buckets()] == ["a", "w/1", "z"]
+    rows = watchers.read_server(spark, server, ["currentwindow", "afkstatus"], "2025-10-13T00:00:00+00:00", "2025-10-13T12:00:00+00:00")
+    assert sorted(r.event_id for r in rows.collect()) == ["1", "2", "3", "4", "5"]
+    assert any("start=2025-10-13T00%3A00%3A00%2B00%3A00" in p for p in _Watcher.asked) and not any("/z/" in p for p in _Watcher.asked)
+    for answers in ({}, {"/api/0/info": []}):
+        _Watcher.answers = answers
+        with pytest.raises(watchers.WatcherSourceError):
+            client.info()
+    with pytest.raises(watchers.WatcherSourceError):
+        client.events("w/1")
+
+
+def broken(request):
+    raise OSError("a secret")
+
+
+def test_command_line_of_a_server(spark, server, tmp_path, capsys):
+    base = ["--server", server, "--host", "h", "--day", "2025-10-13"]
+    assert main([*base, "--what", "diagnostics", "--format", "json"]) == 0
+    told = {d["code"]: d["count"] for d in json.loads(capsys.readouterr().out)["diagnostics"]}
+    assert told["non-positive-event"] == 1 and told["window-conflict"] >= 1 and told["sanitized-field"] >= 1
+    out, bad = tmp_path / "x.md", tmp_path / "failure.json"
+    assert main([*base, "--what", "summary", "--model", "tests.test_sources_and_streams:broken", "--output", str(out), "--failure-output", str(bad)]) == 2
+    assert out.read_text(encoding="utf-8").startswith("# Activity") and "secret" not in bad.read_text(encoding="utf-8") and json.loads(bad.read_text(encoding="utf-8"))["validation"]["field"] == "provider"
+    assert "Done!" in capsys.readouterr().err
+    assert main(["--server", "http://127.0.0.1:9", "--host", "h", "--day", "2025-10-13"]) == 1
+    for wrong in ([], ["x", "--server", server], ["x", "--what", "report", "--format", "json"], ["x", "--what", "summary"], ["x", "--model", "m:f"], ["x", "--what", "report", "--raw"]):
+        with pytest.raises(SystemExit) as e:
+            main([*wrong, "--host", "h", "--day", "2025-10-13"])
+        assert e.value.code == 2
+
+
 def private_tables(spark, folder):
     """A browser on a page of a private address and an editor on a file with its folders, of one host; its zone is UTC."""
     at = lambda m: dt.datetime(2025, 10, 13, 9, m)
@@ -106,7 +175,7 @@ def private_tables(spark, folder):
 def test_what_goes_out_is_made_of_safe_texts(spark, tmp_path):
     folder = str(tmp_path)
     private_tables(spark, folder)
-    found = {n: json.dumps([r.asDict(True) for r in entry.queries()[n](spark, folder).collect()], default=str) for n in ("session_json", "summary_plan")}
+    found = {n: json.dumps([r.asDict(True) for r in entry.queries()[n](spark, folder).collect()], default=str) for n in ("session_json", "episode_markdown", "fused_slices", "summary_plan")}
     assert main([folder, "--host", "h", "--day", "2025-10-13", "--format", "json", "--details", "--raw", "--output", str(tmp_path / "x")]) == 0
     found["command line"] = (tmp_path / "x").read_text(encoding="utf-8")
     for name, text in found.items():

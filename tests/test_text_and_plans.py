@@ -156,6 +156,13 @@ def test_digest_tables(spark):
     assert {(r.episode_id, r.times) for r in digest.misallocated(streams, items.where("episode_id = 'episode-001'"), items).collect()} == {("episode-001", 2), ("episode-003", 0)}
 
 
+def test_unknown_episodes_are_an_error(spark):
+    streams = spark.createDataFrame([("h", DAY, 0, ["episode-001", "episode-009"])], "hostname string, day date, workstream int, episode_ids array<string>")
+    with pytest.raises(digest.DigestError, match="unknown-ids"):
+        digest.checked_roll_up(streams, episodes(spark, 3))
+    assert ts.holds_secret("token=abcdefghijklmnop") and not ts.holds_secret("a token")
+
+
 def test_a_day_is_summarised(spark):
     """Two requests, one answered wrongly at first, merged into one workstream."""
     asked = []
@@ -186,6 +193,41 @@ def test_a_day_is_summarised(spark):
         digest.summarised(plan, lambda r: answer(), merge)
 
 
+def test_a_failed_summary_is_an_outcome():
+    """Tokens are summed while every answer tells them, JSON texts are read, and a failure holds codes only."""
+    plan = [{"episode_ids": ["episode-001"], "payload": "[]"}, {"episode_ids": ["episode-002"], "payload": "[]"}]
+    told = []
+
+    def ask(request):
+        assert request["prompt"] and request["schema"]["properties"]
+        body = {"schema": "chronoloom.digest.v1", "workstreams": [], "unassigned_episode_ids": request["episode_ids"]}
+        return json.dumps(body), {"input_tokens": 5, "output_tokens": None if request["episode_ids"] == ["episode-002"] else 2}
+
+    made = digest.summarised_or_not(plan, ask, None, "p", "m", lambda label, seconds: told.append(label))
+    assert made.failure is None and made.digest["unassigned_episode_ids"] == ["episode-001", "episode-002"]
+    assert made.exchanges == 2 and made.tokens == {"input_tokens": 10, "output_tokens": None} and told == ["part 1 of 2", "part 2 of 2"]
+
+    def fails(request):
+        raise OSError("what was sent")
+
+    for ask_badly, code in ((fails, "provider-failed"), (lambda r: "no JSON", "invalid-shape"), (lambda r: [1], "invalid-shape")):
+        made = digest.summarised_or_not(plan, ask_badly, None, "p", "m")
+        assert made.digest is None and made.failure["validation"]["code"] == code and "sent" not in json.dumps(made.failure)
+        assert code in digest.failure_text(made.failure)
+    assert digest.parsed_response({"a": 1}) == {"a": 1}
+
+
+def test_requests_are_canonical(spark):
+    rows = [('{"b": {"z": null, "a": "ä"}, "a": null}',), (None,)]
+    got = spark.createDataFrame(rows, "x string").select(requests.compact_json("x")).collect()
+    assert [r[0] for r in got] == ['{"b": {"a": "ä", "z": null}}', None]
+    plan = requests.request_plan(episodes(spark, 2))
+    one = requests.single_request(plan).collect()
+    assert len(one) == 1 and one[0].character_count == len(one[0].payload) == len(json.dumps(json.loads(one[0].payload), ensure_ascii=False, sort_keys=True))
+    with pytest.raises(requests.RequestTooLargeError):
+        requests.single_request(requests.request_plan(episodes(spark, 12), target=2_000, ceiling=2_500))
+
+
 def test_forms_and_failures():
     schema = digest.form_schema(digest.DIGEST_FORM, ["e1"])
     assert schema["properties"]["workstreams"]["items"]["properties"]["episode_ids"] == {"type": "array", "items": {"type": "string", "enum": ["e1"]}, "maxItems": 1, "minItems": 1}
