@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +51,7 @@ SPACE = regex.compile(r"\s+")
 #: Decorations at the edge of a title that may come and go, whatever they say: words in brackets without digits, and signs.
 WORDS_IN_BRACKETS = r"[\[({<]\s*(?!(?:copy|kopie|copie|draft|entwurf|final|old|new|backup|archive)\b)\p{L}+(?:\s\p{L}+){0,2}\s*[\])}>]"
 DECORATIONS = regex.compile(rf"^\s*(?:{WORDS_IN_BRACKETS}|[\p{{So}}\p{{Sk}}»«›‹†‡]+)\s+|\s+(?:{WORDS_IN_BRACKETS}|[\p{{So}}\p{{Sk}}»«›‹†‡]+)(?=\s+[-–—|]\s|\s*$)")
+_MAY_DECORATE = regex.compile(r"[\[({<\p{So}\p{Sk}»«›‹†‡]")
 #: Dissimilarity of a decoration that one of two titles has and the other hasn't, against a penalty of 1 for a boundary.
 DECORATION_COST = 0.6
 
@@ -67,10 +69,13 @@ def shown(text: str | None) -> tuple[str | None, tuple[str, ...]]:
         before = now
         now = INNER_MARKS.sub("", LEADING_MARKS.sub("", now)).strip()
     now = now or folded
-    bare, found = now, [m.strip() for m in DECORATIONS.findall(now)]
-    if found:
-        bare = DECORATIONS.sub("", now).strip()
-    return (bare, tuple(sorted(set(found)))) if bare else (now, ())
+    if not _MAY_DECORATE.search(now) or not (found := {m.strip() for m in DECORATIONS.findall(now)}):
+        return now, ()
+    bare = DECORATIONS.sub("", now).strip()
+    return (bare, tuple(sorted(found))) if bare else (now, ())
+
+
+shown_app = functools.lru_cache(maxsize=10_000)(shown)
 
 
 def stable_text(text: str | None) -> str | None:
@@ -79,7 +84,7 @@ def stable_text(text: str | None) -> str | None:
 
 def content(app: str | None, title: str | None) -> tuple[int, list[int] | None]:
     """64 bits of what an event shows, and of each of its title's decorations; a missing part is the same only as a missing part."""
-    parts = shown(app), shown(title)
+    parts = shown_app(app), shown(title)
     key = "\x02".join("\x00" if x is None else "\x01" + x for x, _ in parts)
     digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
     return digest(key), [digest(d) for d in parts[1][1]] or None
