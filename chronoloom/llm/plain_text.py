@@ -196,11 +196,15 @@ USUAL = Letters({c: (script, latin) for script, letters in LOOK_ALIKES.items() f
 
 
 def look_alikes(spark: SparkSession) -> Letters:
-    """USUAL and every other letter that the confusables data of the platform's Unicode library gives the skeleton of a Latin letter: some hundreds, whatever the data."""
+    """USUAL and every other letter that the confusables data of the platform's Unicode library gives the skeleton of a Latin letter: some hundreds, whatever
+    the data. USUAL alone where the library is missing."""
     table = {c: (script, latin) for script, letters in LOOK_ALIKES.items() for c, latin in letters.items()}
     places = (*range(0x370, 0x3040), *range(0xA4D0, 0xAC00), *range(0x10000, 0x12000), *range(0x16F00, 0x16FA0))
     others = [ch for ch in map(chr, places) if unicodedata.category(ch) in ("Lu", "Ll", "Lo", "Lt") and not unicodedata.decomposition(ch)]
-    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:  # a package without the class
+        return USUAL
     skeletons = checker.getSkeleton("\n".join([*string.ascii_letters, *others])).split("\n")
     latin: dict[str, list[str]] = {}
     for c, k in zip(string.ascii_letters, skeletons):
