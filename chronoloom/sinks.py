@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,31 @@ def _json(body: Column) -> Column:
     return canonical_json(F.to_json(body, {"ignoreNullFields": "false"}))
 
 
+#: Items whose texts a Python worker holds at a time.
+ITEMS = 500
+
+
+@F.arrow_udf(T.StringType())
+def item_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """canonical_json of an item, as it stands in a list of a document. A text of JSON has no line feeds, so each one is the layout's."""
+    for batch in batches:
+        for at in range(0, len(batch), ITEMS):
+            yield pa.array([None if x is None else stable_json(_without_nulls(json.loads(x)))[:-1].replace("\n", "\n    ") for x in batch[at : at + ITEMS].to_pylist()], pa.string())
+
+
+def _json_items(df: DataFrame, keys: list[str], item: Column, ident: str, name: str) -> DataFrame:
+    """_listed() of the items' texts. Python gets an item at a time, since a busy day is a document of many MB."""
+    rows = df.select(*keys, "start_us", ident, "focused_seconds", F.to_json(item, {"ignoreNullFields": "false"}).alias("_j"))
+    return _listed(rows.withColumn("_j", item_json("_j")), keys, F.col("_j"), ident, name)
+
+
+def _seconds_json(us: Column) -> Column:
+    """Whole microseconds as JSON's number of seconds, the shortest text of the double (exact below 10^15)."""
+    plain = F.regexp_replace((us.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(26,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    tiny = F.concat(F.regexp_replace(F.format_string("%d.%d", F.floor(us / 10), us % 10), r"^0\.|\.0$", ""), F.when(us < 10, "e-06").otherwise("e-05"))
+    return F.when(us.isNull(), F.lit("null")).when((us > 0) & (us < 100), tiny).otherwise(plain)
+
+
 def _context(c: Column) -> Column:
     return F.struct(c["kind"].alias("kind"), c["evidence_id"].alias("evidence_id"), c["title"].alias("title"), c["project"].alias("project"), c["file"].alias("file"), c["url_host"].alias("host"), c["url_path"].alias("path"), c["language"].alias("language"))
 
@@ -79,13 +105,19 @@ def _listed(df: DataFrame, keys: list[str], item: Column, ident: str, name: str)
 def bundle_json(items: DataFrame, what: str, zone: str = "UTC", details: bool = False, keys: list[str] = STREAM, sessions: DataFrame | None = None) -> DataFrame:
     """keys, json: one canonical document a day of `what` ('session' or 'episode'), sorted by start and id; with `sessions` also those, in full."""
     item = session_item(details) if what == "session" else episode_item(details)
-    out = _listed(items, keys, item, f"{what}_id", f"{what}s")
-    extra = []
+    out, lists = _json_items(items, keys, item, f"{what}_id", f"{what}s"), [f"{what}s"]
     if sessions is not None:
-        out = out.join(_listed(sessions, keys, session_item(True), "session_id", "sessions").drop("focused_seconds"), keys, "left")
-        extra = [F.col("sessions")]
-    body = F.struct(F.lit(f"{PREFIX}.{what}-bundle.v1").alias("schema"), F.col("day").cast("string").alias("date"), F.lit(zone).alias("timezone"), F.lit("inferred_at_query").alias("timezone_status"), F.col("focused_seconds"), F.col(f"{what}s"), *extra)
-    return out.select(*keys, _json(body).alias("json"))
+        out = out.join(_json_items(sessions, keys, session_item(True), "session_id", "sessions").drop("focused_seconds"), keys, "left")
+        lists.append("sessions")
+    # Put together without Python, through which whole documents would pass: fixed texts, a date, a number, and the lists.
+    text = lambda value: F.lit(json.dumps(value, ensure_ascii=False))
+    fields = {"schema": text(f"{PREFIX}.{what}-bundle.v1"), "date": F.concat(F.lit('"'), F.col("day").cast("date").cast("string"), F.lit('"')), "timezone": text(zone), "timezone_status": text("inferred_at_query"), "focused_seconds": _seconds_json(F.rint(F.col("focused_seconds") * 1e6).cast("long"))}
+    parts = {k: [F.coalesce(v, F.lit("null"))] for k, v in fields.items()}
+    for x in lists:  # in one concatenation, so that a large text is copied once
+        there = F.col(x).isNotNull()
+        parts[x] = [F.when(there, "[\n    ").otherwise("null"), F.coalesce(F.array_join(x, ",\n    "), F.lit("")), F.when(there, "\n  ]").otherwise("")]
+    lines = [p for i, (k, own) in enumerate(sorted(parts.items())) for p in (F.lit(("," if i else "{") + f'\n  "{k}": '), *own)]
+    return out.select(*keys, F.concat(*lines, F.lit("\n}\n")).alias("json"))
 
 
 def _times(zone: Column) -> Column:

@@ -175,6 +175,20 @@ def test_outputs(spark):
     assert json.loads(sinks.bundle_json(made_episodes, "episode", sessions=made).collect()[0].json)["sessions"]
 
 
+def test_documents_are_made_of_items(spark):
+    """Python makes the items of a document and its frame, never a whole day; the text is that of the whole in canonical form."""
+    made = fs.sessions(slices(spark, [(i * 700, i * 700 + 60, "a", f'"sessions": "@"\\n{i} é\n\x01', "/team/x" if i % 2 else None) for i in range(12)]))
+    both = [(sinks.bundle_json(made, "session", details=True), ["sessions"]), (sinks.bundle_json(ep.episodes(made), "episode", sessions=made), ["episodes", "sessions"])]
+    for documents, lists in both:
+        (text,) = [r.json for r in documents.collect()]
+        assert text == sinks.stable_json(json.loads(text)) and all(json.loads(text)[x] for x in lists)
+        evaluated = [line for line in documents._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+        assert evaluated and all("item_json(" in line and "canonical_json(" not in line for line in evaluated)
+    numbers = [0, 1, 9, 10, 12, 99, 100, 101, 999, 1000, 123_456, 10**6, 640 * 10**6, 86_399_999_999, 10**13, 123_456_789_012_345, *(random.Random(3).randrange(10 ** k) for k in range(1, 16) for _ in range(20))]
+    texts = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", sinks._seconds_json(F.col("n")).alias("t")).collect()
+    assert all(r.t == json.dumps(r.n / 1e6) for r in texts)
+
+
 def test_atomic_write(tmp_path):
     target = tmp_path / "x.md"
     sinks.write_whole(target, "a\nä")
