@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom.operators import timestamps
 from chronoloom.operators.timestamps import EITHER_ORDER, MONTH_FIRST_SLASHES, event_instants, normalise_timestamps
 
 
@@ -118,3 +119,16 @@ def test_events_once_and_empty(spark, windows):
     got = event_instants(spark.createDataFrame(rows, schema), buckets, windows).select("event_id", "instant_us").collect()
     assert sorted(map(tuple, got)) == [("1", us(2025, 10, 13, 16, 24, 26)), ("4", us(2025, 10, 13, 10))]
     assert event_instants(spark.createDataFrame([], schema), buckets, windows).count() == 0
+
+
+def test_choices_meet_by_number(spark, monkeypatch):
+    """What is broadcast has no texts of kinds; where numbers don't tell kinds apart, the texts are joined."""
+    flat = spark.createDataFrame([(i, f"h{i % 3}", [None, "", "ymd=0", "epoch_s=0;epoch_ms=-20"][i % 4]) for i in range(24)], "i int, _source string, kind string")
+    fitted = spark.createDataFrame([(f"h{i}", k, i, k[:5], 1.0, 0.0) for i in range(3) for k in ("ymd=0", "epoch_s=0;epoch_ms=-20")], "_source string, kind string, best int, component string, posterior double, noise double")
+    want = sorted(map(repr, flat.join(fitted, ["_source", "kind"], "left").select("i", "_source", "kind", "best", "component").collect()))
+    joined = timestamps.with_choices(flat, fitted)
+    broadcast = [line for line in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+    assert broadcast and all("string" not in line for line in broadcast)
+    assert sorted(map(repr, joined.select("i", "_source", "kind", "best", "component").collect())) == want
+    monkeypatch.setattr(timestamps, "choice_key", lambda: F.lit(1))
+    assert sorted(map(repr, timestamps.with_choices(flat, fitted).select("i", "_source", "kind", "best", "component").collect())) == want
