@@ -11,6 +11,7 @@ from chronoloom import queries, sinks
 from chronoloom.operators import episodes as ep
 from chronoloom.operators import focus_sessions as fs
 from chronoloom.operators import fusion, intervals, records, reports
+from chronoloom.plans import collect
 from chronoloom.schema import RECORD, TEXTS
 
 DAY = dt.date(2025, 10, 13)
@@ -220,6 +221,27 @@ def test_normalised_and_diagnostics(spark):
     assert {r.bucket_type: r.n for r in records.unsupported_buckets(buckets).collect()} == {"other": 1, "": 1}
 
 
+def test_diagnostics_make_no_tables_of_records(spark, monkeypatch):
+    """They are those of observations and pieces, made beforehand or not, and none of those tables is written for them alone."""
+    names = []
+    monkeypatch.setattr(collect, "written", lambda df, what: (names.append(what), df.cache())[1])
+    for seed in (1, 2):
+        rows = random_day(seed) + [record("x", "editor", 5, 50, title="mail ada@example.com"), record("y", "current-window", 7, 20), record("z", "current-window", 9, 30)]
+        rows += [(None, *r[1:]) for r in rows[-3:]]  # no pieces are made of records without a host
+        found = day(spark, rows)
+        days = collect.collected(found)
+        told = {r.code: r.n for r in days.diagnostics.collect()}
+        assert not {"active", "observations", "pieces", "sessions"} & set(names)
+        later = collect.collected(found)
+        assert later.sessions.count() and {r.code: r.n for r in later.diagnostics.collect()} == told
+        assert names.count("observations") == 1
+        names.clear()
+        seen = later.observations
+        conflicts = fusion.window_conflicts(fusion.fused_pieces(seen)).agg(F.sum("n")).first()[0]
+        assert told == {"sanitized-field": seen.agg(F.sum("changes")).first()[0], "window-conflict": conflicts} and conflicts > 1
+    assert collect.collected(day(spark, rows).limit(0)).diagnostics.count() == 0
+
+
 def test_every_raw_row_has_one_fate(spark):
     """Kept and counted rows add up to the input, whatever the rows hold; a row of two windows is kept once."""
     r = random.Random(3)
