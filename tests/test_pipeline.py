@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom import queries, sinks
+from chronoloom.functions import text_safety
 from chronoloom.operators import episodes as ep
 from chronoloom.operators import focus_sessions as fs
 from chronoloom.operators import fusion, intervals, records, reports
 from chronoloom.plans import collect
 from chronoloom.schema import RECORD, TEXTS
+from chronoloom.spark_tools import BROADCAST_BYTES, is_small
 
 DAY = dt.date(2025, 10, 13)
 SCHEMA = "hostname string, day date, event_id string, bucket_id string, kind string, start_us bigint, end_us bigint, " + ", ".join(f"{c} string" for c in TEXTS)
@@ -242,6 +244,28 @@ def test_diagnostics_make_no_tables_of_records(spark, monkeypatch):
     assert collect.collected(day(spark, rows).limit(0)).diagnostics.count() == 0
 
 
+def test_episodes_of_days_make_no_table_twice(spark, monkeypatch):
+    """Episodes need no table of active records, and the sessions are written once; they are those of the steps one by one."""
+    names = []
+    for module in (collect, ep):
+        monkeypatch.setattr(module, "written", lambda df, what: (names.append(what), df.cache())[1])
+    found = day(spark, random_day(3) + [record("x", "editor", 5, 50, title="mail ada@example.com")])
+    got = sorted(map(repr, collect.collected(found).episodes().collect()))
+    assert not {"active", "found"} & set(names) and len(names) == 5
+    safe = text_safety.observations(intervals.active_records(found))
+    assert got and got == sorted(map(repr, ep.episodes(fs.sessions(fusion.fused_slices(safe))).collect()))
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
+    """Keys that are alike take little room in files; what counts is their number and room in memory."""
+    keys = [F.concat(F.lit(a), "id", F.lit(b)).alias(c) for a, b, c in (("aw-watcher-window_desk-", ".office.test", "bucket_id"), ("desk-", ".office.test", "hostname"), ("current-", "-window", "kind"))]
+    spark.range(160_000, numPartitions=2).select(*keys).write.option("compression", "zstd").parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    bound = int(str(many._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert bound <= BROADCAST_BYTES and not is_small(many)
+    assert is_small(many.limit(100_000)) and is_small(spark.range(120_000).selectExpr("cast(id as int) as x").coalesce(1)) and is_small(many.limit(0))
+
+
 def test_every_raw_row_has_one_fate(spark):
     """Kept and counted rows add up to the input, whatever the rows hold; a row of two windows is kept once."""
     r = random.Random(3)
